@@ -1,0 +1,76 @@
+"""Joins that stay spread out when one key holds a large part of the rows.
+
+Two rules are used all over the library:
+
+* Per-group numbers (totals, counts, last user) come from `groupBy`, which combines on the
+  map side, never from a window over a key that callers control.  A window moves a whole
+  group into one task.
+* The small result is joined back with `salted_join`, which splits heavy keys only.
+"""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A key is heavy when it holds more than 1/MAX_HEAVY_KEYS of all rows, so there are fewer
+# than MAX_HEAVY_KEYS heavy keys whatever the data: the broadcast list has a proven bound.
+MAX_HEAVY_KEYS = 20_000
+ROWS_PER_SLICE = 2_000_000
+
+
+def heavy_keys(
+    counts: DataFrame, keys: list[str], n: str, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """Keys to split and the number of slices for each, from one-row-per-key counts."""
+    total = counts.agg(F.sum(n)).scalar()
+    is_heavy = (F.col(n) > rows_per_slice) & (F.col(n) * MAX_HEAVY_KEYS > total)
+    slices = F.ceil(F.col(n) / F.lit(float(rows_per_slice))).cast("int")
+    return counts.where(is_heavy).select(*keys, slices.alias("_slices"))
+
+
+def salted_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: list[str],
+    counts: DataFrame,
+    n: str,
+    how: str,
+    salt: list[str],
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Join many `rows` to few `lookup` rows per key, `how` being `inner` or `left`.
+
+    `counts` tells how many `rows` each key has.  Rows of a heavy key are spread over its
+    slices by the hash of the `salt` columns; the lookup rows of that key are repeated once
+    per slice.  Other keys join as usual.  Every row meets every lookup row of its key once.
+    """
+    heavy = F.broadcast(heavy_keys(counts, keys, n, rows_per_slice))
+    slices = F.coalesce("_slices", F.lit(1))
+    spread = (
+        rows.join(heavy, keys, "left")
+        .withColumn("_salt", F.pmod(F.xxhash64(*salt), slices).cast("int"))
+        .drop("_slices")
+    )
+    repeated = (
+        lookup.join(heavy, keys, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - 1)))
+        .drop("_slices")
+    )
+    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Hint a broadcast after counting at most `max_rows` + 1 rows; otherwise leave the join alone."""
+    kept = df.persist()
+    if kept.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
+
+
+def fill_keys(df: DataFrame, *names: str) -> DataFrame:
+    """Missing key text counts as '' so that missing matches missing."""
+    return df.withColumns({name: _filled(F.col(name)) for name in names})
+
+
+def _filled(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
