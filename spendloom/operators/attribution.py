@@ -3,7 +3,7 @@
 cost lines -> buckets (7 keys) -> matched to per-user usage -> shares, without losing a cent.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendloom.fixed_values import (
@@ -18,7 +18,8 @@ from spendloom.functions.billing import measure_for
 from spendloom.functions.calls import billing_cross_region, strip_cross_region_prefix
 from spendloom.functions.common import round10
 from spendloom.operators.records import with_model_ids
-from spendloom.operators.skew import ROWS_PER_SLICE, fill_keys, salted_join
+from spendloom.operators.skew import ROWS_PER_SLICE, fill_keys, heavy_keys, repeat, spread
+from spendloom.session import materialize
 
 BUCKET = [
     "usage_date",
@@ -32,6 +33,7 @@ BUCKET = [
 USAGE_SCOPE = ["usage_date", "account_id", "region", "model_id", "measure"]
 USAGE_KEY = [*USAGE_SCOPE, "usage_cross"]
 USER = ["resolved_user_id", "resolved_user_name"]
+_CROSS_NAMES = {CROSS_NONE: "none", CROSS_GLOBAL: "global", CROSS_GEO: "geo"}
 MEASURES = [*MEASURE_BY_TOKEN_TYPE.values(), *MEASURE_BY_PRICING_UNIT.values()]
 
 
@@ -70,39 +72,55 @@ def usage_by_user(calls: DataFrame) -> DataFrame:
 
 
 def usage_totals(usage: DataFrame) -> DataFrame:
-    """Total, user count and last user of each usage key.  Users are ordered by id and name."""
-    last = F.max(F.struct(*USER, "user_tokens")).alias("last_user")
-    return usage.groupBy(*USAGE_KEY).agg(
-        F.sum("user_tokens").alias("total_tokens"), F.count("*").alias("users"), last
+    """Total and user count per usage scope, one pair of columns per cross-region type.
+
+    One hash aggregate over per-user rows; its buffers are numbers only.
+    """
+    aggregates = []
+    for cross, name in _CROSS_NAMES.items():
+        of_type = F.col("usage_cross") == cross
+        aggregates.append(F.sum(F.when(of_type, F.col("user_tokens"))).alias(f"total_{name}"))
+        aggregates.append(F.count_if(of_type).alias(f"users_{name}"))
+    return usage.groupBy(*USAGE_SCOPE).agg(*aggregates)
+
+
+def users_per_key(totals: DataFrame) -> DataFrame:
+    """Number of usage rows of each usage key that occurs."""
+    rows = F.array(
+        *[
+            F.struct(F.lit(cross).alias("usage_cross"), F.col(f"users_{name}").alias("users"))
+            for cross, name in _CROSS_NAMES.items()
+        ]
     )
+    return totals.select(*USAGE_SCOPE, F.inline(rows)).where("users > 0")
 
 
 def match_buckets(buckets: DataFrame, totals: DataFrame) -> DataFrame:
-    """Give each bucket the usage it is split by, as columns `matched_cross` and `found`.
+    """Give each bucket the usage it is split by: `usage_cross`, `total_tokens`, `users`.
 
     A bucket takes usage of its own cross-region type.  A `none` bucket without any takes
     global usage, then geo usage.  Both sides are one row per key, and each bucket meets the
-    usage of all three types in one row, so the fallback needs no further join.
+    usage of all three types in one row, so the fallback needs no further join.  Without any
+    usage the three columns are NULL.
     """
-    found = F.struct("total_tokens", "users", "last_user")
-    types = {CROSS_NONE: "_none", CROSS_GLOBAL: "_global", CROSS_GEO: "_geo"}
-    per_type = [F.max(F.when(F.col("usage_cross") == t, found)).alias(n) for t, n in types.items()]
-    candidates = totals.groupBy(*USAGE_SCOPE).agg(*per_type)
-
-    own = F.when(F.col("cross_region_type") == CROSS_NONE, F.col("_none"))
-    own = own.when(F.col("cross_region_type") == CROSS_GLOBAL, F.col("_global"))
-    own = own.when(F.col("cross_region_type") == CROSS_GEO, F.col("_geo"))
-    is_base = F.col("cross_region_type") == CROSS_NONE
-    matched_cross = (
-        F.when(own.isNotNull(), F.col("cross_region_type"))
-        .when(is_base & F.col("_global").isNotNull(), CROSS_GLOBAL)
-        .when(is_base & F.col("_geo").isNotNull(), CROSS_GEO)
-    )
-    picked = F.coalesce(own, F.when(is_base, F.coalesce("_global", "_geo")))
+    asked = F.col("cross_region_type")
+    takes = [(asked == cross, cross) for cross in _CROSS_NAMES]
+    takes += [(asked == CROSS_NONE, CROSS_GLOBAL), (asked == CROSS_NONE, CROSS_GEO)]
+
+    def pick(value):
+        options = [F.when(ok & (F.col(f"users_{_CROSS_NAMES[c]}") > 0), value(c)) for ok, c in takes]
+        return F.coalesce(*options)
+
     return (
-        buckets.join(candidates, USAGE_SCOPE, "left")
-        .withColumns({"matched_cross": matched_cross, "found": picked})
-        .drop(*types.values())
+        buckets.join(totals, USAGE_SCOPE, "left")
+        .withColumns(
+            {
+                "usage_cross": pick(F.lit),
+                "total_tokens": pick(lambda c: F.col(f"total_{_CROSS_NAMES[c]}")),
+                "users": pick(lambda c: F.col(f"users_{_CROSS_NAMES[c]}")),
+            }
+        )
+        .drop(*[f"{kind}_{name}" for kind in ("total", "users") for name in _CROSS_NAMES.values()])
     )
 
 
@@ -125,78 +143,86 @@ def attribute(
 ) -> DataFrame:
     """`reconciled_costs` rows: every bucket's cost, fully split over its users.
 
-    Shares are rounded to ten decimals; the last user of a bucket takes what is left, so
-    the rows of a bucket add up to its cost.  With zero usage everyone gets the same share.
-    A bucket nobody used is one UNMATCHED row.
+    Shares are rounded to ten decimals; the last user of a bucket (by id and name) takes what
+    is left, so the rows of a bucket add up to its cost.  With zero usage everyone gets the
+    same share.  A bucket nobody used is one UNMATCHED row.
 
-    No window runs over a bucket.  The rest for the last user is cost minus the sum of the
-    other shares; that sum is a decimal aggregate, exact in any order, combined on the map
-    side, however many users one bucket has.
+    A bucket may have any number of users.  Buckets of ordinary size are split in one pass
+    with a running sum, right after the join.  A heavy one is cut into slices first; its last
+    user and the sum of the other shares come from aggregates that combine on the map side,
+    so no task ever holds a heavy bucket.  Sums of shares are decimal, exact in any order.
     """
+    # Both are read by several branches below; the calls behind `usage` are scanned once.
+    usage = materialize(usage.withColumn("_user", F.struct(*USER)), "usage")
     totals = usage_totals(usage)
-    matched = match_buckets(with_usage_scope(buckets, billing_names), totals)
-    with_users = matched.where(F.col("found").isNotNull()).withColumnRenamed("matched_cross", "usage_cross")
-
-    facts = [*BUCKET, "model_id", "bucket_unblended_cost"]
-    lookup = with_users.select(*facts, "measure", "usage_cross", "found.*")
-    detail = salted_join(
-        usage,
-        lookup,
-        USAGE_KEY,
-        totals.select(*USAGE_KEY, "users"),
-        "users",
-        "inner",
-        salt=USER,
-        rows_per_slice=rows_per_slice,
+    matched = materialize(match_buckets(with_usage_scope(buckets, billing_names), totals), "matched")
+    heavy = heavy_keys(users_per_key(totals), USAGE_KEY, "users", rows_per_slice)
+    rows = repeat(matched, heavy, USAGE_KEY).join(
+        spread(usage, heavy, USAGE_KEY, salt=USER), [*USAGE_KEY, "_salt"], "left"
     )
+    # a bucket with users may still meet an empty slice
+    rows = rows.where(F.col("users").isNull() | F.col("_user").isNotNull())
 
-    cost, total = F.col("bucket_unblended_cost"), F.col("total_tokens")
-    is_last = (
-        (total != 0)
-        & (F.col("resolved_user_id") == F.col("last_user.resolved_user_id"))
-        & (F.col("resolved_user_name") == F.col("last_user.resolved_user_name"))
-    )
+    total = F.col("total_tokens")
     proportion = F.when(total == 0, 1.0 / F.col("users")).otherwise(F.try_divide("user_tokens", total))
-    shares = detail.withColumns(
-        {"is_last": is_last, "proportion": proportion, "attributed_cost": round10(proportion * cost)}
+    rows = rows.withColumn("proportion", proportion).withColumn(
+        "share", round10(F.col("proportion") * F.col("bucket_unblended_cost")).cast("decimal(28,10)")
     )
-
-    split = shares.where(~F.col("is_last")).select(
+    in_slices = F.coalesce("_slices", F.lit(1)) > 1
+    light = _split_in_one_pass(rows.where(~in_slices))
+    sliced = _split_slices(rows.where(in_slices))
+    return light.unionByName(sliced).select(*_OUTPUT)
+
+
+def _split_in_one_pass(rows: DataFrame) -> DataFrame:
+    """Buckets of ordinary size, and those without users."""
+    by_user = Window.partitionBy(*USAGE_KEY, "_salt", *BUCKET).orderBy("_user")
+    earlier = F.sum("share").over(by_user.rowsBetween(Window.unboundedPreceding, -1))
+    is_last = F.lead("_user").over(by_user).isNull() & (F.col("total_tokens") != 0)
+    found = F.col("users").isNotNull()
+    cost = F.col("bucket_unblended_cost")
+    rest = round10(cost - F.coalesce(earlier.cast("double"), F.lit(0.0)))
+    amount = F.when(is_last, rest).otherwise(F.col("share").cast("double"))
+    return _finish(rows.withColumn("attributed_cost", F.when(found, amount).otherwise(cost)))
+
+
+def _split_slices(rows: DataFrame) -> DataFrame:
+    """Buckets whose users are spread over slices."""
+    facts = [*USAGE_KEY, *[c for c in BUCKET if c not in USAGE_KEY], "bucket_unblended_cost"]
+    facts += ["total_tokens", "users"]
+    last = F.max(F.struct("_user", "user_tokens", "proportion", "share"))
+    per_bucket = rows.groupBy(*facts).agg(last.alias("last"), F.sum("share").alias("all"))
+    has_rest = F.col("total_tokens") != 0
+    others = (F.col("all") - F.col("last.share")).cast("double")
+    rests = per_bucket.where(has_rest).select(
         *facts,
-        *USER,
-        "user_tokens",
-        total.alias("total_tokens_in_bucket"),
-        F.when(total == 0, F.col("proportion")).otherwise(round10(F.col("proportion"))).alias("proportion"),
-        "attributed_cost",
-        F.lit("reconciled").alias("reconciliation_status"),
-    )
-
-    others = F.sum(F.when(~F.col("is_last"), F.col("attributed_cost").cast("decimal(28,10)")))
-    rests = (
-        shares.where(total != 0)
-        .groupBy(*facts, "total_tokens", "last_user")
-        .agg(F.coalesce(others, F.lit(0).cast("decimal(38,10)")).alias("others"))
-        .select(
-            *facts,
-            *[F.col(f"last_user.{name}").alias(name) for name in (*USER, "user_tokens")],
-            total.alias("total_tokens_in_bucket"),
-            round10(F.col("last_user.user_tokens") / total).alias("proportion"),
-            round10(cost - F.col("others").cast("double")).alias("attributed_cost"),
-            F.lit("reconciled").alias("reconciliation_status"),
-        )
+        "last._user",
+        "last.user_tokens",
+        "last.proportion",
+        round10(F.col("bucket_unblended_cost") - others).alias("attributed_cost"),
     )
-
-    unmatched = matched.where(F.col("found").isNull()).select(
-        *facts,
-        F.lit(UNMATCHED_USER).alias("resolved_user_id"),
-        F.lit(UNMATCHED_USER).alias("resolved_user_name"),
-        F.lit(0.0).alias("user_tokens"),
-        F.lit(0.0).alias("total_tokens_in_bucket"),
-        F.lit(0.0).alias("proportion"),
-        cost.alias("attributed_cost"),
-        F.lit("unmatched").alias("reconciliation_status"),
+    # The last user of a sliced bucket is known per bucket: few rows, one per heavy bucket.
+    lasts = rests.select(*facts[:-3], "_user", F.lit(True).alias("_is_last"))
+    keys = [*facts[:-3], "_user"]
+    split = rows.join(lasts, keys, "left").where(F.col("_is_last").isNull())
+    split = split.withColumn("attributed_cost", F.col("share").cast("double"))
+    return _finish(split).unionByName(_finish(rests))
+
+
+def _finish(rows: DataFrame) -> DataFrame:
+    """Output columns; a bucket without users names nobody."""
+    found = F.col("users").isNotNull()
+    known = lambda c, default: F.when(found, F.col(c)).otherwise(default)
+    proportion = F.when(F.col("total_tokens") == 0, F.col("proportion")).otherwise(round10(F.col("proportion")))
+    return rows.select(
+        *[c for c in _OUTPUT if c in rows.columns and c not in ("user_tokens", "proportion", *USER)],
+        known("_user.resolved_user_id", UNMATCHED_USER).alias("resolved_user_id"),
+        known("_user.resolved_user_name", UNMATCHED_USER).alias("resolved_user_name"),
+        known("user_tokens", 0.0).alias("user_tokens"),
+        known("total_tokens", 0.0).alias("total_tokens_in_bucket"),
+        F.when(found, proportion).otherwise(0.0).alias("proportion"),
+        F.when(found, "reconciled").otherwise("unmatched").alias("reconciliation_status"),
     )
-    return split.unionByName(rests).unionByName(unmatched).select(*_OUTPUT)
 
 
 _OUTPUT = [

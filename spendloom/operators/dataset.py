@@ -100,13 +100,13 @@ def call_dataset(
 FACT_KEY = ["usage_date", "accountid", "modelid", "cost_model", "resolveduserid", "resolvedusername"]
 
 
-def usage_facts(calls: DataFrame, reconciled: DataFrame) -> DataFrame:
+def usage_facts(calls: DataFrame, reconciled: DataFrame | None) -> DataFrame:
     """Calls, tokens, latency and cost per day, account, model and user.
 
     All reports but the minute ones are sums over this grain, so they never need the join of
     single calls with costs: calls are folded first, with a map-side combine, and the cost of
     a key is divided over its facts by their number of calls.  A sum over facts equals the sum
-    over calls.
+    over calls.  Without `reconciled` all costs are 0 and pending.
     """
     keyed = with_cost_key(calls).withColumn(
         "resolvedusername",
@@ -119,9 +119,13 @@ def usage_facts(calls: DataFrame, reconciled: DataFrame) -> DataFrame:
         F.sum("latencyms").alias("latency_sum"),
         F.count("latencyms").alias("latency_count"),
     )
-    per_key = facts.groupBy(*COST_KEY).agg(F.sum("fact_calls").alias("calls"))
-    priced = cost_per_call(per_key, cost_per_key(reconciled)).drop("calls")
-    joined = facts.join(priced, COST_KEY, "left")
+    if reconciled is None:
+        unpriced = {name: F.lit(None).cast("double") for name in _COSTS}
+        joined = facts.withColumns({**unpriced, "reconciliation_status": F.lit("pending")})
+    else:
+        per_key = facts.groupBy(*COST_KEY).agg(F.sum("fact_calls").alias("calls"))
+        priced = cost_per_call(per_key, cost_per_key(reconciled)).drop("calls")
+        joined = facts.join(priced, COST_KEY, "left")
     scaled = {n: F.coalesce(F.col(n) * F.col("fact_calls"), F.lit(0.0)) for n in _COSTS}
     status = F.coalesce("reconciliation_status", F.lit("pending"))
     return joined.withColumns({**scaled, "reconciliation_status": status}).select(

@@ -131,7 +131,7 @@ def _by_name(directory: DataFrame) -> DataFrame:
     """Directory users by user name; of several with one name the lowest id."""
     user = F.struct(*[F.col(c) for c in directory.columns])
     rows = directory.where(F.col("UserName").isNotNull()).groupBy(F.col("UserName").alias("_lookup"))
-    return rows.agg(F.min_by(user, "UserId").alias("u")).select(
+    return rows.agg(F.min_by(user, F.coalesce("UserId", F.lit(""))).alias("u")).select(
         "_lookup", _directory_identity(F.col("u"), found_by_id=False).alias("_named")
     )
 
@@ -139,7 +139,7 @@ def _by_name(directory: DataFrame) -> DataFrame:
 def _by_id(directory: DataFrame) -> DataFrame:
     user = F.struct(*[F.col(c) for c in directory.columns])
     rows = directory.where(F.col("UserId").isNotNull()).groupBy(F.col("UserId").alias("_lookup"))
-    return rows.agg(F.min_by(user, "UserName").alias("u")).select(
+    return rows.agg(F.min_by(user, F.coalesce("UserName", F.lit(""))).alias("u")).select(
         "_lookup", _directory_identity(F.col("u"), found_by_id=True).alias("_numbered")
     )
 

@@ -27,6 +27,20 @@ def heavy_keys(
     return counts.where(is_heavy).select(*keys, slices.alias("_slices"))
 
 
+def spread(rows: DataFrame, heavy: DataFrame, keys: list[str], salt: list[str]) -> DataFrame:
+    """Put each row of a heavy key into one of its slices, by the hash of the `salt` columns."""
+    slices = F.coalesce("_slices", F.lit(1))
+    place = F.pmod(F.xxhash64(*salt), slices).cast("int")
+    return rows.join(F.broadcast(heavy), keys, "left").withColumns({"_salt": place, "_slices": slices})
+
+
+def repeat(lookup: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
+    """Repeat each row of a heavy key once per slice, so that every slice finds it."""
+    last = F.coalesce("_slices", F.lit(1)) - 1
+    repeated = lookup.join(F.broadcast(heavy), keys, "left")
+    return repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_slices")
+
+
 def salted_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -40,31 +54,24 @@ def salted_join(
     """Join many `rows` to few `lookup` rows per key, `how` being `inner` or `left`.
 
     `counts` tells how many `rows` each key has.  Rows of a heavy key are spread over its
-    slices by the hash of the `salt` columns; the lookup rows of that key are repeated once
-    per slice.  Other keys join as usual.  Every row meets every lookup row of its key once.
+    slices and the lookup rows of that key are repeated once per slice; other keys join as
+    usual.  Every row meets every lookup row of its key once.
     """
-    heavy = F.broadcast(heavy_keys(counts, keys, n, rows_per_slice))
-    slices = F.coalesce("_slices", F.lit(1))
-    spread = (
-        rows.join(heavy, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*salt), slices).cast("int"))
-        .drop("_slices")
-    )
-    repeated = (
-        lookup.join(heavy, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), slices - 1)))
-        .drop("_slices")
-    )
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast after counting at most `max_rows` + 1 rows; otherwise leave the join alone."""
-    kept = df.persist()
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df
+    heavy = heavy_keys(counts, keys, n, rows_per_slice)
+    left = spread(rows, heavy, keys, salt).drop("_slices")
+    return left.join(repeat(lookup, heavy, keys), [*keys, "_salt"], how).drop("_salt")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A broadcast side if `df` has at most `max_rows` rows, else `df` as it is.
+
+    The rows are fetched once, at most one more than the limit, and stand in the plan as a
+    literal table, so nothing is computed a second time.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def fill_keys(df: DataFrame, *names: str) -> DataFrame:

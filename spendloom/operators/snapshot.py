@@ -23,9 +23,10 @@ def latest_snapshot(
     """
     snapshot = F.col("cur_file_key") if snapshot is None else snapshot
     rows = costs.where(F.col(period).isin(*periods)) if periods is not None else costs
-    # distinct() hashes; a text maximum over all lines would sort them
-    listed = rows.select(F.col(period).alias("_period"), snapshot.alias("_snapshot")).distinct()
-    newest = listed.groupBy("_period").agg(F.max("_snapshot").alias("_newest"))
+    # Counting per delivery hashes; a text maximum over all lines would sort them.
+    delivered = rows.groupBy(F.col(period).alias("_period"), snapshot.alias("_snapshot"))
+    delivered = delivered.agg(F.count("*").alias("_lines")).where("_lines > 0")
+    newest = delivered.groupBy("_period").agg(F.max("_snapshot").alias("_newest"))
     newest = F.broadcast(newest) if periods is not None else broadcast_if_small(newest)
     return rows.join(newest, (F.col(period) == F.col("_period")) & (snapshot == F.col("_newest")), "left_semi")
 

@@ -39,6 +39,8 @@ def with_views(sql: str) -> str:
     if not needed:
         return sql
     parts = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed)
+    if sql.lstrip().startswith("WITH "):
+        return f"WITH {parts},\n{sql.lstrip()[5:]}"
     return f"WITH {parts}\n{sql}"
 
 
@@ -53,4 +55,5 @@ def r4_sql(expr: str) -> str:
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: r4(n) for n in names})
+    """Round the named columns for comparison."""
+    return df.withColumns({n: r4(F.col(f"`{n}`")) for n in names})

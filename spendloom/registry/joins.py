@@ -75,14 +75,17 @@ def usage_by_user(spark, sf):
 
 @query(
     "a3_bucket_totals",
-    """SELECT usage_date, accountid AS account_id, region, model_id, measure, usage_cross,
-      sum(tokens) AS total_tokens, count(*) AS users,
-      max(user_id) AS last_user_id
+    """SELECT usage_date, accountid AS account_id, region, model_id, measure,
+      sum(CASE WHEN usage_cross = 'none' THEN tokens END) AS total_none,
+      count(CASE WHEN usage_cross = 'none' THEN 1 END) AS users_none,
+      sum(CASE WHEN usage_cross = 'cross-region-global' THEN tokens END) AS total_global,
+      count(CASE WHEN usage_cross = 'cross-region-global' THEN 1 END) AS users_global,
+      sum(CASE WHEN usage_cross = 'cross-region-geo' THEN tokens END) AS total_geo,
+      count(CASE WHEN usage_cross = 'cross-region-geo' THEN 1 END) AS users_geo
       FROM usage GROUP BY ALL""",
 )
 def bucket_totals(spark, sf):
-    totals = attribution.usage_totals(usage(spark, sf))
-    return totals.withColumn("last_user_id", F.col("last_user.resolved_user_id")).drop("last_user")
+    return attribution.usage_totals(usage(spark, sf))
 
 
 @query(
@@ -120,10 +123,10 @@ def cost_per_call(spark, sf):
         AND u.model_id = b.model_id AND u.usage_cross = b.cross_region_type AND u.measure = b.measure""",
 )
 def exact_match(spark, sf):
-    own = F.col("matched_cross") == F.col("cross_region_type")
+    own = F.col("usage_cross") == F.col("cross_region_type")
     return matches(spark, sf).select(
         "usage_date", "account_id", "region", "model_id", "token_type", "cross_region_type", "pricing_unit",
-        F.when(own, F.col("found.total_tokens")).alias("total_tokens"),
+        F.when(own, F.col("total_tokens")).alias("total_tokens"),
     )
 
 
@@ -135,10 +138,10 @@ def exact_match(spark, sf):
         ON m.bucket_id = b.bucket_id GROUP BY ALL""",
 )
 def priority_fallback(spark, sf):
-    took = F.coalesce("matched_cross", F.lit("unmatched")).alias("took")
+    took = F.coalesce("usage_cross", F.lit("unmatched")).alias("took")
     return matches(spark, sf).groupBy("cross_region_type", took).agg(
         F.count("*").alias("buckets"),
-        F.coalesce(F.sum("found.total_tokens"), F.lit(0.0)).alias("total_tokens"),
+        F.coalesce(F.sum("total_tokens"), F.lit(0.0)).alias("total_tokens"),
     )
 
 
@@ -149,7 +152,7 @@ def priority_fallback(spark, sf):
 )
 def usage_per_measure(spark, sf):
     return matches(spark, sf).groupBy("measure").agg(
-        F.count("*").alias("buckets"), F.coalesce(F.sum("found.users"), F.lit(0)).alias("user_rows")
+        F.count("*").alias("buckets"), F.coalesce(F.sum("users"), F.lit(0)).alias("user_rows")
     )
 
 

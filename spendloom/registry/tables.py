@@ -24,11 +24,15 @@ IMAGE_SLOT = BILLING_NAMES.index("NovaCanvas")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table.  One that comes as a few large row groups is spread over the cores first,
+    because a row group is read by one task; a table of many files is left as it is."""
+    rows = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(F.split(F.lit("|".join(values)), r"\|"), (index + 1).cast("int"))
 
 
 def slot_columns(slot: Column) -> dict[str, Column]:
@@ -55,6 +59,7 @@ def _arn(kind: Column, account: Column, user: Column) -> Column:
 
 def call_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One `call` struct of the raw log schema per `lineitem` row."""
+    slot = F.col("l_partkey") % 25
     line = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("k"),
         F.col("l_linenumber").alias("n"),
@@ -63,11 +68,11 @@ def call_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("q"),
         F.floor("l_extendedprice").alias("x"),
         F.col("l_shipdate").cast("timestamp").alias("day"),
-        (F.col("l_partkey") % 25).alias("slot"),
+        slot.alias("slot"),
+        *[c.alias(name) for name, c in slot_columns(slot).items()],
     )
     k, n, s, q, x, slot = (F.col(c) for c in "k n s q x slot".split())
-    parts = slot_columns(slot)
-    account, region, model = parts["account"], parts["region"], parts["model"]
+    account, region, model = F.col("account"), F.col("region"), F.col("model")
 
     def profile(home: str, prefix: str) -> Column:
         return F.concat(
@@ -90,16 +95,25 @@ def call_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 5 == 2, '{"service_tier":"reserved","cachePoint":{"ttl": "1h"}}')
         .when(k % 5 == 3, "not json")
     )
+    # Texts used several times are columns of their own, so that they are built once per row.
+    line = line.withColumns(
+        {
+            "model_id": model_id,
+            "body": body,
+            "arn": _arn(s % 5, account, s.cast("string")),
+            "time": F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'.000Z'"),
+        }
+    )
     has_latency = n % 5 != 0
     call = F.struct(
         F.concat(F.lit("req-"), k, F.lit("-"), n).alias("requestId"),
-        F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'.000Z'").alias("timestamp"),
+        F.col("time").alias("timestamp"),
         account.alias("accountId"),
         region.alias("region"),
-        model_id.alias("modelId"),
+        F.col("model_id").alias("modelId"),
         F.struct(
             (q * 10).alias("inputTokenCount"),
-            body.alias("inputBodyJson"),
+            F.col("body").alias("inputBodyJson"),
             F.when(s % 10 == 0, q * 2).alias("cacheWriteInputTokenCount"),
             F.when(s % 7 == 0, x % 500).alias("cacheReadInputTokenCount"),
         ).alias("input"),
@@ -114,7 +128,7 @@ def call_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(slot == VIDEO_SLOT, q * 0.5).alias("videoDurationSeconds"),
             F.when(slot == VIDEO_SLOT, "720p").alias("videoResolution"),
         ).alias("output"),
-        F.struct(_arn(s % 5, account, s.cast("string")).alias("arn")).alias("identity"),
+        F.struct("arn").alias("identity"),
         F.when(s % 20 == 3, F.concat(F.lit("agent-"), s)).alias("agentId"),
         F.when(s % 20 == 3, "live").alias("agentAlias"),
         F.when(k % 9 == 0, F.concat(F.lit("guard-"), k % 3)).alias("guardrailId"),
