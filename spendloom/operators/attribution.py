@@ -18,7 +18,7 @@ from spendloom.functions.billing import measure_for
 from spendloom.functions.calls import billing_cross_region, strip_cross_region_prefix
 from spendloom.functions.common import round10
 from spendloom.operators.records import with_model_ids
-from spendloom.operators.skew import ROWS_PER_SLICE, fill_keys, heavy_keys, repeat, spread
+from spendloom.operators.skew import ROWS_PER_SLICE, fill_keys, literal_heavy_keys, repeat, spread
 from spendloom.session import materialize
 
 BUCKET = [
@@ -152,31 +152,33 @@ def attribute(
     user and the sum of the other shares come from aggregates that combine on the map side,
     so no task ever holds a heavy bucket.  Sums of shares are decimal, exact in any order.
     """
-    # Both are read by several branches below; the calls behind `usage` are scanned once.
+    # Read several times below; the calls behind it are scanned once.
     usage = materialize(usage.withColumn("_user", F.struct(*USER)), "usage")
     totals = usage_totals(usage)
-    matched = materialize(match_buckets(with_usage_scope(buckets, billing_names), totals), "matched")
-    heavy = heavy_keys(users_per_key(totals), USAGE_KEY, "users", rows_per_slice)
-    rows = repeat(matched, heavy, USAGE_KEY).join(
-        spread(usage, heavy, USAGE_KEY, salt=USER), [*USAGE_KEY, "_salt"], "left"
-    )
+    matched = match_buckets(with_usage_scope(buckets, billing_names), totals)
+    heavy = literal_heavy_keys(users_per_key(totals), USAGE_KEY, "users", rows_per_slice)
+    if heavy is None:
+        return _split_in_one_pass(_with_shares(matched.join(usage, USAGE_KEY, "left"))).select(*_OUTPUT)
+
+    matched = materialize(matched, "matched")
+    placed = spread(usage, heavy, USAGE_KEY, salt=USER)
+    rows = repeat(matched, heavy, USAGE_KEY).join(placed, [*USAGE_KEY, "_salt"], "left")
     # a bucket with users may still meet an empty slice
-    rows = rows.where(F.col("users").isNull() | F.col("_user").isNotNull())
-
-    total = F.col("total_tokens")
-    proportion = F.when(total == 0, 1.0 / F.col("users")).otherwise(F.try_divide("user_tokens", total))
-    rows = rows.withColumn("proportion", proportion).withColumn(
-        "share", round10(F.col("proportion") * F.col("bucket_unblended_cost")).cast("decimal(28,10)")
-    )
+    rows = _with_shares(rows.where(F.col("users").isNull() | F.col("_user").isNotNull()))
     in_slices = F.coalesce("_slices", F.lit(1)) > 1
     light = _split_in_one_pass(rows.where(~in_slices))
-    sliced = _split_slices(rows.where(in_slices))
-    return light.unionByName(sliced).select(*_OUTPUT)
+    return light.unionByName(_split_slices(rows.where(in_slices))).select(*_OUTPUT)
+
 
+def _with_shares(rows: DataFrame) -> DataFrame:
+    total = F.col("total_tokens")
+    proportion = F.when(total == 0, 1.0 / F.col("users")).otherwise(F.try_divide("user_tokens", total))
+    share = round10(proportion * F.col("bucket_unblended_cost")).cast("decimal(28,10)")
+    return rows.withColumns({"proportion": proportion, "share": share})
 
 def _split_in_one_pass(rows: DataFrame) -> DataFrame:
     """Buckets of ordinary size, and those without users."""
-    by_user = Window.partitionBy(*USAGE_KEY, "_salt", *BUCKET).orderBy("_user")
+    by_user = Window.partitionBy(*USAGE_KEY, *[c for c in BUCKET if c not in USAGE_KEY]).orderBy("_user")
     earlier = F.sum("share").over(by_user.rowsBetween(Window.unboundedPreceding, -1))
     is_last = F.lead("_user").over(by_user).isNull() & (F.col("total_tokens") != 0)
     found = F.col("users").isNotNull()

@@ -1,6 +1,6 @@
 """Calls with their share of billed cost: per call, and folded to the grain reports need."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendloom.fixed_values import RECONCILIATION_STATUSES
@@ -123,12 +123,12 @@ def usage_facts(calls: DataFrame, reconciled: DataFrame | None) -> DataFrame:
         unpriced = {name: F.lit(None).cast("double") for name in _COSTS}
         joined = facts.withColumns({**unpriced, "reconciliation_status": F.lit("pending")})
     else:
-        per_key = facts.groupBy(*COST_KEY).agg(F.sum("fact_calls").alias("calls"))
-        priced = cost_per_call(per_key, cost_per_key(reconciled)).drop("calls")
-        joined = facts.join(priced, COST_KEY, "left")
+        # A cost key has one fact per spelling of its model id and user name, a handful; the
+        # window shares its partitioning with the join.
+        calls_of_key = F.sum("fact_calls").over(Window.partitionBy(*COST_KEY))
+        joined = cost_per_call(facts.withColumn("calls", calls_of_key), cost_per_key(reconciled))
     scaled = {n: F.coalesce(F.col(n) * F.col("fact_calls"), F.lit(0.0)) for n in _COSTS}
-    status = F.coalesce("reconciliation_status", F.lit("pending"))
-    return joined.withColumns({**scaled, "reconciliation_status": status}).select(
+    return joined.withColumns(scaled).select(
         F.to_date("usage_date").alias("day"),
         "accountid",
         "modelid",

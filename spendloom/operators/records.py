@@ -257,5 +257,5 @@ def _select(df: DataFrame, columns: dict[str, Column], keep: tuple[str, ...] = (
 
 def _pairs(df: DataFrame, values: dict[str, str], key: str, value: str) -> DataFrame:
     """A literal two-column table."""
-    rows = F.array(*[F.struct(F.lit(k).alias(key), F.lit(v).alias(value)) for k, v in values.items()])
-    return df.sparkSession.range(1).select(F.inline(rows))
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in values.items())
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t({key}, {value})")

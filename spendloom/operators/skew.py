@@ -62,6 +62,18 @@ def salted_join(
     return left.join(repeat(lookup, heavy, keys), [*keys, "_salt"], how).drop("_salt")
 
 
+def literal_heavy_keys(
+    counts: DataFrame, keys: list[str], n: str, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame | None:
+    """The heavy keys as a literal table, None when there are none.
+
+    Costs one pass over the counts, so use it where they are cheap to get; the plan is then
+    built for the skew the data really has.
+    """
+    rows = heavy_keys(counts, keys, n, rows_per_slice).toArrow()
+    return counts.sparkSession.createDataFrame(rows) if rows.num_rows else None
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """A broadcast side if `df` has at most `max_rows` rows, else `df` as it is.
 

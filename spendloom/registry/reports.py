@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from spendloom.functions.common import iso_to_timestamp
 from spendloom.operators import dataset, quality, records, reports, trend
+from spendloom.plans.reconcile import reconciled_costs
 from spendloom.registry import tables as t
 from spendloom.registry.core import query, r4_sql, rounded
 from spendloom.registry.joins import buckets, newest_costs, reconciled
 
 
 def facts(spark, sf):
-    return dataset.usage_facts(t.calls(spark, sf), reconciled(spark, sf))
+    calls = t.calls(spark, sf)
+    return dataset.usage_facts(calls, reconciled_costs(t.cost_lines(spark, sf), calls))
 
 
 def free_facts(spark, sf):
