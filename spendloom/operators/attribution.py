@@ -193,7 +193,7 @@ def _split_slices(rows: DataFrame) -> DataFrame:
     facts = [*USAGE_KEY, *[c for c in BUCKET if c not in USAGE_KEY], "bucket_unblended_cost"]
     facts += ["total_tokens", "users"]
     last = F.max(F.struct("_user", "user_tokens", "proportion", "share"))
-    per_bucket = rows.groupBy(*facts).agg(last.alias("last"), F.sum("share").alias("all"))
+    per_bucket = rows.groupBy(*facts).agg(last.alias("last"), F.sum("share").cast("decimal(37,10)").alias("all"))
     has_rest = F.col("total_tokens") != 0
     others = (F.col("all") - F.col("last.share")).cast("double")
     rests = per_bucket.where(has_rest).select(
