@@ -15,7 +15,11 @@ from spendloom.sources.readers import CORRUPT
 
 
 def parse_call_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Add `call` (parsed struct) and `error` (why it is unusable, NULL when fine)."""
+    """Add `call` (parsed struct) and `error` (why it is unusable, NULL when fine).
+
+    The parsed value passes through a one-element explode: a filter on `error` would else be
+    moved below the projection and parse the text again for each field it looks at.
+    """
     schema = f"{schemas.RAW_CALL}, {CORRUPT} string"
     parsed = F.from_json(F.col(value), schema, {"columnNameOfCorruptRecord": CORRUPT})
     is_broken = F.col("call").isNull() | F.col(f"call.{CORRUPT}").isNotNull()
@@ -25,7 +29,7 @@ def parse_call_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     error = F.when(is_broken, "not a JSON object of the call log").otherwise(
         F.coalesce(calls.missing_field_error(F.col("call")), unreadable_time)
     )
-    return lines.withColumn("call", parsed).withColumn("error", error)
+    return lines.withColumn("call", F.explode(F.array(parsed))).withColumn("error", error)
 
 
 def call_rows(parsed: DataFrame, default_region: str = "unknown", keep: tuple[str, ...] = ()) -> DataFrame:
