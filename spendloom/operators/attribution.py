@@ -153,16 +153,17 @@ def attribute(
     so no task ever holds a heavy bucket.  Sums of shares are decimal, exact in any order.
     """
     # Read several times below; the calls behind it are scanned once.
-    usage = materialize(usage.withColumn("_user", F.struct(*USER)), "usage")
+    usage = materialize(usage.withColumns({"_user": F.struct(*USER), "_key": _key()}), "usage")
     totals = usage_totals(usage)
     matched = match_buckets(with_usage_scope(buckets, billing_names), totals)
+    matched = matched.withColumn("_key", _key())
     heavy = literal_heavy_keys(users_per_key(totals), USAGE_KEY, "users", rows_per_slice)
     if heavy is None:
-        return _split_in_one_pass(_with_shares(matched.join(usage, USAGE_KEY, "left"))).select(*_OUTPUT)
+        return _split_in_one_pass(_with_shares(matched.join(usage, ["_key", *USAGE_KEY], "left"))).select(*_OUTPUT)
 
     matched = materialize(matched, "matched")
     placed = spread(usage, heavy, USAGE_KEY, salt=USER)
-    rows = repeat(matched, heavy, USAGE_KEY).join(placed, [*USAGE_KEY, "_salt"], "left")
+    rows = repeat(matched, heavy, USAGE_KEY).join(placed, ["_key", *USAGE_KEY, "_salt"], "left")
     # a bucket with users may still meet an empty slice
     rows = _with_shares(rows.where(F.col("users").isNull() | F.col("_user").isNotNull()))
     in_slices = F.coalesce("_slices", F.lit(1)) > 1
@@ -170,6 +171,12 @@ def attribute(
     return light.unionByName(_split_slices(rows.where(in_slices))).select(*_OUTPUT)
 
 
+def _key():
+    """Hash of the usage key, put in front of it in joins: sorting then compares numbers, not
+    texts that all begin with the same date."""
+    return F.xxhash64(*USAGE_KEY)
+
+
 def _with_shares(rows: DataFrame) -> DataFrame:
     total = F.col("total_tokens")
     proportion = F.when(total == 0, 1.0 / F.col("users")).otherwise(F.try_divide("user_tokens", total))
@@ -178,7 +185,7 @@ def _with_shares(rows: DataFrame) -> DataFrame:
 
 def _split_in_one_pass(rows: DataFrame) -> DataFrame:
     """Buckets of ordinary size, and those without users."""
-    by_user = Window.partitionBy(*USAGE_KEY, *[c for c in BUCKET if c not in USAGE_KEY]).orderBy("_user")
+    by_user = Window.partitionBy("_key", *USAGE_KEY, *[c for c in BUCKET if c not in USAGE_KEY]).orderBy("_user")
     earlier = F.sum("share").over(by_user.rowsBetween(Window.unboundedPreceding, -1))
     is_last = F.lead("_user").over(by_user).isNull() & (F.col("total_tokens") != 0)
     found = F.col("users").isNotNull()
