@@ -28,7 +28,7 @@ def read_audit_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     A document is one JSON value, so a file is the unit of parallelism here.
     """
-    documents = spark.read.option("wholetext", True).text(paths)
+    documents = spark.read.text(paths, wholetext=True)
     return parse_audit_documents(
         documents.select("value", F.col("_metadata.file_path").alias("source_file"))
     )
