@@ -18,7 +18,7 @@ from spendloom.functions.billing import measure_for
 from spendloom.functions.calls import billing_cross_region, strip_cross_region_prefix
 from spendloom.functions.common import round10
 from spendloom.operators.records import with_model_ids
-from spendloom.operators.skew import ROWS_PER_SLICE, fill_keys, literal_heavy_keys, repeat, spread
+from spendloom.operators.skew import ROWS_PER_SLICE, fill_keys, hashed_join, literal_heavy_keys, repeat, spread
 from spendloom.session import materialize
 
 BUCKET = [
@@ -112,7 +112,7 @@ def match_buckets(buckets: DataFrame, totals: DataFrame) -> DataFrame:
         return F.coalesce(*options)
 
     return (
-        buckets.join(totals, USAGE_SCOPE, "left")
+        hashed_join(buckets, totals, USAGE_SCOPE, "left")
         .withColumns(
             {
                 "usage_cross": pick(F.lit),

@@ -7,7 +7,8 @@ from spendloom.fixed_values import RECONCILIATION_STATUSES
 from spendloom.functions.calls import strip_cross_region_prefix
 from spendloom.functions.common import display_user, friendly_model_name, iso_to_timestamp, model_name
 from spendloom.operators.filters import active_in_dataset
-from spendloom.operators.skew import ROWS_PER_SLICE, salted_join
+from spendloom.operators.skew import ROWS_PER_SLICE, hashed_join, salted_join
+from spendloom.session import materialize
 
 COST_KEY = ["accountid", "usage_date", "cost_model", "resolveduserid"]
 _INPUT_TYPES = ("input-tokens", "cache-read-input-token-count", "cache-write-input-token-count")
@@ -51,7 +52,7 @@ def cost_per_call(calls_per_key: DataFrame, costs: DataFrame) -> DataFrame:
     divided = {name: F.coalesce(F.try_divide(name, "calls"), F.lit(0.0)) for name in _COSTS}
     status = F.coalesce("reconciliation_status", F.lit("pending"))
     return (
-        calls_per_key.join(costs, COST_KEY, "left")
+        hashed_join(calls_per_key, costs, COST_KEY, "left")
         .withColumns({**divided, "reconciliation_status": status})
     )
 
@@ -66,9 +67,17 @@ def call_dataset(
     """
     keyed = with_cost_key(calls).drop(*_COSTS)
     counts = keyed.groupBy(*COST_KEY).agg(F.count("*").alias("calls"))
-    priced = cost_per_call(counts, cost_per_key(reconciled)).drop("calls")
+    # Serves the skew check and the join.
+    priced = materialize(cost_per_call(counts, cost_per_key(reconciled)), "priced")
     joined = salted_join(
-        keyed, priced, COST_KEY, counts, "calls", "left", salt=["requestid"], rows_per_slice=rows_per_slice
+        keyed,
+        priced.drop("calls"),
+        COST_KEY,
+        priced,
+        "calls",
+        "left",
+        salt=["requestid"],
+        rows_per_slice=rows_per_slice,
     )
     zero = {name: F.coalesce(name, F.lit(0.0)) for name in _COSTS}
     joined = joined.withColumns(
@@ -125,7 +134,7 @@ def usage_facts(calls: DataFrame, reconciled: DataFrame | None) -> DataFrame:
     else:
         # A cost key has one fact per spelling of its model id and user name, a handful; the
         # window shares its partitioning with the join.
-        calls_of_key = F.sum("fact_calls").over(Window.partitionBy(*COST_KEY))
+        calls_of_key = F.sum("fact_calls").over(Window.partitionBy(F.xxhash64(*COST_KEY), *COST_KEY))
         joined = cost_per_call(facts.withColumn("calls", calls_of_key), cost_per_key(reconciled))
     scaled = {n: F.coalesce(F.col(n) * F.col("fact_calls"), F.lit(0.0)) for n in _COSTS}
     return joined.withColumns(scaled).select(

@@ -53,13 +53,26 @@ def salted_join(
 ) -> DataFrame:
     """Join many `rows` to few `lookup` rows per key, `how` being `inner` or `left`.
 
-    `counts` tells how many `rows` each key has.  Rows of a heavy key are spread over its
-    slices and the lookup rows of that key are repeated once per slice; other keys join as
-    usual.  Every row meets every lookup row of its key once.
+    `counts` tells how many `rows` each key has and is evaluated right away, so that the plan
+    fits the data.  Rows of a heavy key are spread over its slices and the lookup rows of that
+    key are repeated once per slice; other keys join as usual.  Every row meets every lookup
+    row of its key once.
     """
-    heavy = heavy_keys(counts, keys, n, rows_per_slice)
+    heavy = literal_heavy_keys(counts, keys, n, rows_per_slice)
+    if heavy is None:
+        return hashed_join(rows, lookup, keys, how)
     left = spread(rows, heavy, keys, salt).drop("_slices")
-    return left.join(repeat(lookup, heavy, keys), [*keys, "_salt"], how).drop("_salt")
+    return hashed_join(left, repeat(lookup, heavy, keys), [*keys, "_salt"], how).drop("_salt")
+
+
+def hashed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A plain join with a hash of the keys in front of them.
+
+    Sorting then compares numbers, not texts that all begin with the same date or account.
+    """
+    key = F.xxhash64(*keys)
+    joined = left.withColumn("_key", key).join(right.withColumn("_key", key), ["_key", *keys], how)
+    return joined.drop("_key")
 
 
 def literal_heavy_keys(

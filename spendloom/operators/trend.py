@@ -25,9 +25,14 @@ def monthly_growth(daily: DataFrame, value: str = "tokens", day: str = "day") ->
     return _with_growth(months, value, "month")
 
 
+def with_previous(rows: DataFrame, value: str, period: str) -> DataFrame:
+    """Add the value of the period before; `rows` has one row per period."""
+    return rows.withColumn("previous", F.lag(value).over(Window.orderBy(period)))
+
+
 def _with_growth(rows: DataFrame, value: str, period: str) -> DataFrame:
-    previous = F.lag(value).over(Window.orderBy(period))
-    return rows.withColumn("growth", _growth(F.col(value), previous))
+    compared = with_previous(rows, value, period)
+    return compared.withColumn("growth", _growth(F.col(value), F.col("previous"))).drop("previous")
 
 
 def _growth(current: Column, previous: Column) -> Column:

@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from spendloom.functions.common import iso_to_timestamp
-from spendloom.operators import dataset, quality, records, reports, trend
+from spendloom.operators import dataset, filters, quality, records, reports, trend
 from spendloom.plans.reconcile import reconciled_costs
 from spendloom.registry import tables as t
 from spendloom.registry.core import query, r4_sql, rounded
@@ -84,6 +84,24 @@ def window_metrics(spark, sf):
     return rounded(t.metric_rows(spark, sf), "invocationlatencyavg", "invocationlatencyp99").drop("window_start")
 
 
+@query(
+    "s6_metric_pull",
+    f"""SELECT modelid, count(*) AS windows, CAST(sum(invocationcount) AS BIGINT) AS calls,
+      {r4_sql('max(invocationlatencyp99)')} AS worst_p99, CAST(sum(errorcount) AS BIGINT) AS errors
+      FROM metrics WHERE invocationcount > 0 OR invocationlatencyavg > 0 GROUP BY 1""",
+)
+def metric_pull(spark, sf):
+    """The five statistics of every model and window, for windows with activity."""
+    rows = filters.active_in_collector(t.metric_rows(spark, sf)).groupBy("modelid")
+    pulled = rows.agg(
+        F.count("*").alias("windows"),
+        F.sum("invocationcount").alias("calls"),
+        F.max("invocationlatencyp99").alias("worst_p99"),
+        F.sum("errorcount").alias("errors"),
+    )
+    return rounded(pulled, "worst_p99")
+
+
 @query(
     "a12_cost_heat_map",
     f"""SELECT friendlymodelname, strptime(usage_date, '%Y-%m-%d')::DATE AS day, {r4_sql('sum(totalcost)')} AS total_cost
@@ -279,6 +297,18 @@ def monthly_growth(spark, sf):
     return rounded(trend.monthly_growth(daily(spark, sf)), "growth")
 
 
+@query(
+    "w6_previous_period",
+    """WITH m AS (SELECT usage_date[:7] AS month, CAST(sum(outputtokens) AS BIGINT) AS tokens FROM calls GROUP BY 1)
+      SELECT m.month, m.tokens, p.tokens AS previous FROM m
+      LEFT JOIN m p ON strptime(p.month, '%Y-%m') = strptime(m.month, '%Y-%m') - INTERVAL 1 MONTH""",
+)
+def previous_period(spark, sf):
+    """Each month beside the one before it."""
+    months = t.calls(spark, sf).groupBy(F.substring("usage_date", 1, 7).alias("month"))
+    return trend.with_previous(months.agg(F.sum("outputtokens").alias("tokens")), "tokens", "month")
+
+
 @query(
     "a24_efficiency",
     f"""SELECT resolvedusername, {r4_sql('sum(inputtokens + outputtokens) / count(*)')} AS tokens_per_call,

@@ -5,19 +5,16 @@ partition land together, so there are few files, and the adaptive planner splits
 partition that grows past its target size, so a hot day or hour never sits in one task.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendloom.functions.common import partition_columns
 from spendloom.schemas import DAY_PARTITIONS, HOUR_PARTITIONS
 
 
-def with_hour_partitions(df: DataFrame, timestamp_col: str = "timestamp", region: Column | None = None):
-    """Add `[region_partition,] year, month, day, hour` in UTC from an ISO text column."""
-    parts = partition_columns(F.col(timestamp_col))
-    if region is not None:
-        parts["region_partition"] = region
-    return df.withColumns(parts)
+def with_hour_partitions(df: DataFrame, timestamp_col: str = "timestamp") -> DataFrame:
+    """Add `year, month, day, hour` in UTC from an ISO text column."""
+    return df.withColumns(partition_columns(F.col(timestamp_col)))
 
 
 def with_day_partitions(df: DataFrame, date_col: str = "usage_date") -> DataFrame:
@@ -27,6 +24,7 @@ def with_day_partitions(df: DataFrame, date_col: str = "usage_date") -> DataFram
 
 
 def append_partitioned(df: DataFrame, path: str, partitions: tuple[str, ...] = HOUR_PARTITIONS) -> None:
+    """Append to a table; with several regions put `region` in front of the partitions."""
     _balanced(df, partitions).write.mode("append").partitionBy(*partitions).parquet(path)
 
 

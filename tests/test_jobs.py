@@ -191,3 +191,13 @@ def test_dynamic_overwrite_replaces_only_touched_days(spark, tmp_path):
     write([("2024-01-02", 5)])
     rows = readers.read_table(spark, path, schema, schemas.DAY_PARTITIONS).agg(F.sum("v")).first()[0]
     assert rows == 1 + 5 + 3
+
+
+def test_region_leads_the_partitions_of_several_regions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(AT, "us-east-1", 1), (AT, "eu-west-1", 2)], "timestamp string, region string, v int")
+    keys = ("region", *schemas.HOUR_PARTITIONS)
+    writers.append_partitioned(writers.with_hour_partitions(rows), path, keys)
+    assert (tmp_path / "t/region=eu-west-1/year=2024/month=01/day=15/hour=14").is_dir()
+    stored = readers.read_table(spark, path, "timestamp string, v int", keys)
+    assert sorted((r["region"], r["v"]) for r in stored.collect()) == [("eu-west-1", 2), ("us-east-1", 1)]
