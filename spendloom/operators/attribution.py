@@ -153,7 +153,8 @@ def attribute(
     so no task ever holds a heavy bucket.  Sums of shares are decimal, exact in any order.
     """
     # Read several times below; the calls behind it are scanned once.
-    usage = materialize(usage.withColumns({"_user": F.struct(*USER), "_key": _key()}), "usage")
+    usage = usage.withColumns({"_user": F.struct(*USER), "_key": _key()}).drop(*USER)
+    usage = materialize(usage, "usage")
     totals = usage_totals(usage)
     matched = match_buckets(with_usage_scope(buckets, billing_names), totals)
     matched = matched.withColumn("_key", _key())
@@ -162,7 +163,7 @@ def attribute(
         return _split_in_one_pass(_with_shares(matched.join(usage, ["_key", *USAGE_KEY], "left"))).select(*_OUTPUT)
 
     matched = materialize(matched, "matched")
-    placed = spread(usage, heavy, USAGE_KEY, salt=USER)
+    placed = spread(usage, heavy, USAGE_KEY, salt=["_user"])
     rows = repeat(matched, heavy, USAGE_KEY).join(placed, ["_key", *USAGE_KEY, "_salt"], "left")
     # a bucket with users may still meet an empty slice
     rows = _with_shares(rows.where(F.col("users").isNull() | F.col("_user").isNotNull()))
