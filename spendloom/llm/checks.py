@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spendloom.llm import mixing
+from spendloom.llm import mixing, topk
 from spendloom.llm import quality_rules as q
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,3 +86,28 @@ counted AS (
   GROUP BY d.r, d.doc_id, d.text, d.lang, d.source, d.n_chars),
 repeated AS (SELECT doc_id, text, lang, source, n_chars, unnest(generate_series(1, copies))::INT AS copy FROM counted WHERE copies > 0)
 SELECT *, {key} AS mix_key FROM repeated"""
+
+
+def top_k_sql(embeddings: str = "embeddings") -> str:
+    return f"""
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)::BIGINT) AS v FROM {embeddings}
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM pairs QUALIFY rank <= {topk.K}"""
+
+
+def warc_sql(pages: str = "pages") -> str:
+    """Base32 from the hexadecimal SHA-1: five digits are four characters."""
+    char = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)"
+    return f"""
+WITH read AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM {pages}),
+headed AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS head FROM read)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: {char}), 'string_agg', '') AS payload_digest,
+  CASE WHEN head IS NOT NULL AND page_id IS DISTINCT FROM head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN head IS NOT NULL AND page_id IS DISTINCT FROM head THEN head END AS refers_to
+FROM headed"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import checks, mixing, packing, quality_rules
-from spendloom.llm.common import checkpointed, table
+from spendloom.llm import checks, extraction, mixing, packing, quality_rules, topk, warc
+from spendloom.llm.common import checkpointed, shared_folder, table
 
 #: Where the public tokenizer files are; a parameter of the operators that need one.
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +33,19 @@ def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents")).select("row.*", "copy", "mix_key")
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4()}"
+    return warc.round_trip(table(spark, sf_dir, "pages"), folder)
+
+
+def op8_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,10 +53,15 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_poisson_mix": op2_poisson_mix,
+    "op5_top_k": op5_top_k,
+    "op7_warc": op7_warc,
+    "op8_extract_html": op8_extract_html,
     "op10_pack_sequences": op10_pack_sequences,
 }
 
 CHECKS: dict[str, str] = {
     "op1_quality_rules": checks.quality_rules_sql(),
     "op2_poisson_mix": checks.poisson_mix_sql(),
+    "op5_top_k": checks.top_k_sql(),
+    "op7_warc": checks.warc_sql(),
 }
