@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import checks, extraction, mixing, packing, quality_rules, topk, warc
+from spendloom.llm import checks, extraction, mixing, neardup, packing, quality_rules, topk, warc
 from spendloom.llm.common import checkpointed, shared_folder, table
 
 #: Where the public tokenizer files are; a parameter of the operators that need one.
@@ -46,6 +46,10 @@ def op8_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_top_k": op5_top_k,
     "op7_warc": op7_warc,
     "op8_extract_html": op8_extract_html,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_pack_sequences": op10_pack_sequences,
 }
 
