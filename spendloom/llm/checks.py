@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spendloom.llm import mixing, topk
+from spendloom.llm import mixing, substrings, topk
 from spendloom.llm import quality_rules as q
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,3 +111,23 @@ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
   CASE WHEN head IS NOT NULL AND page_id IS DISTINCT FROM head THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN head IS NOT NULL AND page_id IS DISTINCT FROM head THEN head END AS refers_to
 FROM headed"""
+
+
+def substrings_sql(documents: str = "documents") -> str:
+    """Every window as the list of its words."""
+    n = substrings.WINDOW
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {substrings.LAST_ID}) AS d, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM {documents}),
+windows AS (
+  SELECT r, d, s, array_to_string(list_slice(words, s, s + {n - 1}), ' ') AS w
+  FROM (SELECT r, d, words, unnest(range(1, len(words) - {n - 2})) AS s FROM docs WHERE len(words) >= {n})),
+hit AS (SELECT r, s FROM (SELECT r, s, d, min(d) OVER (PARTITION BY w) AS first FROM windows) WHERE first < d),
+spread AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs),
+flagged AS (
+  SELECT p.r, p.pos, p.word, max(h.s) OVER (PARTITION BY p.r ORDER BY p.pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM spread p LEFT JOIN hit h ON p.r = h.r AND p.pos = h.s),
+kept AS (
+  SELECT r, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone), '') AS rest
+  FROM flagged GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import checks, extraction, mixing, neardup, packing, quality_rules, topk, warc
+from spendloom.llm import checks, extraction, mixing, neardup, packing, quality_rules, substrings, topk, warc
 from spendloom.llm.common import checkpointed, shared_folder, table
 
 #: Where the public tokenizer files are; a parameter of the operators that need one.
@@ -37,6 +37,10 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4()}"
     return warc.round_trip(table(spark, sf_dir, "pages"), folder)
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_poisson_mix": op2_poisson_mix,
     "op5_top_k": op5_top_k,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_warc": op7_warc,
     "op8_extract_html": op8_extract_html,
     "op9_near_duplicates": op9_near_duplicates,
@@ -68,5 +73,6 @@ CHECKS: dict[str, str] = {
     "op1_quality_rules": checks.quality_rules_sql(),
     "op2_poisson_mix": checks.poisson_mix_sql(),
     "op5_top_k": checks.top_k_sql(),
+    "op6_substring_dedup": checks.substrings_sql(),
     "op7_warc": checks.warc_sql(),
 }
