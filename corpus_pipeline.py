@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import mixing, packing, quality_rules, registry
+from spendloom.llm import mixing, neardup, packing, quality_rules, registry, secrets
 from spendloom.llm.common import shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,6 +18,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).filter("kept").select("row.*")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near-duplicates."""
+    return neardup.deduplicated(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets by a mark."""
+    return secrets.redacted(docs, registry.tokenizer_path())
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or thins out documents so that the sources reach their target weights."""
     return mixing.poisson_mix(docs).select("row.*")
@@ -30,6 +40,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
     ("mix_sources", mix),
     ("pack_sequences", pack),
 ]

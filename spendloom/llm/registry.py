@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import checks, extraction, lm_scores, mixing, neardup, packing, quality_rules, substrings, topk, warc
+from spendloom.llm import checks, extraction, lm_scores, mixing, neardup, packing, quality_rules, secrets, substrings, topk, warc
 from spendloom.llm.common import checkpointed, shared_folder, table
 
 #: Where the public tokenizer files are; a parameter of the operators that need one.
@@ -33,6 +33,10 @@ def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents")).select("row.*", "copy", "mix_key")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores.score(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_poisson_mix": op2_poisson_mix,
+    "op3_secret_scan": op3_secret_scan,
     "op4_lm_scores": op4_lm_scores,
     "op5_top_k": op5_top_k,
     "op6_substring_dedup": op6_substring_dedup,
