@@ -3,7 +3,7 @@
 cost lines -> buckets (7 keys) -> matched to per-user usage -> shares, without losing a cent.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendloom.fixed_values import (
@@ -18,8 +18,7 @@ from spendloom.functions.billing import measure_for
 from spendloom.functions.calls import billing_cross_region, strip_cross_region_prefix
 from spendloom.functions.common import round10
 from spendloom.operators.records import with_model_ids
-from spendloom.operators.skew import ROWS_PER_SLICE, fill_keys, hashed_join, literal_heavy_keys, repeat, spread
-from spendloom.session import materialize
+from spendloom.operators.joins import fill_keys, hashed_join
 
 BUCKET = [
     "usage_date",
@@ -72,36 +71,23 @@ def usage_by_user(calls: DataFrame) -> DataFrame:
 
 
 def usage_totals(usage: DataFrame) -> DataFrame:
-    """Total and user count per usage scope, one pair of columns per cross-region type.
-
-    One hash aggregate over per-user rows; its buffers are numbers only.
-    """
+    """Total, user count and last user (by id and name) per usage scope, for each cross-region type."""
     aggregates = []
     for cross, name in _CROSS_NAMES.items():
         of_type = F.col("usage_cross") == cross
         aggregates.append(F.sum(F.when(of_type, F.col("user_tokens"))).alias(f"total_{name}"))
         aggregates.append(F.count_if(of_type).alias(f"users_{name}"))
+        aggregates.append(F.max(F.when(of_type, F.struct(*USER, "user_tokens"))).alias(f"last_{name}"))
     return usage.groupBy(*USAGE_SCOPE).agg(*aggregates)
 
 
-def users_per_key(totals: DataFrame) -> DataFrame:
-    """Number of usage rows of each usage key that occurs."""
-    rows = F.array(
-        *[
-            F.struct(F.lit(cross).alias("usage_cross"), F.col(f"users_{name}").alias("users"))
-            for cross, name in _CROSS_NAMES.items()
-        ]
-    )
-    return totals.select(*USAGE_SCOPE, F.inline(rows)).where("users > 0")
-
-
 def match_buckets(buckets: DataFrame, totals: DataFrame) -> DataFrame:
-    """Give each bucket the usage it is split by: `usage_cross`, `total_tokens`, `users`.
+    """Give each bucket the usage it is split by: `usage_cross`, `total_tokens`, `users`, `last`.
 
     A bucket takes usage of its own cross-region type.  A `none` bucket without any takes
     global usage, then geo usage.  Both sides are one row per key, and each bucket meets the
     usage of all three types in one row, so the fallback needs no further join.  Without any
-    usage the three columns are NULL.
+    usage the four columns are NULL.
     """
     asked = F.col("cross_region_type")
     takes = [(asked == cross, cross) for cross in _CROSS_NAMES]
@@ -118,9 +104,10 @@ def match_buckets(buckets: DataFrame, totals: DataFrame) -> DataFrame:
                 "usage_cross": pick(F.lit),
                 "total_tokens": pick(lambda c: F.col(f"total_{_CROSS_NAMES[c]}")),
                 "users": pick(lambda c: F.col(f"users_{_CROSS_NAMES[c]}")),
+                "last": pick(lambda c: F.col(f"last_{_CROSS_NAMES[c]}")),
             }
         )
-        .drop(*[f"{kind}_{name}" for kind in ("total", "users") for name in _CROSS_NAMES.values()])
+        .drop(*[f"{kind}_{name}" for kind in ("total", "users", "last") for name in _CROSS_NAMES.values()])
     )
 
 
@@ -135,104 +122,67 @@ def with_usage_scope(buckets: DataFrame, billing_names: DataFrame | None = None)
     ).drop("resolved_model_id")
 
 
-def attribute(
-    buckets: DataFrame,
-    usage: DataFrame,
-    billing_names: DataFrame | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
+def attribute(buckets: DataFrame, usage: DataFrame, billing_names: DataFrame | None = None) -> DataFrame:
     """`reconciled_costs` rows: every bucket's cost, fully split over its users.
 
     Shares are rounded to ten decimals; the last user of a bucket (by id and name) takes what
     is left, so the rows of a bucket add up to its cost.  With zero usage everyone gets the
     same share.  A bucket nobody used is one UNMATCHED row.
 
-    A bucket may have any number of users.  Buckets of ordinary size are split in one pass
-    with a running sum, right after the join.  A heavy one is cut into slices first; its last
-    user and the sum of the other shares come from aggregates that combine on the map side,
-    so no task ever holds a heavy bucket.  Sums of shares are decimal, exact in any order.
+    A bucket may have any number of users.  The last user comes with the totals, the sum of the
+    other shares from an aggregate; both combine on the map side, and the join of usage with
+    buckets can be split on its usage side, so no task ever has to hold a bucket.  Sums of
+    shares are decimal, exact in any order.
     """
-    # Read several times below; the calls behind it are scanned once.
-    usage = usage.withColumns({"_user": F.struct(*USER), "_key": _key()}).drop(*USER)
-    usage = materialize(usage, "usage")
-    totals = usage_totals(usage)
-    matched = match_buckets(with_usage_scope(buckets, billing_names), totals)
-    matched = matched.withColumn("_key", _key())
-    heavy = literal_heavy_keys(users_per_key(totals), USAGE_KEY, "users", rows_per_slice)
-    if heavy is None:
-        return _split_in_one_pass(_with_shares(matched.join(usage, ["_key", *USAGE_KEY], "left"))).select(*_OUTPUT)
-
-    matched = materialize(matched, "matched")
-    placed = spread(usage, heavy, USAGE_KEY, salt=["_user"])
-    rows = repeat(matched, heavy, USAGE_KEY).join(placed, ["_key", *USAGE_KEY, "_salt"], "left")
-    # a bucket with users may still meet an empty slice
-    rows = _with_shares(rows.where(F.col("users").isNull() | F.col("_user").isNotNull()))
-    in_slices = F.coalesce("_slices", F.lit(1)) > 1
-    light = _split_in_one_pass(rows.where(~in_slices))
-    return light.unionByName(_split_slices(rows.where(in_slices))).select(*_OUTPUT)
-
-
-def _key():
-    """Hash of the usage key, put in front of it in joins: sorting then compares numbers, not
-    texts that all begin with the same date."""
-    return F.xxhash64(*USAGE_KEY)
-
-
-def _with_shares(rows: DataFrame) -> DataFrame:
-    total = F.col("total_tokens")
-    proportion = F.when(total == 0, 1.0 / F.col("users")).otherwise(F.try_divide("user_tokens", total))
-    share = round10(proportion * F.col("bucket_unblended_cost")).cast("decimal(28,10)")
-    return rows.withColumns({"proportion": proportion, "share": share})
-
-def _split_in_one_pass(rows: DataFrame) -> DataFrame:
-    """Buckets of ordinary size, and those without users."""
-    by_user = Window.partitionBy("_key", *USAGE_KEY, *[c for c in BUCKET if c not in USAGE_KEY]).orderBy("_user")
-    earlier = F.sum("share").over(by_user.rowsBetween(Window.unboundedPreceding, -1))
-    is_last = F.lead("_user").over(by_user).isNull() & (F.col("total_tokens") != 0)
-    found = F.col("users").isNotNull()
-    cost = F.col("bucket_unblended_cost")
-    rest = round10(cost - F.coalesce(earlier.cast("double"), F.lit(0.0)))
-    amount = F.when(is_last, rest).otherwise(F.col("share").cast("double"))
-    return _finish(rows.withColumn("attributed_cost", F.when(found, amount).otherwise(cost)))
-
-
-def _split_slices(rows: DataFrame) -> DataFrame:
-    """Buckets whose users are spread over slices."""
-    facts = [*USAGE_KEY, *[c for c in BUCKET if c not in USAGE_KEY], "bucket_unblended_cost"]
-    facts += ["total_tokens", "users"]
-    last = F.max(F.struct("_user", "user_tokens", "proportion", "share"))
-    per_bucket = rows.groupBy(*facts).agg(last.alias("last"), F.sum("share").cast("decimal(37,10)").alias("all"))
-    has_rest = F.col("total_tokens") != 0
-    others = (F.col("all") - F.col("last.share")).cast("double")
-    rests = per_bucket.where(has_rest).select(
-        *facts,
-        "last._user",
-        "last.user_tokens",
-        "last.proportion",
-        round10(F.col("bucket_unblended_cost") - others).alias("attributed_cost"),
+    matched = match_buckets(with_usage_scope(buckets, billing_names), usage_totals(usage))
+    used = matched.where(F.col("users").isNotNull())
+    met = hashed_join(usage, used, USAGE_KEY, "inner")
+    is_last = F.struct(*USER) == F.struct("last.resolved_user_id", "last.resolved_user_name")
+    others = met.where(~is_last).withColumn("attributed_cost", _share())
+    given = others.groupBy(*_BUCKET_ID).agg(F.sum("attributed_cost").cast("decimal(37,10)").alias("given"))
+    rest = round10(F.col("bucket_unblended_cost") - F.coalesce(F.col("given").cast("double"), F.lit(0.0)))
+    lasts = (
+        hashed_join(used.select("*", "last.*"), given, _BUCKET_ID, "left")
+        .withColumn("attributed_cost", F.when(F.col("total_tokens") == 0, _share().cast("double")).otherwise(rest))
     )
-    # The last user of a sliced bucket is known per bucket: few rows, one per heavy bucket.
-    lasts = rests.select(*facts[:-3], "_user", F.lit(True).alias("_is_last"))
-    keys = [*facts[:-3], "_user"]
-    split = rows.join(lasts, keys, "left").where(F.col("_is_last").isNull())
-    split = split.withColumn("attributed_cost", F.col("share").cast("double"))
-    return _finish(split).unionByName(_finish(rests))
+    return _finish(others).unionByName(_finish(lasts)).unionByName(_unmatched(matched.where(F.col("users").isNull())))
+
+
+_BUCKET_ID = [*BUCKET, "model_id", "measure", "bucket_unblended_cost"]
+
+
+def _proportion() -> Column:
+    total = F.col("total_tokens")
+    return F.when(total == 0, 1.0 / F.col("users")).otherwise(F.try_divide("user_tokens", total))
+
+
+def _share() -> Column:
+    return round10(_proportion() * F.col("bucket_unblended_cost")).cast("decimal(28,10)")
 
 
 def _finish(rows: DataFrame) -> DataFrame:
-    """Output columns; a bucket without users names nobody."""
-    found = F.col("users").isNotNull()
-    known = lambda c, default: F.when(found, F.col(c)).otherwise(default)
-    proportion = F.when(F.col("total_tokens") == 0, F.col("proportion")).otherwise(round10(F.col("proportion")))
-    return rows.select(
-        *[c for c in _OUTPUT if c in rows.columns and c not in ("user_tokens", "proportion", *USER)],
-        known("_user.resolved_user_id", UNMATCHED_USER).alias("resolved_user_id"),
-        known("_user.resolved_user_name", UNMATCHED_USER).alias("resolved_user_name"),
-        known("user_tokens", 0.0).alias("user_tokens"),
-        known("total_tokens", 0.0).alias("total_tokens_in_bucket"),
-        F.when(found, proportion).otherwise(0.0).alias("proportion"),
-        F.when(found, "reconciled").otherwise("unmatched").alias("reconciliation_status"),
-    )
+    """Output columns of users' shares."""
+    proportion = F.when(F.col("total_tokens") == 0, _proportion()).otherwise(round10(_proportion()))
+    made = {
+        "total_tokens_in_bucket": F.col("total_tokens"),
+        "proportion": proportion,
+        "attributed_cost": F.col("attributed_cost").cast("double"),
+        "reconciliation_status": F.lit("reconciled"),
+    }
+    return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in _OUTPUT])
+
+
+def _unmatched(buckets: DataFrame) -> DataFrame:
+    """Output columns of buckets nobody used."""
+    made = {
+        **{name: F.lit(UNMATCHED_USER) for name in USER},
+        "user_tokens": F.lit(0.0),
+        "total_tokens_in_bucket": F.lit(0.0),
+        "proportion": F.lit(0.0),
+        "attributed_cost": F.col("bucket_unblended_cost").cast("double"),
+        "reconciliation_status": F.lit("unmatched"),
+    }
+    return buckets.select(*[made[c].alias(c) if c in made else F.col(c) for c in _OUTPUT])
 
 
 _OUTPUT = [

@@ -7,8 +7,7 @@ from spendloom.fixed_values import RECONCILIATION_STATUSES
 from spendloom.functions.calls import strip_cross_region_prefix
 from spendloom.functions.common import display_user, friendly_model_name, iso_to_timestamp, model_name
 from spendloom.operators.filters import active_in_dataset
-from spendloom.operators.skew import ROWS_PER_SLICE, hashed_join, salted_join
-from spendloom.session import materialize
+from spendloom.operators.joins import hashed_join
 
 COST_KEY = ["accountid", "usage_date", "cost_model", "resolveduserid"]
 _INPUT_TYPES = ("input-tokens", "cache-read-input-token-count", "cache-write-input-token-count")
@@ -57,28 +56,17 @@ def cost_per_call(calls_per_key: DataFrame, costs: DataFrame) -> DataFrame:
     )
 
 
-def call_dataset(
-    calls: DataFrame, reconciled: DataFrame, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
+def call_dataset(calls: DataFrame, reconciled: DataFrame) -> DataFrame:
     """Every call with its cost, names and totals: the dataset behind the dashboards.
 
     Calls are counted per key with a map-side combine; cost meets those counts one row to
-    one row; only the last join has all calls on one side, and it is split on heavy keys.
+    one row; only the last join has all calls on one side, the left one, which the adaptive
+    planner splits where a key is heavy.
     """
     keyed = with_cost_key(calls).drop(*_COSTS)
     counts = keyed.groupBy(*COST_KEY).agg(F.count("*").alias("calls"))
-    # Serves the skew check and the join.
-    priced = materialize(cost_per_call(counts, cost_per_key(reconciled)), "priced")
-    joined = salted_join(
-        keyed,
-        priced.drop("calls"),
-        COST_KEY,
-        priced,
-        "calls",
-        "left",
-        salt=["requestid"],
-        rows_per_slice=rows_per_slice,
-    )
+    priced = cost_per_call(counts, cost_per_key(reconciled)).drop("calls")
+    joined = hashed_join(keyed, priced, COST_KEY, "left")
     zero = {name: F.coalesce(name, F.lit(0.0)) for name in _COSTS}
     joined = joined.withColumns(
         {**zero, "reconciliation_status": F.coalesce("reconciliation_status", F.lit("pending"))}

@@ -48,18 +48,13 @@ def of_models(df: DataFrame, models: Iterable[str] | None, column: str = "modeli
     return df.where(F.col(column).isin(*models))
 
 
-def restrict_to(df: DataFrame, wanted: DataFrame, columns: list[str], max_values: int = 2_000) -> DataFrame:
-    """Rows of `df` whose `columns` occur in `wanted`; meant for partition columns.
+def restrict_to(df: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of `df` whose `columns` occur in `wanted`.
 
-    Up to `max_values` distinct values become a literal list, which prunes partitions while
-    the query is planned.  Beyond that it is a semi join.
+    On partition columns the planner prunes: the values found at run time select the folders read.
     """
     values = wanted.select(*columns).where(_all([F.col(c).isNotNull() for c in columns])).distinct()
-    listed = values.limit(max_values + 1).collect()
-    if len(listed) > max_values:
-        return df.join(values, columns, "left_semi")
-    tags = ["/".join(row) for row in listed]
-    return df.where(F.concat_ws("/", *columns).isin(*tags)) if tags else df.where(F.lit(False))
+    return df.join(values, columns, "left_semi")
 
 
 def active_in_collector(metrics: DataFrame) -> DataFrame:

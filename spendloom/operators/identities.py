@@ -10,7 +10,7 @@ from spendloom.functions.identity import (
     principal_parts,
     session_name,
 )
-from spendloom.operators.skew import ROWS_PER_SLICE, salted_join
+from spendloom.operators.joins import hashed_join
 
 MODES = ("iam", "sso", "auto")
 _FIELDS = ["resolved", "reason", "display_name", "email", "user_id", "iam_user_name", "iam_role_name", "source"]
@@ -71,7 +71,6 @@ def resolve_requests(
     directory: DataFrame | None = None,
     mode: str = "iam",
     order: tuple[str, ...] = ("timestamp", "requestid"),
-    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Identity of each request (`requestid`, `timestamp`, `principalarn`, `accesskeyid`, `guardrailid`).
 
@@ -84,26 +83,12 @@ def resolve_requests(
     who = ["principalarn", "sessionname"]
     keyed = requests.withColumns({name: F.coalesce(name, F.lit("")) for name in (*who, "accesskeyid")})
 
-    counts = keyed.groupBy(*who).agg(F.count("*").alias("n"))
-    principals = counts.select("principalarn", blank_to_null(F.col("sessionname")).alias("sessionname"))
+    principals = keyed.select("principalarn", blank_to_null(F.col("sessionname")).alias("sessionname")).distinct()
     identities = resolve_principals(principals, cache, directory, mode)
     identities = identities.withColumn("sessionname", F.coalesce("sessionname", F.lit("")))
-    own = salted_join(
-        keyed, identities, who, counts, "n", "left", salt=["requestid"], rows_per_slice=rows_per_slice
-    )
-
+    own = hashed_join(keyed, identities, who, "left")
     sessions = first_identity_per_key(own, "accesskeyid", order)
-    per_session = keyed.groupBy("accesskeyid").agg(F.count("*").alias("n"))
-    joined = salted_join(
-        own,
-        sessions,
-        ["accesskeyid"],
-        per_session,
-        "n",
-        "left",
-        salt=["requestid"],
-        rows_per_slice=rows_per_slice,
-    )
+    joined = hashed_join(own, sessions, ["accesskeyid"], "left")
     in_session = F.col("since").isNotNull() & (F.struct(*order) >= F.col("since"))
     is_first = in_session & (F.struct(*order) == F.col("since"))
     guarded = ~is_first & blank_to_null(F.col("guardrailid")).isNotNull()

@@ -100,6 +100,7 @@ def rejected_lines(parsed: DataFrame, processor: str, failed_at: str, value: str
         "error": F.col("error"),
         "failedAt": F.lit(failed_at),
         "originalContent": F.col(value),
+        "sourceFile": F.col("source_file") if "source_file" in parsed.columns else F.lit(""),
     }
     return _select(parsed.where(F.col("error").isNotNull()), columns)
 
@@ -118,6 +119,7 @@ def rejected_documents(documents: DataFrame, processor: str, failed_at: str) ->
         "error": F.lit("audit document has no Records array"),
         "failedAt": F.lit(failed_at),
         "originalContent": F.col("value"),
+        "sourceFile": F.col("source_file"),
     }
     return _select(documents.where(F.col("Records").isNull()), columns)
 

@@ -3,8 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendloom.operators.skew import broadcast_if_small
-
 
 def visible_to(
     rows: DataFrame,
@@ -15,4 +13,4 @@ def visible_to(
 ) -> DataFrame:
     """Rows whose account one of the viewer's rules names; without a rule nothing is visible."""
     granted = rules.where(F.col(rule_principal) == principal).select(account).distinct()
-    return rows.join(broadcast_if_small(granted), account, "left_semi")
+    return rows.join(granted, account, "left_semi")

@@ -3,8 +3,6 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendloom.operators.skew import broadcast_if_small
-
 
 def latest_snapshot(
     costs: DataFrame,
@@ -18,8 +16,8 @@ def latest_snapshot(
     `delivery_of(...)` when one delivery consists of several part files.
 
     The list of newest snapshots has one row per period.  With `periods` given it has at most
-    that many rows and is broadcast outright; otherwise it is counted first.  Either way the
-    cost lines themselves are not shuffled: a third of them may belong to one period.
+    that many rows and is broadcast outright, so the cost lines are not shuffled; otherwise the
+    planner chooses, and a period with a third of the lines can be split.
     """
     snapshot = F.col("cur_file_key") if snapshot is None else snapshot
     rows = costs.where(F.col(period).isin(*periods)) if periods is not None else costs
@@ -27,7 +25,7 @@ def latest_snapshot(
     delivered = rows.groupBy(F.col(period).alias("_period"), snapshot.alias("_snapshot"))
     delivered = delivered.agg(F.count("*").alias("_lines")).where("_lines > 0")
     newest = delivered.groupBy("_period").agg(F.max("_snapshot").alias("_newest"))
-    newest = F.broadcast(newest) if periods is not None else broadcast_if_small(newest)
+    newest = F.broadcast(newest) if periods is not None else newest
     return rows.join(newest, (F.col(period) == F.col("_period")) & (snapshot == F.col("_newest")), "left_semi")
 
 

@@ -1,4 +1,4 @@
-"""The reconcile job: newest billing data of the open months, split over users, written by day."""
+"""The reconcile job: newest billing data of the open months, split over users, written by period."""
 
 from datetime import date
 
@@ -23,14 +23,18 @@ def reconciled_costs(costs: DataFrame, calls: DataFrame, as_of: date | None = No
 
 
 def run(spark: SparkSession, costs_path: str, calls_path: str, target: str, as_of: date) -> None:
-    """Read both tables, reconcile, and replace the touched days of the target.
+    """Read both tables, reconcile, and replace the open billing periods of the target.
 
-    Of the calls only the day partitions with billed cost are read.
+    A period is replaced as a whole, so days or buckets that a corrected export no longer has
+    vanish from the target too.  Only the period's partition of the costs is read, and of the calls
+    only the day partitions it has costs for.
     """
     prepare(spark)
-    costs = readers.read_table(spark, costs_path, schemas.COST_LINES, schemas.DAY_PARTITIONS)
+    costs = readers.read_table(spark, costs_path, schemas.COST_LINES, schemas.PERIOD_PARTITIONS)
     calls = readers.read_table(spark, calls_path, schemas.CALLS, schemas.HOUR_PARTITIONS)
-    days = writers.with_day_partitions(latest_snapshot(costs, periods=billing_months(as_of)))
-    calls = restrict_to(calls, days, list(schemas.DAY_PARTITIONS))
-    rows = reconciled_costs(costs, calls, as_of)
-    writers.overwrite_partitions(writers.with_day_partitions(rows), target)
+    for period in billing_months(as_of):
+        newest = latest_snapshot(costs, periods=[period])
+        days = writers.with_day_partitions(newest.select("usage_date").distinct())
+        used = restrict_to(calls, days, list(schemas.DAY_PARTITIONS))
+        rows = attribute(cost_buckets(newest), usage_by_user(used))
+        writers.replace_partition(rows, target, "billing_period", period)

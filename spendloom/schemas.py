@@ -88,3 +88,9 @@ DIRECTORY_USERS = """
 
 HOUR_PARTITIONS = ("year", "month", "day", "hour")
 DAY_PARTITIONS = ("year", "month", "day")
+PERIOD_PARTITIONS = ("billing_period",)
+
+DEAD_LETTERS = """
+    requestId string, timestamp string, processorName string, error string, failedAt string,
+    originalContent string, sourceFile string
+    """

@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,9 +12,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # '01' must stay text in year/month/day/hour partition values.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
 
@@ -39,25 +38,32 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the folder named in `spark.checkpoint.dir`.
+    """A fresh path below the folder named in `spark.checkpoint.dir`, which all executors share.
 
-    Only a local session may run without that setting; it gets a temporary folder.
+    Only a local session may run without that setting; it gets a folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="spendloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        base = context.getConf().get("spark.checkpoint.dir")
+        if base is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            base = tempfile.mkdtemp(prefix="spendloom-")
+        context.setCheckpointDir(base)
+    return f"{context.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+@contextmanager
+def intermediate(df: DataFrame, purpose: str) -> Iterator[DataFrame]:
+    """`df` written to the shared folder and read back, for jobs that use it several times.
 
-    For results several branches use: they are computed once, survive lost executors, and
-    the plans above start from a small file scan with known size.
+    It is computed once, survives lost executors, and is deleted when the job leaves the block.
     """
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -74,7 +74,8 @@ def with_file_key(rows: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, columns: str, partitions: tuple[str, ...] = ()) -> DataFrame:
     """A processed Parquet table with its declared schema; partition values stay text."""
-    parts = "".join(f", {p} string" for p in partitions)
+    declared = schemas.struct_of(columns).names
+    parts = "".join(f", {p} string" for p in partitions if p not in declared)
     return spark.read.schema(columns + parts).parquet(path)
 
 
