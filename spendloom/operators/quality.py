@@ -48,10 +48,13 @@ def unmapped_billing_names(missing: DataFrame) -> DataFrame:
     return _check(counted, "unmapped_billing_names", F.col("v"), 0.0, lambda v: v > 0)
 
 
-def identity_miss_rate(sources: DataFrame, column: str, limit: float = IDENTITY_MISS_LIMIT_PERCENT) -> DataFrame:
-    """Share of identities not served from the cache, in percent."""
-    missed = F.when(F.col(column) != "cache", 100.0).otherwise(0.0)
-    rate = sources.agg(F.coalesce(F.avg(missed), F.lit(0.0)).alias("v"))
+def identity_miss_rate(
+    sources: DataFrame, column: str, limit: float = IDENTITY_MISS_LIMIT_PERCENT, weight: Column | None = None
+) -> DataFrame:
+    """Share of identities not served from the cache, in percent; `weight` counts the requests of a row."""
+    weight = F.lit(1) if weight is None else weight
+    missed = F.sum(F.when(F.col(column) != "cache", 100.0).otherwise(0.0) * weight)
+    rate = sources.agg(F.coalesce(F.try_divide(missed, F.sum(weight)), F.lit(0.0)).alias("v"))
     return _check(rate, "identity_miss_percent", F.col("v"), limit, lambda v: v > limit)
 
 

@@ -14,6 +14,7 @@ from spendloom.functions.common import ratio_or_zero
 MODEL = "friendlymodelname"
 USER = "resolvedusername"
 TOTAL = "(total)"
+OTHER = "other"
 
 
 def executive_kpis(facts: DataFrame) -> DataFrame:
@@ -105,9 +106,10 @@ def user_model_breakdown(facts: DataFrame) -> DataFrame:
 
 
 def user_model_pivot(facts: DataFrame, models: list[str]) -> DataFrame:
-    """Cost per user, one column per given model, and a last total row."""
-    leaf = facts.groupBy(USER, MODEL).agg(F.sum("totalcost").alias("totalcost"))
-    wide = leaf.groupBy(USER).pivot(MODEL, models).agg(F.sum("totalcost"))
+    """Cost per user, one column per given model and one for all others, and a last total row."""
+    column = F.when(F.col(MODEL).isin(*models), F.col(MODEL)).otherwise(OTHER)
+    leaf = facts.groupBy(USER, column.alias(MODEL)).agg(F.sum("totalcost").alias("totalcost"))
+    wide = leaf.groupBy(USER).pivot(MODEL, [*models, OTHER]).agg(F.sum("totalcost"))
     names = [c for c in wide.columns if c != USER]
     totals = wide.agg(*[F.sum(f"`{n}`").alias(n) for n in names]).withColumn(USER, F.lit(TOTAL))
     return wide.unionByName(totals)

@@ -54,6 +54,15 @@ def r4_sql(expr: str) -> str:
     return f"floor(({expr}) * 1e4 + 0.5001) / 1e4"
 
 
+def r9(c: Column) -> Column:
+    """Nine decimals, for shares and proportions."""
+    return F.floor(c * 1e9 + 0.5001) / 1e9
+
+
+def r9_sql(expr: str) -> str:
+    return f"floor(({expr}) * 1e9 + 0.5001) / 1e9"
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     """Round the named columns for comparison."""
     return df.withColumns({n: r4(F.col(f"`{n}`")) for n in names})

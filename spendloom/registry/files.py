@@ -46,14 +46,17 @@ def json_lines(spark, sf):
       FROM orders, (VALUES (1), (2)) AS v(i) WHERE o_orderkey % 13 != 0 AND o_orderkey % 6 < 4 GROUP BY 1""",
 )
 def audit_documents(spark, sf):
-    """One document per order with its event twice; every 13th document has no records."""
+    """Documents of up to a hundred orders, each event twice, as files; every 13th order stands for one without records."""
     event = F.col("event")
-    document = F.when(F.col("k") % 13 == 0, '{"Digest": []}').otherwise(
-        F.to_json(F.struct(F.array(event, event).alias("Records")))
-    )
-    texts = t.audit_events(spark, sf).select(document.alias("value"), F.lit("orders").alias("source_file"))
-    events = records.explode_audit(readers.parse_audit_documents(texts))
-    rows = records.audit_rows(filters.model_call_events(events, "event.eventName"))
+    part = F.floor(F.col("k") / 100).cast("string")
+    events = t.audit_events(spark, sf)
+    full = events.where("k % 13 != 0").groupBy(part.alias("part")).agg(F.flatten(F.collect_list(F.array(event, event))).alias("Records"))
+    texts = full.select(F.to_json(F.struct("Records")).alias("value"), "part")
+    empty = events.where("k % 13 = 0").select(F.lit('{"Digest": []}').alias("value"), F.concat(F.lit("empty"), part).alias("part"))
+    path = shared_dir(spark, "audit")
+    texts.unionByName(empty.distinct()).repartition("part").write.partitionBy("part").text(path)
+    found = records.explode_audit(readers.read_audit_files(spark, path))
+    rows = records.audit_rows(filters.model_call_events(found, "event.eventName"))
     key = F.regexp_extract("eventid", r"(\d+)", 1).cast("bigint")
     return rows.groupBy((key % 6).alias("kind")).agg(
         F.count("*").alias("n"), F.countDistinct("eventid").alias("documents")

@@ -15,10 +15,12 @@ from spendloom.operators import (
     snapshot,
 )
 from spendloom.plans.reconcile import reconciled_costs
+from spendloom.registry import stores
 from spendloom.registry import tables as t
 from spendloom.registry.columns import directory
-from spendloom.registry.core import query, r4, r4_sql, rounded
+from spendloom.registry.core import query, r4, r4_sql, r9, r9_sql, rounded
 from spendloom.registry.views import MODELS
+from spendloom.session import shared_dir
 
 
 def newest_costs(spark, sf):
@@ -85,7 +87,8 @@ def usage_by_user(spark, sf):
       FROM usage GROUP BY ALL""",
 )
 def bucket_totals(spark, sf):
-    return attribution.usage_totals(usage(spark, sf))
+    totals = attribution.usage_totals(usage(spark, sf))
+    return totals.drop(*[c for c in totals.columns if c.startswith("last_")])
 
 
 @query(
@@ -95,7 +98,7 @@ def bucket_totals(spark, sf):
       reconciliation_status FROM costs""",
 )
 def cost_per_key(spark, sf):
-    return rounded(dataset.cost_per_key(reconciled(spark, sf)), "inputcost", "outputcost", "totalcost")
+    return rounded(dataset.cost_per_key(stores.reconciled(spark, sf)), "inputcost", "outputcost", "totalcost")
 
 
 @query(
@@ -106,7 +109,7 @@ def cost_per_key(spark, sf):
 def cost_per_call(spark, sf):
     calls = dataset.with_cost_key(t.calls(spark, sf))
     counts = calls.groupBy(*dataset.COST_KEY).agg(F.count("*").alias("calls"))
-    priced = dataset.cost_per_call(counts, dataset.cost_per_key(reconciled(spark, sf)))
+    priced = dataset.cost_per_call(counts, dataset.cost_per_key(stores.reconciled(spark, sf)))
     return rounded(priced, "totalcost").select(*dataset.COST_KEY, "calls", "totalcost")
 
 
@@ -158,13 +161,14 @@ def usage_per_measure(spark, sf):
 
 _RECONCILED = f"""usage_date, account_id, region, model_id, model_billing_name, token_type, cross_region_type,
   resolved_user_id, resolved_user_name, user_tokens, total_tokens_in_bucket,
-  {r4_sql('proportion')} AS proportion, {r4_sql('bucket_unblended_cost')} AS bucket_unblended_cost,
+  {r9_sql('proportion')} AS proportion, {r4_sql('bucket_unblended_cost')} AS bucket_unblended_cost,
   {r4_sql('attributed_cost')} AS attributed_cost, reconciliation_status"""
 
 
 @query("w1_proportional_split", f"SELECT {_RECONCILED} FROM reconciled")
 def proportional_split(spark, sf):
-    return rounded(reconciled(spark, sf), "proportion", "bucket_unblended_cost", "attributed_cost")
+    rows = reconciled(spark, sf).withColumn("proportion", r9(F.col("proportion")))
+    return rounded(rows, "bucket_unblended_cost", "attributed_cost")
 
 
 @query(
@@ -230,7 +234,7 @@ def unmatched_buckets(spark, sf):
       FROM priced""",
 )
 def call_dataset(spark, sf):
-    rows = dataset.call_dataset(t.calls(spark, sf), reconciled(spark, sf))
+    rows = dataset.call_dataset(t.calls(spark, sf), stores.reconciled(spark, sf))
     rows = rows.withColumn("called_at", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
     return rounded(rows, "inputcost", "outputcost", "totalcost").select(
         "requestid", "called_at", "accountid", "modelid", "inputtokens", "outputtokens", "latencyms", "inputcost",
@@ -345,7 +349,7 @@ def identity_precedence(spark, sf):
 def row_level_security(spark, sf):
     """A viewer sees the accounts they have called from."""
     calls = t.calls(spark, sf)
-    rules = calls.select(F.col("callerarn").alias("principalarn"), "accountid").where("accountid LIKE '%'")
+    rules = calls.select(F.col("callerarn").alias("principalarn"), "accountid")
     return security.visible_to(calls, rules, "svc-4").groupBy("accountid").agg(F.count("*").alias("n"))
 
 
@@ -432,10 +436,11 @@ def append_measures(spark, sf):
       FROM metrics GROUP BY 1""",
 )
 def union_regions(spark, sf):
-    """Metric tables of six regions; one of them has no throttle column."""
-    rows = t.metric_rows(spark, sf)
-    parts = [rows.where(F.col("region") == r) for r in t.REGIONS[:-1]]
-    parts.append(rows.where(F.col("region") == t.REGIONS[-1]).drop("throttledcount"))
+    """Stored metric tables of six regions; one of them has no throttle column."""
+    path = shared_dir(spark, "regional-metrics")
+    t.metric_rows(spark, sf).withColumn("of", F.col("region")).write.partitionBy("of").parquet(path)
+    parts = [spark.read.parquet(f"{path}/of={r}") for r in t.REGIONS]
+    parts[-1] = parts[-1].drop("throttledcount")
     return metrics.union_regions(parts).groupBy("region").agg(
         F.count("*").alias("n"),
         F.sum("invocationcount").alias("calls"),

@@ -6,15 +6,10 @@ from pyspark.sql import functions as F
 
 from spendloom.functions.common import iso_to_timestamp
 from spendloom.operators import dataset, filters, quality, records, reports, trend
-from spendloom.plans.reconcile import reconciled_costs
 from spendloom.registry import tables as t
 from spendloom.registry.core import query, r4_sql, rounded
-from spendloom.registry.joins import buckets, newest_costs, reconciled
-
-
-def facts(spark, sf):
-    calls = t.calls(spark, sf)
-    return dataset.usage_facts(calls, reconciled_costs(t.cost_lines(spark, sf), calls))
+from spendloom.registry.joins import buckets, identity_precedence, newest_costs
+from spendloom.registry.stores import facts, reconciled
 
 
 def free_facts(spark, sf):
@@ -111,15 +106,15 @@ def cost_heat_map(spark, sf):
     return rounded(reports.cost_heat_map(facts(spark, sf)), "total_cost")
 
 
-@query(
-    "a12_cost_heat_map_wide",
-    f"""SELECT friendlymodelname, {r4_sql("sum(totalcost) FILTER (usage_date = '1998-03-02')")} AS "1998-03-02",
-      {r4_sql("sum(totalcost) FILTER (usage_date = '1998-03-03')")} AS "1998-03-03" FROM priced GROUP BY 1""",
-)
+_MONTH = [f"1998-03-{day:02d}" for day in range(1, 32)]
+_MONTH_SQL = ", ".join(f"""{r4_sql(f"sum(totalcost) FILTER (usage_date = '{day}')")} AS "{day}\"""" for day in _MONTH)
+
+
+@query("a12_cost_heat_map_wide", f"SELECT friendlymodelname, {_MONTH_SQL} FROM priced GROUP BY 1")
 def cost_heat_map_wide(spark, sf):
-    days = ["1998-03-02", "1998-03-03"]
+    """One month, a column per day."""
     dated = facts(spark, sf).withColumn("day", F.col("day").cast("string"))
-    return rounded(reports.cost_heat_map_wide(dated, days), *days)
+    return rounded(reports.cost_heat_map_wide(dated, _MONTH), *_MONTH)
 
 
 @query(
@@ -143,17 +138,21 @@ def user_model_breakdown(spark, sf):
     return rounded(reports.user_model_breakdown(facts(spark, sf)), "totalcost")
 
 
+_CATALOG = [model.replace(".", " ").replace("-", " ") for model in t.MODEL_IDS]
+_PIVOT_SQL = ", ".join(
+    [f"""{r4_sql(f"sum(totalcost) FILTER (friendlymodelname = '{m}')")} AS "{m}\"""" for m in _CATALOG]
+    + [f"""{r4_sql("sum(totalcost) FILTER (friendlymodelname NOT IN ('" + "', '".join(_CATALOG) + "'))")} AS other"""]
+)
+
+
 @query(
     "a14_user_model_pivot",
-    f"""SELECT resolvedusername, {r4_sql("sum(totalcost) FILTER (friendlymodelname = 'amazon nova pro v1:0')")}
-        AS "amazon nova pro v1:0", {r4_sql("sum(totalcost) FILTER (friendlymodelname = 'Custom22')")} AS "Custom22"
-      FROM priced GROUP BY 1
-      UNION ALL SELECT '(total)', {r4_sql("sum(totalcost) FILTER (friendlymodelname = 'amazon nova pro v1:0')")},
-        {r4_sql("sum(totalcost) FILTER (friendlymodelname = 'Custom22')")} FROM priced""",
+    f"""SELECT resolvedusername, {_PIVOT_SQL} FROM priced GROUP BY 1
+      UNION ALL SELECT '(total)', {_PIVOT_SQL} FROM priced""",
 )
 def user_model_pivot(spark, sf):
-    models = ["amazon nova pro v1:0", "Custom22"]
-    return rounded(reports.user_model_pivot(facts(spark, sf), models), *models)
+    """A column per model of the catalog and one for all others, so the totals cover every cost."""
+    return rounded(reports.user_model_pivot(facts(spark, sf), _CATALOG), *_CATALOG, reports.OTHER)
 
 
 @query(
@@ -465,9 +464,8 @@ def unmapped_name_count(spark, sf):
       50.0::DOUBLE AS threshold, true AS breached FROM calls""",
 )
 def identity_misses(spark, sf):
-    user = F.regexp_extract("resolvedusername", r"(\d+)$", 1).cast("int")
-    rows = t.calls(spark, sf).select(F.when(user % 3 == 0, "cache").otherwise("iam").alias("source"))
-    return rounded(quality.identity_miss_rate(rows, "source"), "value")
+    """Over the resolved principals, each counted as often as it called."""
+    return rounded(quality.identity_miss_rate(identity_precedence(spark, sf), "source", weight=F.col("n")), "value")
 
 
 @query(

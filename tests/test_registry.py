@@ -1,7 +1,4 @@
-"""Registered queries against their SQL on the smallest tables.
-
-A part of them runs by default; set ALL_QUERIES=1 for every one.
-"""
+"""Registered queries against their SQL on the smallest tables."""
 
 import math
 import os
@@ -13,13 +10,7 @@ import __spark_entry__ as entry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-DEFAULT = [
-    "p1_call_record", "p12_audit_record", "p17_cost_record", "p28_directory_names", "j1_latest_snapshot", "j3_priority_fallback",
-    "w1_proportional_split", "w5_first_record", "j5_call_dataset", "j6_correlation_pairs", "j7_identity_precedence",
-    "a11_window_metrics", "a14_user_model_breakdown", "a23_weekly_growth", "t1_top_users", "q7_error_windows",
-    "s3_csv_export", "k6_replace_days", "st2_stream_dedup", "st3_stream_metrics", "st4_stream_correlation", "st5_session_identity",
-]
-NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else DEFAULT
+NAMES = [name for name in entry.registry.QUERIES]
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).is_dir(), reason="no test tables")
 
@@ -48,7 +39,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.registry.QUERIES) == set(entry.registry.CHECKS)
 
 
 def test_every_survey_operator_is_registered():
