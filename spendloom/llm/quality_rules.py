@@ -68,8 +68,7 @@ def measures(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     with_words = packed.select("row", text.alias("text"), words_of(F.col("row.text")).alias("words"), lines.alias("lines"))
     words = F.col("words")
-    return with_words.select(
-        "row",
+    found = F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.aggregate(words, F.lit(0).cast("long"), lambda total, w: total + F.length(w)).alias("word_chars"),
         removed(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
@@ -81,6 +80,8 @@ def measures(docs: DataFrame) -> DataFrame:
         removed(F.col("text"), "!?").cast("long").alias("n_shouts"),
         removed(F.col("text"), ".").cast("long").alias("n_stops"),
     )
+    # a generator keeps the optimizer from copying the measures into every rule and filter that reads them
+    return with_words.select("row", F.inline(F.array(found)))
 
 
 #: (name, bad if, good if), as SQL over the measures. Whole numbers only, so that every engine agrees.
@@ -168,8 +169,7 @@ def fit(voted: DataFrame) -> DataFrame:
 def judged(voted: DataFrame, model: DataFrame) -> DataFrame:
     """Adds base_failed, quality (the posterior) and kept."""
     return (
-        voted.withColumn("base_failed", F.expr(BASE_FAILED))
-        .withColumn("model", model.scalar())
+        voted.select("*", F.expr(BASE_FAILED).alias("base_failed"), F.explode(F.array(model.scalar())).alias("model"))
         .withColumn("quality", posterior(F.col("votes"), F.col("model")))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))
         .drop("model")
