@@ -216,5 +216,12 @@ def redacted(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
         return texts.map(one)
 
-    changed = docs.withColumn("text", clean(F.col("text")))
-    return changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else changed
+    own = "clean"
+    while own in docs.columns:
+        own += "_"
+    done = docs.withColumn(own, clean(F.col("text")))
+    columns = {"text": F.col(own)}
+    if "n_chars" in docs.columns:
+        same = F.col("text").eqNullSafe(F.col(own))
+        columns["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length(own).cast("long"))
+    return done.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
