@@ -38,35 +38,73 @@ STEP = 0.25
 #: How strongly a class that lags behind is preferred.
 ETA = 0.2
 END_ID = 1
-#: Words whose ids a Python worker remembers.
-KEPT_WORDS = 400_000
+#: Words whose ids a Python worker remembers; those known before are kept until as many are new.
+KEPT_WORDS = 300_000
 #: Pieces that one task ranks in a class, about.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 1_000
 
 
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes. White space separates what the tokenizer sees, so
-    ids are looked up by word and each new word is encoded once."""
+    ids are looked up by word, and a word is encoded once while it is remembered. A full stop or comma after
+    a letter is a token of its own, so it is put behind the ids of the word."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # what was known before; words in use move back
+        self.apart = int.from_bytes(self.encode("\x01"), "little")
+        self.marks = {m: self.encode(m.decode()) for m in (b".", b",")}
+
+    def encode(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        known, older = self.known, self.older
+        new: set[bytes] = set()
+        marked = []
+        for w in words:
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+            elif w[-1] in b".," and w[-2:-1].isalpha():
+                marked.append(w)
+                stem = w[:-1]
+                if stem not in known:
+                    new.add(stem)
+            else:
+                new.add(w)
+        for w in [w for w in new if w in older]:
+            known[w] = older[w]
+            new.discard(w)
+        plain = [w for w in new if b"\x01" not in w]
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            # one call for many words, kept apart by a character that none of them holds
+            raw = self.encode(b" \x01 ".join([*some, b""]).decode())
+            cuts = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.apart)).tolist()
+            last = 0
+            for w, cut in zip(some, cuts, strict=True):
+                known[w] = raw[last:cut]
+                last = cut + 4
+        for w in new.difference(plain):
+            known[w] = self.encode(w.decode())
+        for w in marked:
+            known[w] = known[w[:-1]] + self.marks[w[-1:]]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [text.encode("utf-8", "replace").split() for text in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            for w, e in zip(some, found, strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        raw = [text.encode("utf-8", "replace") for text in texts]
+        # the tokenizer lower-cases; only in its special tokens capitals count
+        split = [(x if b"<|" in x else x.lower()).split() for x in raw]
+        distinct = set().union(*split)
+        if missing := {w for w in distinct if w not in self.known}:
+            if len(self.known) > KEPT_WORDS:
+                self.older, self.known = self.known, {}
+                missing = distinct
+            self.learn(missing)
+        look_up = self.known.__getitem__
+        return [b"".join(map(look_up, words)) for words in split]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -76,8 +114,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = Tokens(tokenizer_path)
         for batch in batches:
-            for low in range(0, len(batch), 500):
-                part = batch.iloc[low : low + 500]
+            for low in range(0, len(batch), 1000):
+                part = batch.iloc[low : low + 1000]
                 out = []
                 for doc_id, ids in zip(part["doc_id"], tokens.of([t if isinstance(t, str) else "" for t in part["text"]]), strict=True):
                     ids += end
