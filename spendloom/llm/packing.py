@@ -6,12 +6,13 @@ histogram of lengths (fewest sequences that hold all pieces) is solved by multip
 that lag behind weigh more, and a knapsack dynamic program finds the configuration with the greatest weight.
 Configurations are taken in whole numbers as the rounds go; what is left is packed by best fit on the histogram.
 
-The driver sees the histogram alone: `capacity / grid` counts at most, whatever the input. Pieces get a rank
+The driver sees the histogram alone: `capacity` counts at most, whatever the input. Pieces get a rank
 within their class from counts per (class, bucket), so that a class with a third of all pieces is not ranked
 by one task, and class and rank give the sequence.
 
-Lengths count in steps of `grid` tokens while the plan is made, so a sequence may stay up to grid - 1 tokens
-a piece below what fits. Ids, pieces and offsets are exact.
+While the plan is made, lengths from FINE on count in steps of `grid` tokens, so a sequence may stay up to
+grid - 1 tokens per large piece below what fits; the small pieces that best fit adds count exactly. Ids, pieces
+and offsets are exact.
 
 Defined cases: a null text counts as empty and is one piece with the end id only. Repeated rows are packed
 each for itself; null ids are allowed. An empty table gives no rows. Extra columns are not looked at.
@@ -31,7 +32,9 @@ from pyspark.sql.window import Window
 from spendloom.llm.common import checkpointed
 
 CAPACITY = 4096
+#: Lengths from FINE on count in steps of GRID tokens while the plan is made.
 GRID = 4
+FINE = 256
 ROUNDS = 600
 #: A round takes at most this share of the pieces of a class.
 STEP = 0.25
@@ -39,7 +42,7 @@ STEP = 0.25
 ETA = 0.2
 END_ID = 1
 #: Words whose ids a Python worker remembers; those known before are kept until as many are new.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 #: Pieces that one task ranks in a class, about.
 RANKED_TOGETHER = 1_000
 
@@ -56,6 +59,9 @@ class Tokens:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # what was known before; words in use move back
         self.apart = int.from_bytes(self.encode("\x01"), "little")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.marks = {m: self.encode(m.decode()) for m in (b".", b",")}
 
     def encode(self, text: str) -> bytes:
@@ -78,17 +84,25 @@ class Tokens:
         for w in [w for w in new if w in older]:
             known[w] = older[w]
             new.discard(w)
-        plain = [w for w in new if b"\x01" not in w]
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            # one call for many words, kept apart by a character that none of them holds
+        words_only = [w for w in new if w.decode().isalpha()]
+        for at in range(0, len(words_only), 4000):
+            some = words_only[at : at + 4000]
+            # one call for many words: a word of letters is one unit, and its last token says that it ends there
+            raw = self.encode(b" ".join(some).decode())
+            last = 0
+            for w, cut in zip(some, (4 * np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 4).tolist(), strict=True):
+                known[w] = raw[last:cut]
+                last = cut
+        others = [w for w in new.difference(words_only) if b"\x01" not in w]
+        for at in range(0, len(others), 2000):
+            some = others[at : at + 2000]
+            # the same with a mark between them that none of them holds
             raw = self.encode(b" \x01 ".join([*some, b""]).decode())
-            cuts = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.apart)).tolist()
             last = 0
-            for w, cut in zip(some, cuts, strict=True):
+            for w, cut in zip(some, (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.apart)).tolist(), strict=True):
                 known[w] = raw[last:cut]
                 last = cut + 4
-        for w in new.difference(plain):
+        for w in new.difference(words_only, others):
             known[w] = self.encode(w.decode())
         for w in marked:
             known[w] = known[w[:-1]] + self.marks[w[-1:]]
@@ -155,19 +169,23 @@ def fullest(weights: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
-def plan(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """(sizes in one sequence, number of such sequences) for a histogram by size in units."""
-    n = histogram.astype(np.int64)
+def plan(histogram: np.ndarray, capacity: int, grid: int = GRID, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
+    """(sizes in one sequence, number of such sequences) for a histogram by class."""
+    whole = histogram.astype(np.int64)
+    n = whole[::grid].copy()  # the linear program is over the large classes, in steps of grid tokens
+    n[: FINE // grid] = 0
     left = n.copy()
+    units = capacity // grid
     made: list[tuple[np.ndarray, int]] = []
+    kept_at = [(0, left.copy())]
     size = np.arange(len(n))
     for _ in range(rounds):
         if not left.any():
             break
         share = np.where(n > 0, left / np.maximum(n, 1), 0)  # what is still to be covered of each class
         weights = size * np.exp(ETA * (share - share.max()))
-        chosen = fullest(weights, left, capacity)
-        if chosen.sum() < capacity:  # no full sequences any more
+        chosen = fullest(weights, left, units)
+        if chosen.sum() < units:  # no full sequences any more
             break
         sizes, times = np.unique(chosen, return_counts=True)
         while (left[sizes] < times).any():  # fewer are left than the knapsack took
@@ -175,8 +193,18 @@ def plan(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tup
         step = np.maximum(1, np.floor(STEP * n[sizes]).astype(np.int64))
         count = int(max(1, min((left[sizes] // times).min(), (step // times).min())))
         left[sizes] -= times * count
-        made.append((np.repeat(sizes, times), count))
-    return made + best_fit(left, made, capacity)
+        made.append((grid * np.repeat(sizes, times), count))
+        kept_at.append((len(made), left.copy()))
+    # rounding: the solution up to some round, and best fit for the rest; the later round wins a tie
+    points = [kept_at[len(kept_at) * part // 8 - 1] for part in range(8, 0, -1)]
+
+    def completed(taken: int, rest: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        todo = whole.copy()
+        todo[::grid] -= n - rest
+        return best_fit(todo, made[:taken], capacity)
+
+    done = (completed(*point) for point in points)
+    return min(done, key=lambda kinds: sum(count for _, count in kinds))
 
 
 def best_fit(left: np.ndarray, made: list[tuple[np.ndarray, int]], capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -184,7 +212,6 @@ def best_fit(left: np.ndarray, made: list[tuple[np.ndarray, int]], capacity: int
     by_room: dict[int, list[list]] = {}
     for sizes, count in made:
         by_room.setdefault(capacity - int(sizes.sum()), []).append([sizes, count])
-    made.clear()
     rooms = np.zeros(capacity + 1, bool)
     rooms[list(by_room)] = True
     for size in np.flatnonzero(left)[::-1]:
@@ -227,12 +254,12 @@ def slots(made: list[tuple[np.ndarray, int]], classes: int) -> dict[int, tuple[n
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, grid: int = GRID, rounds: int = ROUNDS) -> DataFrame:
     """The rows of cut with sequence_id and offset. cut is read twice; it should be checkpointed."""
-    units = capacity // grid
-    classed = cut.withColumn("class", F.ceil(F.col("length") / grid).cast("int"))
-    histogram = np.zeros(units + 1, np.int64)
-    counted = classed.groupBy("class").agg(F.count("*").alias("n")).toPandas()  # units rows at most
+    rounded_up = (F.ceil(F.col("length") / grid) * grid).cast("int")
+    classed = cut.withColumn("class", F.when(F.col("length") < FINE, F.col("length").cast("int")).otherwise(rounded_up))
+    histogram = np.zeros(capacity + 1, np.int64)
+    counted = classed.groupBy("class").agg(F.count("*").alias("n")).toPandas()  # `capacity` rows at most
     histogram[counted["class"].to_numpy(np.int64)] = counted["n"]
-    places = slots(plan(histogram, units, rounds), units + 1)
+    places = slots(plan(histogram, capacity, grid, rounds), capacity + 1)
     if not places:
         return classed.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop("class")
     buckets = 1 + int(histogram.max()) // RANKED_TOGETHER
