@@ -156,12 +156,12 @@ def blocks(page: str) -> list[Block]:
 
 
 def selected(values: np.ndarray, paths: list[str]) -> set[str]:
-    """Paths whose smoothed values pass the threshold."""
+    """Paths whose values, smoothed along the page and fused with what the path has by itself, pass the threshold."""
     padded = np.pad(values, 1, mode="edge")
-    smooth = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
-    threshold = min(smooth.std(), smooth.mean())
+    fused = np.sqrt(values * (0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]))
+    threshold = min(fused.std(), fused.mean())
     names, which = np.unique(paths, return_inverse=True)
-    mean = np.bincount(which, smooth) / np.bincount(which)
+    mean = np.bincount(which, fused) / np.bincount(which)
     return set(names[mean >= threshold])
 
 
