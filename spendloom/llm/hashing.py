@@ -6,8 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash a Python worker remembers.
-KEPT_WORDS = 500_000
-WIDE = np.uint64(0xFFFFFFFFFFFFFFFF)
+KEPT_WORDS = 250_000
 
 
 class WordHashes(dict):
@@ -30,16 +29,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words; of all words together if there are fewer (none if there are none)."""
-    if not len(words):
+_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^i and base^-i modulo 2^64, i < n; base is odd."""
+    if (found := _powers.get((base, n))) is not None:
+        return found
+    steps = np.full((2, n), base, np.uint64)
+    steps[1] = pow(base, -1, 2**64)
+    steps[:, 0] = 1
+    _powers[base, n] = np.cumprod(steps, axis=1, dtype=np.uint64)
+    return _powers[base, n]
+
+
+def runs(words: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """Hashes of all runs of k words (polynomials from running sums, then mixed); of all words together if there
+    are fewer, none if there are none."""
+    n = len(words)
+    if not n:
         return words
-    k = min(k, len(words))
-    n = len(words) - k + 1
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = mixed(out + words[j : j + n] + np.uint64(j + 1))
-    return out
+    k = min(k, n)
+    up, down = powers(base, 1 << (n - 1).bit_length())
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * up[:n], out=sums[1:])
+    return mixed((sums[k:] - sums[:-k]) * down[: n - k + 1] + np.uint64(k))
 
 
 def labelled(hashes: np.ndarray) -> np.ndarray:
