@@ -58,7 +58,7 @@ def minimisers(hashes: np.ndarray) -> np.ndarray:
 
 def window_hashes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of every window."""
-    return as_long(runs(hashes, WINDOW)), as_long(runs(mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), WINDOW))
+    return as_long(runs(hashes, WINDOW)), as_long(runs(mixed(hashes), WINDOW, 0xD1342543DE82EF95))
 
 
 def super_kmers(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,43 +95,57 @@ def single_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The windows of heavy minimisers, as hashes."""
     hashes = WordHashes()
     for batch in batches:
+        parts, rows = [], 0
         for doc, h, text, shared in zip(batch["doc"], batch["h"], batch["text"], batch["shared"], strict=True):
             own = hashes.of(split(text))
             at = np.flatnonzero(np.isin(minimisers(own), np.asarray(shared)))
             one, two = window_hashes(own)
-            yield pd.DataFrame({"w1": one[at], "w2": two[at], "doc": doc, "h": h, "start": at})
+            parts.append((one[at], two[at], np.full(len(at), doc), np.full(len(at), h), at))
+            rows += len(at)
+            if rows > 200_000:
+                yield pd.DataFrame(dict(zip(["w1", "w2", "doc", "h", "start"], map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+                parts, rows = [], 0
+        if parts:
+            yield pd.DataFrame(dict(zip(["w1", "w2", "doc", "h", "start"], map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
 
-def covered(at: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of window numbers as (first, number of windows)."""
-    if not len(at):
-        return []
-    cuts = np.flatnonzero(np.diff(at) > 1) + 1
-    return [(int(x[0]), len(x)) for x in np.split(at, cuts)]
+def windows_of(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the packed strings: their hashes, and how many each string has."""
+    hashes = WordHashes()
+    ones, twos, sizes = [], [], []
+    for low in range(0, len(packed), 1000):
+        words = [p.split() for p in packed[low : low + 1000]]
+        lengths = np.array([len(w) for w in words])
+        one, two = window_hashes(hashes.of([w for own in words for w in own]))
+        # windows that begin in the last 49 words of a string run into the next one
+        within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        whole = np.flatnonzero(within <= np.repeat(lengths, lengths) - WINDOW)
+        ones.append(one[whole])
+        twos.append(two[whole])
+        sizes.append(lengths - (WINDOW - 1))
+    return np.concatenate(ones), np.concatenate(twos), np.concatenate(sizes)
 
 
 def sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     """The windows of a bucket that a smaller document has too."""
-    hashes = WordHashes()
-    parts = [window_hashes(hashes.of(p.split())) for p in rows["packed"]]
-    sizes = [len(one) for one, _ in parts]
-    if not sum(sizes):
-        return pd.DataFrame(columns=["doc", "h", "start", "n"])
-    one, two = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    one, two, sizes = windows_of(list(rows["packed"]))
     row = np.repeat(np.arange(len(rows)), sizes)
-    doc = rows["doc"].to_numpy()[row]
+    docs = rows["doc"].to_numpy()
+    doc = docs[row]
     order = np.lexsort((doc, two, one))
     new = np.ones(len(order), bool)
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
     smallest = np.empty(len(order), np.int64)
     smallest[order] = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    out = []
-    docs, hs, starts = rows["doc"].to_numpy(), rows["h"].to_numpy(), rows["start"].to_numpy()
-    for r in range(len(rows)):
-        hit = np.flatnonzero(smallest[begin[r] : begin[r + 1]] < docs[r])
-        out += [(docs[r], hs[r], starts[r] + first, n) for first, n in covered(hit)]
-    return pd.DataFrame(out, columns=["doc", "h", "start", "n"])
+    gone = smallest < doc
+    # runs of windows to remove, cut where a string ends
+    first = gone.copy()
+    first[1:] &= ~gone[:-1] | (row[1:] != row[:-1])
+    at = np.flatnonzero(first)
+    length = np.diff(np.append(np.cumsum(gone)[at] - 1, gone.sum()))
+    own = row[at]
+    begin = np.cumsum(sizes) - sizes
+    return pd.DataFrame({"doc": docs[own], "h": rows["h"].to_numpy()[own], "start": rows["start"].to_numpy()[own] + at - begin[own], "n": length})
 
 
 def keep_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,10 +155,8 @@ def keep_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = split(text)
             n, removed = len(words), 0
             if spans is not None and len(spans):
-                depth = np.zeros(n + 1, np.int64)
-                for s in spans:
-                    depth[s["start"]] += 1
-                    depth[min(n, s["start"] + s["n"] + WINDOW - 1)] -= 1
+                first, length = np.asarray(spans).reshape(2, -1)
+                depth = np.bincount(first, minlength=n + 1) - np.bincount(first + length + WINDOW - 1, minlength=n + 1)
                 gone = depth[:-1].cumsum() > 0
                 removed = int(gone.sum())
                 words = [words[k] for k in np.flatnonzero(~gone)]
@@ -179,6 +191,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     from_heavy = windows.join(firsts, ["w1", "w2"]).filter("lo < doc").select("doc", "h", "start", F.lit(1).alias("n"))
 
     spans = from_light.union(from_heavy).groupBy("doc", "h").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = spans.select("doc", "h", F.concat("spans.start", "spans.n").alias("spans"))
     return texts.join(spans, ["doc", "h"], "left").select("doc_id", "text", "spans").mapInPandas(
         keep_rest, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
