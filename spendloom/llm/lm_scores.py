@@ -35,12 +35,14 @@ FOLDS = 5
 #: Remainder of crc32(id) of the documents that are never learned from, and of those that fit the weights.
 TESTED, FITTED = 1, 0
 #: Characters of a block, and of the texts behind one key range, about.
-BLOCK = 12_000_000
+BLOCK = 6_000_000
 RANGE = 24_000_000
 LEVELS = 40
 #: Bins of a likelihood ratio: its binary logarithm from -32 to 32 in quarters; the first bin is a ratio of 0.
 RATIOS = 256
 ROUNDS = 60
+#: Weights of orders zero, one and two before anything is fitted, and if there is nothing to fit them on.
+FIRST_GUESS = [0.1, 0.3, 0.6]
 END = b"\n"  # no word holds white space
 START = b"\n\n"
 ONE = np.uint64(1)
@@ -96,6 +98,19 @@ def unpack(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), kind)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps: the lower five bytes as they are, the upper three, which are small, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return steps[:, :5].tobytes() + zlib.compress(np.ascontiguousarray(steps[:, 5:].T).tobytes(), 1)
+
+
+def unpack_keys(x: bytes, n: int) -> np.ndarray:
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :5] = np.frombuffer(x, np.uint8, 5 * n).reshape(n, 5)
+    steps[:, 5:] = np.frombuffer(zlib.decompress(x[5 * n :]), np.uint8).reshape(3, n).T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def folded(docs: DataFrame, blocks: int) -> DataFrame:
     """doc_id, text, fold, block."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
@@ -111,32 +126,37 @@ def requests(ranges: int):
         cuts = np.searchsorted(key_range(block.keys, ranges), np.arange(ranges + 1))
         number = int(rows["block"].iloc[0])
         out = []
-        for k in range(ranges):
+        for k in range(ranges):  # every range, as each tells the block its share of V and N
             a, b = cuts[k], cuts[k + 1]
-            if a < b:
-                steps = np.diff(block.keys[a:b], prepend=np.uint64(0))
-                out.append((k, number, steps.astype("<u8").tobytes(), pack(learned[a:b], "<u4"), pack(fitted[a:b], "<u4")))
+            out.append((k, number, pack_keys(block.keys[a:b]), pack(learned[a:b], "<u4"), pack(fitted[a:b], "<u4")))
         return pd.DataFrame(out, columns=["key_range", "block", "keys", "learned", "fitted"])
 
     return ask
 
 
 def answers(rows: pd.DataFrame) -> pd.DataFrame:
-    """Adds up the counts of one key range and answers every block; a row with block -1 has what the range adds to V and N."""
-    keys = [np.cumsum(np.frombuffer(k, "<u8"), dtype=np.uint64) for k in rows["keys"]]
+    """Adds up the counts of one key range and answers every block; v, n and n_fitted are the range's part of V and of N."""
+    counts = [(unpack(learned, "<u4"), unpack(fitted, "<u4")) for learned, fitted in zip(rows["learned"], rows["fitted"], strict=True)]
+    keys = [unpack_keys(k, len(c[0])) for k, c in zip(rows["keys"], counts, strict=True)]
     distinct = np.unique(np.concatenate(keys))
     totals = np.zeros((2, len(distinct)), np.int64)
     at = [np.searchsorted(distinct, k) for k in keys]
-    for where, learned, fitted in zip(at, rows["learned"], rows["fitted"], strict=True):
-        totals[0][where] += unpack(learned, "<u4")
-        totals[1][where] += unpack(fitted, "<u4")
+    for where, (learned, fitted) in zip(at, counts, strict=True):
+        totals[0][where] += learned
+        totals[1][where] += fitted
     start = np.uint64(WordHashes()[START]) & ~ONE
     words = ((distinct & ONE) == 0) & (distinct != start)
-    number = int(rows["key_range"].iloc[0])
-    sums = (number, -1, None, None, int((totals[0][words] > 0).sum()), int(totals[0][words].sum()), int(totals[1][words].sum()))
-    out = [(number, int(b), pack(totals[0][w], "<i8"), pack(totals[1][w], "<i8"), None, None, None) for b, w in zip(rows["block"], at, strict=True)]
-    frame = pd.DataFrame([sums, *out], columns=["key_range", "block", "learned", "fitted", "v", "n", "n_fitted"])
-    return frame.astype({"v": "Int64", "n": "Int64", "n_fitted": "Int64"})
+    return pd.DataFrame(
+        {
+            "key_range": rows["key_range"].array,
+            "block": rows["block"].array,
+            "learned": [pack(totals[0][w], "<i8") for w in at],
+            "fitted": [pack(totals[1][w], "<i8") for w in at],
+            "v": int((totals[0][words] > 0).sum()),
+            "n": int(totals[0][words].sum()),
+            "n_fitted": int(totals[1][words].sum()),
+        }
+    )
 
 
 ANSWER = "key_range int, block int, learned binary, fitted binary, v long, n long, n_fitted long"
@@ -170,7 +190,7 @@ def count_ratios(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(columns=names)
     block = Block(list(texts["text"]), WordHashes())
     c = totals(counts, "learned") - totals(counts, "fitted")  # deleted: without the held-out documents
-    v, n = int(counts["all_v"].iloc[0]), int(counts["all_n"].iloc[0]) - int(counts["all_fitted"].iloc[0])
+    v, n = int(counts["v"].sum()), int(counts["n"].sum() - counts["n_fitted"].sum())
     own = held[block.doc]
     zero, one, two = estimates(c[block.token[own]], c[block.previous[own]], c[block.pair[own]], n, v)
     code = (level(c[block.previous[own]]) * RATIOS + ratio_bin(one / zero)) * RATIOS + ratio_bin(two / zero)
@@ -181,7 +201,7 @@ def count_ratios(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
 def fit(rows: pd.DataFrame) -> pd.DataFrame:
     """The weights of orders zero, one, two per level, by expectation-maximisation on the counted ratios.
     Every level begins with a small share of all tokens, so that rare levels lean on the rest."""
-    weights = np.tile([0.1, 0.3, 0.6], (LEVELS, 1))
+    weights = np.tile(FIRST_GUESS, (LEVELS, 1))
     ratio = lambda b: np.where(b > 0, 2.0 ** ((b - RATIOS // 2) / 4), 0)
     at = rows["level"].to_numpy()
     n = rows["n"].to_numpy(float)
@@ -204,8 +224,9 @@ def score_block(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(columns=names)
     block = Block(list(texts["text"]), WordHashes())
     c = totals(counts, "learned")
-    v, n = int(counts["all_v"].iloc[0]), int(counts["all_n"].iloc[0])
-    weights = np.array(counts["weights"].iloc[0]).reshape(LEVELS, 3)
+    v, n = int(counts["v"].sum()), int(counts["n"].sum())
+    found = counts["weights"].iloc[0]
+    weights = np.tile(FIRST_GUESS, (LEVELS, 1)) if found is None else np.array(found).reshape(LEVELS, 3)
     token, previous = c[block.token], c[block.previous]
     mix = (weights[level(previous)].T * estimates(token, previous, c[block.pair], n, v)).sum(axis=0)
     base = np.log10((token + 0.5) / (n + 0.5 * (v + 1)))
@@ -231,9 +252,8 @@ def score(docs: DataFrame) -> DataFrame:
     blocks, ranges = max(16, chars // BLOCK), max(64, chars // RANGE)
     texts = folded(docs, blocks)
     asked = texts.groupBy("block").applyInPandas(requests(ranges), "key_range int, block int, keys binary, learned binary, fitted binary")
-    answered = asked.groupBy("key_range").applyInPandas(answers, ANSWER)
-    sums = answered.filter("block = -1").agg(F.struct(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("n_fitted").alias("fitted")).alias("s")).scalar()
-    told = answered.filter("block >= 0").withColumn("s", sums).select("key_range", "block", "learned", "fitted", F.col("s.v").alias("all_v"), F.col("s.n").alias("all_n"), F.col("s.fitted").alias("all_fitted"))
+    # dealt by block once, for the fit and for the scores
+    told = asked.groupBy("key_range").applyInPandas(answers, ANSWER).repartition("block")
     ratios = texts.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(count_ratios, "level int, one int, two int, n long")
     binned = ratios.groupBy("level", "one", "two").agg(F.sum("n").alias("n"))
     weights = binned.groupBy().applyInPandas(fit, "weights array<double>")
