@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendloom import schemas
 from spendloom.operators import records
-from spendloom.plans import ingest, reconcile
+from spendloom.plans import collect, ingest, reconcile
 from spendloom.sources import readers, writers
 from spendloom.streaming import jobs
 
@@ -211,16 +211,49 @@ def test_regions_may_lead_the_ingested_partitions(spark, tmp_path, call_log):
 
 
 def test_stream_equals_batch_and_restarts_clean(spark, tmp_path, call_log):
-    table, letters, state = (str(tmp_path / n) for n in ("t", "l", "c"))
-    for _ in range(2):
-        jobs.run_batches(jobs.call_line_stream(spark, call_log), jobs.ingest_batch(table, letters, FAILED_AT), state)
-    streamed = spark.read.schema(schemas.CALLS).parquet(table)
-    batch = records.call_rows(records.parse_call_lines(readers.read_call_lines(spark, call_log)))
-    order = ["requestid", "resolvedusername"]
-    assert streamed.drop("batch_id").orderBy(*order).collect() == batch.orderBy(*order).collect()
+    """A restart, and a second stream over the same files, add nothing."""
+    table, letters = str(tmp_path / "t"), str(tmp_path / "l")
+    for state in ("c1", "c1", "c2"):
+        jobs.run_batches(jobs.call_line_stream(spark, call_log), jobs.ingest_batch(table, letters, FAILED_AT), str(tmp_path / state))
+    ingest.ingest_calls(spark, call_log, str(tmp_path / "b"), str(tmp_path / "bl"), FAILED_AT)
+    streamed, batch = stored_calls(spark, table), stored_calls(spark, str(tmp_path / "b"))
+    assert streamed.orderBy("requestid").collect() == batch.orderBy("requestid").collect()
+    assert (tmp_path / "t/year=2024/month=01/day=15/hour=14").is_dir()
     assert spark.read.json(letters).count() == 5
 
 
+def test_audit_and_billing_arrive_as_streams(spark, tmp_path):
+    audit, exports = tmp_path / "audit", tmp_path / "exports"
+    audit.mkdir()
+    exports.mkdir()
+    event = {"eventId": "1", "requestId": "a", "eventTime": AT, "eventName": "InvokeModel"}
+    (audit / "a.json").write_text(json.dumps({"Records": [event, event]}))
+    (audit / "b.json").write_text("{")
+    (exports / "x.csv").write_text("\n".join([HEADER, export_line(), export_line("USE1-New-input-tokens", "7")]) + "\n")
+    at = lambda name: str(tmp_path / name)
+    for state in ("1", "2"):
+        jobs.run_batches(jobs.audit_document_stream(spark, str(audit)), jobs.ingest_audit_batch(at("t"), at("l"), FAILED_AT), at(f"a{state}"))
+        jobs.run_batches(jobs.billing_stream(spark, str(exports), HEADER.split(",")), jobs.ingest_billing_batch(at("c"), at("m")), at(f"b{state}"))
+    assert readers.read_table(spark, at("t"), schemas.AUDIT_EVENTS, schemas.HOUR_PARTITIONS).count() == 1
+    assert spark.read.json(at("l")).count() == 1
+    assert readers.read_table(spark, at("c"), schemas.COST_LINES, schemas.PERIOD_PARTITIONS).count() == 2
+    assert readers.read_table(spark, at("m"), schemas.MODEL_BILLING_MAP).count() == 1
+
+
+def test_metrics_and_identities_are_collected_once(spark, tmp_path, call_log):
+    calls, metrics, known = (str(tmp_path / n) for n in ("calls", "metrics", "known"))
+    ingest.ingest_calls(spark, call_log, calls, str(tmp_path / "l"), FAILED_AT)
+    for _ in range(2):
+        collect.collect_metrics(spark, calls, metrics, date(2024, 1, 15), date(2024, 1, 15))
+        collect.collect_metrics(spark, calls, metrics, date(2024, 1, 16), date(2024, 1, 17))
+        principals = stored_calls(spark, calls).select(F.col("callerarn").alias("principalarn"), "accountid")
+        collect.store_identities(spark, principals, known, FAILED_AT)
+    (row,) = readers.read_table(spark, metrics, schemas.METRICS, schemas.HOUR_PARTITIONS).collect()
+    assert (row["timestamp"], row["invocationcount"], row["invocationlatencyp99"], row["hour"]) == ("2024-01-15T14:30:00.000Z", 2, 1200.0, "14")
+    rows = readers.read_table(spark, known, schemas.IDENTITY_MAPPINGS).collect()
+    assert sorted((r["displayname"], r["sourcetype"], r["accountid"]) for r in rows) == [("alice", "iam", "222222222222"), ("bob", "iam", "222222222222")]
+
+
 def test_partition_filter_reaches_the_scan(spark, tmp_path, call_log):
     table = str(tmp_path / "calls")
     ingest.ingest_calls(spark, call_log, table, str(tmp_path / "l"), FAILED_AT)
