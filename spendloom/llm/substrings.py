@@ -12,7 +12,7 @@ before the shuffle, so a frequent window is one row per task.
 Everything is one plan. The texts are dealt by document once; all passes read the same exchange.
 
 Defined cases: null texts have no words; texts under 50 words have no windows and stay whole. A null id counts as
-greater than all others. Documents with equal ids never remove words from each other. Repeated rows give
+2^63 - 1, greater than all others. Documents with equal ids never remove words from each other. Repeated rows give
 repeated results. An empty table gives an empty table; other columns are not looked at. Windows compare by 128 bits of hash.
 """
 
@@ -169,7 +169,8 @@ def keep_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space) for every row."""
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64("text").alias("h")]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, "text").repartition("doc", "h")
+    # three columns that every pass reads, so that all of them share this exchange
+    texts = docs.select(*key, "text").repartition("doc", "h")
     listed = texts.select("doc", "h", "text").mapInPandas(list_minimisers, "doc long, h long, minimiser long")
     counted = listed.groupBy(F.struct("minimiser").alias("of")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n"))
     shared = counted.filter("lo < hi").select("of.minimiser", (F.col("n") > HEAVY).alias("heavy"))
@@ -192,7 +193,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     spans = from_light.union(from_heavy).groupBy("doc", "h").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     spans = spans.select("doc", "h", F.concat("spans.start", "spans.n").alias("spans"))
-    return texts.join(spans, ["doc", "h"], "left").select("doc_id", "text", "spans").mapInPandas(
+    doc_id = F.nullif("doc", F.lit(LAST_ID)).alias("doc_id")
+    return texts.join(spans, ["doc", "h"], "left").select(doc_id, "text", "spans").mapInPandas(
         keep_rest, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
 
