@@ -6,10 +6,11 @@ equal minimisers, so they meet there; the bucket sorts its windows and finds the
 
 Two things keep the strings few. Super-k-mers whose minimiser occurs in a single document stay at home, as none
 of their windows can occur elsewhere. And a minimiser with more than HEAVY super-k-mers (a passage that a
-third of all documents may hold) has no bucket: its windows travel singly as 128-bit hashes, which are aggregated
-before the shuffle, so a frequent window is one row per task.
+third of all documents may hold) has no bucket: documents are dealt into blocks, every block sends its distinct
+windows of such minimisers with their least documents, packed, to ranges of hashes and gets the least documents of all
+blocks back. So a frequent window is one entry per block, however many documents hold it.
 
-Everything is one plan. The texts are dealt by document once; all passes read the same exchange.
+Everything is one plan but a count of characters. The texts are dealt by document once; all passes read the same exchange.
 
 Defined cases: null texts have no words; texts under 50 words have no windows and stay whole. A null id counts as
 2^63 - 1, greater than all others. Documents with equal ids never remove words from each other. Repeated rows give
@@ -33,6 +34,9 @@ MINIMISER = 8
 HEAVY = 300
 #: Super-k-mers that one bucket sorts, about.
 BUCKET = 50_000
+#: Characters of a block, and of the texts behind one range of hashes, about.
+BLOCK = 6_000_000
+RANGE = 24_000_000
 LAST_ID = 2**63 - 1
 
 
@@ -91,22 +95,80 @@ def pack_light(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["minimiser", "doc", "h", "start", "packed"])
 
 
-def single_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The windows of heavy minimisers, as hashes."""
-    hashes = WordHashes()
-    for batch in batches:
-        parts, rows = [], 0
-        for doc, h, text, shared in zip(batch["doc"], batch["h"], batch["text"], batch["shared"], strict=True):
+class HeavyWindows:
+    """The windows of heavy minimisers of a block of documents, by document and place, and the distinct ones in order."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        hashes = WordHashes()
+        ones, twos, starts, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for text, shared in zip(rows["text"], rows["shared"], strict=True):
             own = hashes.of(split(text))
             at = np.flatnonzero(np.isin(minimisers(own), np.asarray(shared)))
             one, two = window_hashes(own)
-            parts.append((one[at], two[at], np.full(len(at), doc), np.full(len(at), h), at))
-            rows += len(at)
-            if rows > 200_000:
-                yield pd.DataFrame(dict(zip(["w1", "w2", "doc", "h", "start"], map(np.concatenate, zip(*parts, strict=True)), strict=True)))
-                parts, rows = [], 0
-        if parts:
-            yield pd.DataFrame(dict(zip(["w1", "w2", "doc", "h", "start"], map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+            ones.append(one[at])
+            twos.append(two[at])
+            starts.append(at)
+            docs.append(len(at))
+        one, two = np.concatenate(ones), np.concatenate(twos)
+        self.start = np.concatenate(starts)
+        self.row = np.repeat(np.arange(len(rows)), docs)
+        self.doc = rows["doc"].to_numpy()[self.row] if len(rows) else self.start
+        order = np.lexsort((two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        self.one, self.two = one[order][new], two[order][new]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.least = np.minimum.reduceat(self.doc[order], np.flatnonzero(new)) if len(order) else self.doc
+
+
+def range_of(one: np.ndarray, ranges: int) -> np.ndarray:
+    """Hashes are dealt by their size, so ranges in order hold sorted hashes in order."""
+    return (((one >> 32) + 2**31) * ranges) >> 32
+
+
+def ask(ranges: int):
+    def asked(rows: pd.DataFrame) -> pd.DataFrame:
+        own = HeavyWindows(rows)
+        cuts = np.searchsorted(range_of(own.one, ranges), np.arange(ranges + 1))
+        number = int(rows["block"].iloc[0])
+        pieces = [(k, slice(cuts[k], cuts[k + 1])) for k in range(ranges) if cuts[k] < cuts[k + 1]]
+        out = [(k, number, own.one[x].tobytes(), own.two[x].tobytes(), own.least[x].tobytes()) for k, x in pieces]
+        return pd.DataFrame(out, columns=["key_range", "block", "one", "two", "least"])
+
+    return asked
+
+
+def answer(rows: pd.DataFrame) -> pd.DataFrame:
+    """The least document of every window that the blocks asked for, in the order asked."""
+    columns = [[np.frombuffer(x, np.int64) for x in rows[name]] for name in ("one", "two", "least")]
+    one, two, doc = (np.concatenate(x) for x in columns)
+    order = np.lexsort((doc, two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    found = np.empty(len(order), np.int64)
+    found[order] = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    ends = np.cumsum([len(x) for x in columns[0]])[:-1]
+    return rows[["key_range", "block"]].assign(least=[x.tobytes() for x in np.split(found, ends)])
+
+
+def take_answers(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """The windows of a block that a smaller document has too."""
+    own = HeavyWindows(rows)
+    parts = [np.frombuffer(x, np.int64) for x in answers.sort_values("key_range")["least"]]
+    least = np.concatenate([np.zeros(0, np.int64), *parts])
+    gone = least[own.place] < own.doc
+    return spans_of(gone, own.row, own.start, rows)
+
+
+def spans_of(gone: np.ndarray, row: np.ndarray, start: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
+    """Runs of windows to remove; row and start say whose window each is, in order."""
+    first = gone.copy()
+    first[1:] &= ~gone[:-1] | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+    at = np.flatnonzero(first)
+    length = np.diff(np.append(np.cumsum(gone)[at] - 1, gone.sum()))
+    own = row[at]
+    return pd.DataFrame({"doc": rows["doc"].to_numpy()[own], "h": rows["h"].to_numpy()[own], "start": start[at], "n": length})
 
 
 def windows_of(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,15 +199,9 @@ def sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
     smallest = np.empty(len(order), np.int64)
     smallest[order] = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    gone = smallest < doc
-    # runs of windows to remove, cut where a string ends
-    first = gone.copy()
-    first[1:] &= ~gone[:-1] | (row[1:] != row[:-1])
-    at = np.flatnonzero(first)
-    length = np.diff(np.append(np.cumsum(gone)[at] - 1, gone.sum()))
-    own = row[at]
     begin = np.cumsum(sizes) - sizes
-    return pd.DataFrame({"doc": docs[own], "h": rows["h"].to_numpy()[own], "start": rows["start"].to_numpy()[own] + at - begin[own], "n": length})
+    start = rows["start"].to_numpy()[row] + np.arange(len(row)) - begin[row]
+    return spans_of(smallest < doc, row, start, rows)
 
 
 def keep_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,6 +224,7 @@ def keep_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space) for every row."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64("text").alias("h")]
     # three columns that every pass reads, so that all of them share this exchange
     texts = docs.select(*key, "text").repartition("doc", "h")
@@ -182,14 +239,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         return texts.join(own, ["doc", "h"]).select("doc", "h", "text", "shared")
 
     light = with_shared("light").mapInPandas(pack_light, "minimiser long, doc long, h long, start int, packed binary")
-    buckets = F.pmod(F.col("minimiser"), F.lit(bucket_count(docs)))
+    # a super-k-mer begins about every 100 characters
+    buckets = F.pmod(F.col("minimiser"), F.lit(max(64, chars // 100 // BUCKET)))
     from_light = light.groupBy(buckets.alias("bucket")).applyInPandas(sort_bucket, "doc long, h long, start int, n int")
 
-    windows = with_shared("heavy").mapInPandas(single_windows, "w1 long, w2 long, doc long, h long, start int")
-    # grouped by a struct and joined by its parts: both sides of the join are dealt for it, so Spark can split a frequent window
-    firsts = windows.groupBy(F.struct("w1", "w2").alias("w")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    firsts = firsts.filter("lo < hi").select("w.w1", "w.w2", "lo")
-    from_heavy = windows.join(firsts, ["w1", "w2"]).filter("lo < doc").select("doc", "h", "start", F.lit(1).alias("n"))
+    blocks, ranges = max(16, chars // BLOCK), max(64, chars // RANGE)
+    block = F.pmod(F.xxhash64("doc", "h"), F.lit(blocks)).cast("int").alias("block")
+    dealt = with_shared("heavy").select("doc", "h", "text", "shared", block).repartition("block")
+    asked = dealt.groupBy("block").applyInPandas(ask(ranges), "key_range int, block int, one binary, two binary, least binary")
+    told = asked.groupBy("key_range").applyInPandas(answer, "key_range int, block int, least binary")
+    from_heavy = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(take_answers, "doc long, h long, start int, n int")
 
     spans = from_light.union(from_heavy).groupBy("doc", "h").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     spans = spans.select("doc", "h", F.concat("spans.start", "spans.n").alias("spans"))
@@ -198,8 +257,3 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         keep_rest, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     )
 
-
-def bucket_count(docs: DataFrame) -> int:
-    """Buckets for BUCKET super-k-mers each, from the number of characters (a super-k-mer begins about every 100)."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(64, chars // 100 // BUCKET)
