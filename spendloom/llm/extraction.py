@@ -4,8 +4,10 @@ A page is walked once and gives blocks in page order, each with its root-to-leaf
 step, inline tags left out). Per path the text length, link length, punctuation and number of blocks are
 aggregated. Fused, they say how much running text a block of the path holds; the values are smoothed along the
 page and averaged per path, and paths below the threshold (the standard deviation over the page, at most the
-mean) go. What the markup states outright is fused in as weight: inside <article> or <main> a path always passes,
-inside menus, page headers, footers, asides, forms, adverts, notices and comment lists it never does.
+mean) go. All paths of all pages are judged so. What the markup states is fused in as weight: a block inside
+<article> or <main> gains the greatest value of the page times its share of text outside links, so running text in
+there passes (with a linked headline), link lists in there and text beside it pass by their ratios alone. Menus, page
+headers, footers, asides, forms, adverts, notices and comment lists never pass.
 
 A page is one row and is handled alone, so nothing is shuffled and tasks hold one batch of pages.
 
@@ -42,6 +44,8 @@ DROPPED = frozenset(
     "head title script style noscript template svg math canvas iframe object audio video map nav footer aside form button select textarea option dialog menu".split()
 )
 CONTENT = frozenset("article main".split())
+#: Paths of headlines, which may be links to the page itself; not those of lists.
+HEADLINE = re.compile(r"^(?!.*/li(?:[./]|$)).*/h[1-6](?:\.[^/]*)?$")
 #: Words in class, id or role that mark what is not main text.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|menu|nav|navbar|navigation|sidebar|side|footer|header|masthead|comments?|commentlist|replies|reply|disqus|share|sharing|social|related|recommend\w*|widget|breadcrumbs?|popup|modal|overlay|newsletter|subscribe|subscription|login|signup|search|contentinfo|complementary|hidden)(?:$|[\s_\d-])",
@@ -155,14 +159,16 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def selected(values: np.ndarray, paths: list[str]) -> set[str]:
-    """Paths whose values, smoothed along the page and fused with what the path has by itself, pass the threshold."""
+def selected(values: np.ndarray, paths: list[str], stated: np.ndarray) -> np.ndarray:
+    """Which blocks pass: the values, smoothed along the page and fused with what the path has by itself and with what
+    the markup states (0 to 1), reach the threshold in the mean of the path, or by the stated weight of the block."""
     padded = np.pad(values, 1, mode="edge")
     fused = np.sqrt(values * (0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]))
+    fused += fused.max() * stated
     threshold = min(fused.std(), fused.mean())
-    names, which = np.unique(paths, return_inverse=True)
+    _, which = np.unique(paths, return_inverse=True)
     mean = np.bincount(which, fused) / np.bincount(which)
-    return set(names[mean >= threshold])
+    return (mean[which] >= threshold) | ((stated > 0) & (fused >= threshold))
 
 
 def main_text(page: str | None) -> str:
@@ -175,18 +181,21 @@ def main_text(page: str | None) -> str:
             found.append((b, own))
     if not found:
         return ""
-    if any(b.content for b, _ in found):
-        return "\n\n".join(own for b, own in found if b.content)
+    # an id may make content of one of two equal paths
+    paths = [f"+{b.path}" if b.content else b.path for b, _ in found]
     sums: dict[str, list[float]] = {}
-    for b, own in found:
-        s = sums.setdefault(b.path, [0, 0, 0, 0])
+    stated = []
+    for path, (b, own) in zip(paths, found, strict=True):
+        links = 0 if b.content and HEADLINE.search(b.path) else min(b.links, len(own))
+        s = sums.setdefault(path, [0, 0, 0, 0])
         s[0] += len(own)
-        s[1] += min(b.links, len(own))
+        s[1] += links
         s[2] += len(PUNCTUATION.findall(own))
         s[3] += 1
+        stated.append((len(own) - links) / len(own) if b.content else 0.0)
     ratio = {path: (length - links) / n * (1 + marks / n) for path, (length, links, marks, n) in sums.items()}
-    kept = selected(np.array([ratio[b.path] for b, _ in found]), [b.path for b, _ in found])
-    return "\n\n".join(own for b, own in found if b.path in kept)
+    kept = selected(np.array([ratio[path] for path in paths]), paths, np.array(stated))
+    return "\n\n".join(own for (_, own), passes in zip(found, kept, strict=True) if passes)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -117,6 +117,22 @@ def test_without_article_long_running_text_wins():
     assert extraction.main_text(page).split("\n\n") == ["A long sentence, with a comma, and a stop. And more.", "Another long sentence, with commas, in the same place."]
 
 
+BODY = [f"Paragraph {k} of the story has a comma, a verb and an end, and it runs on for a while." for k in range(6)]
+
+
+@pytest.mark.parametrize("teaser", ["<article><p>Read this teaser.</p></article>", "<main>Short.</main>", "<div id=main><p>Short.</p></div>"])
+def test_body_beside_a_teaser_is_kept(teaser):
+    page = f"<body>{teaser}<div class=story>{''.join(f'<p>{b}</p>' for b in BODY)}</div><div><a href=1>One</a> <a href=2>Two</a></div>"
+    assert [b for b in BODY if b not in extraction.main_text(page).split("\n\n")] == []
+    assert "One" not in extraction.main_text(page)
+
+
+def test_link_lists_in_an_article_are_judged():
+    links = "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(8))
+    page = f"<article><h1><a href=/self>The headline</a></h1>{''.join(f'<p>{b}</p>' for b in BODY)}<ul class=tags>{links}</ul><ol><li>Point</ol></article><div>By the staff</div>"
+    assert extraction.main_text(page).split("\n\n") == ["The headline", *BODY, "Point"]
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("plain &lt;text&gt;", "plain <text>"), ("<p>open <b>bold", "open bold"), ("a < b and c", "a < b and c"), ("<p>x</p><!-- never closed <p>y</p>", "x"),
     ("</p></div>stray", "stray"), ("<script>alone()", ""), ("<article><p title=\"it's\">t</article>", "t"), ("<article></article>", ""),
