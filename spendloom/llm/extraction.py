@@ -7,7 +7,9 @@ page and averaged per path, and paths below the threshold (the standard deviatio
 mean) go. All paths of all pages are judged so. What the markup states is fused in as weight: a block inside
 <article> or <main> gains the greatest value of the page times its share of text outside links, so running text in
 there passes (with a linked headline), link lists in there and text beside it pass by their ratios alone. Menus, page
-headers, footers, asides, forms, adverts, notices and comment lists never pass.
+headers, footers, asides, forms, adverts, notices and comment lists never pass, but an <article> or <main> that only
+the name of a wrapper (sidebar, header, modal, ...) puts there is judged like any other. A class, id or role marks by
+its whole name: site-footer does, has-sidebar and entry-header do not.
 
 A page is one row and is handled alone, so nothing is shuffled and tasks hold one batch of pages.
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+>|[^>]*>)|<[!?/][^>]*>""", re.S
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 WHITE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
@@ -46,11 +48,21 @@ DROPPED = frozenset(
 CONTENT = frozenset("article main".split())
 #: Paths of headlines, which may be links to the page itself; not those of lists.
 HEADLINE = re.compile(r"^(?!.*/li(?:[./]|$)).*/h[1-6](?:\.[^/]*)?$")
-#: Words in class, id or role that mark what is not main text.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|menu|nav|navbar|navigation|sidebar|side|footer|header|masthead|comments?|commentlist|replies|reply|disqus|share|sharing|social|related|recommend\w*|widget|breadcrumbs?|popup|modal|overlay|newsletter|subscribe|subscription|login|signup|search|contentinfo|complementary|hidden)(?:$|[\s_\d-])",
-    re.I,
+#: Words that mark what is not main text, wherever it is.
+NEVER = frozenset(
+    "ad ads adv banner cookie cookies consent gdpr comment comments commentlist replies reply disqus related newsletter subscribe subscription".split()
 )
+#: Words of places beside the main text; an <article> or <main> that such a place holds is main text all the same.
+BESIDE = frozenset(
+    "notice notices alert menu nav navbar navigation sidebar side footer header masthead share sharing social widget breadcrumb breadcrumbs popup modal overlay login signup search contentinfo complementary hidden".split()
+)
+NEVER_FROM = re.compile(r"(?:advert|sponsor|promo|recommend)[^\W\d_]*")
+#: Words that may stand beside marking ones in a name, as in site-footer; any other word makes it another name (has-sidebar).
+PLAIN = frozenset("site page main top bottom left right global primary secondary bar box slot unit wrapper list block area section container links buttons icons item items".split())
+#: Names that mark main text.
+STATED = frozenset("main main-content content-main articlebody article-body post-content entry-content post-body entry-body".split())
+#: How a place is left out: not, unless <article> or <main> is in it, in any case.
+TAKEN, ASIDE, OUT = 0, 1, 2
 #: What a start tag closes, up to the nearest of the tags named second.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -63,20 +75,38 @@ CLOSES = {
 }
 
 
+def mark(names: list[str]) -> int:
+    """How an element with these names (classes, id, role) is left out. A name counts as a whole: its words mark
+    something or are plain."""
+    found = TAKEN
+    for name in names:
+        own = TAKEN
+        for word in re.split(r"[-_\d]+", name):
+            if word in NEVER or NEVER_FROM.fullmatch(word):
+                own = OUT
+            elif word in BESIDE:
+                own = max(own, ASIDE)
+            elif word and word not in PLAIN:
+                break
+        else:
+            found = max(found, own)
+    return found
+
+
 class Block:
-    __slots__ = ("path", "parts", "links", "content", "dropped")
+    __slots__ = ("path", "parts", "links", "content")
 
-    def __init__(self, path: str, content: bool, dropped: bool) -> None:
-        self.path, self.content, self.dropped = path, content, dropped
+    def __init__(self, path: str, content: bool) -> None:
+        self.path, self.content = path, content
         self.parts: list[str] = []
         self.links = 0
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order."""
+    """The page's blocks of text in order, without what is left out."""
     found: list[Block] = []
-    # open elements: tag, path of blocks, in content, in what is dropped, in a link
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+    # open elements: tag, path of blocks, in content, how left out, in a link
+    stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, TAKEN, False)]
     fresh = True  # the next text begins a block
     at = 0
 
@@ -85,10 +115,12 @@ def blocks(page: str) -> list[Block]:
         if not raw:
             return
         _, path, content, dropped, link = stack[-1]
+        if dropped:  # an inline element that is left out takes its own text along and not its block's
+            return
         if fresh:
             if raw.isspace():
                 return
-            found.append(Block(path, content, dropped))
+            found.append(Block(path, content))
             fresh = False
         block = found[-1]
         raw = entities.unescape(raw) if "&" in raw else raw
@@ -141,16 +173,27 @@ def blocks(page: str) -> list[Block]:
             continue
         _, path, content, dropped, link = stack[-1]
         if m[3] == ">":
-            marks, first = "", ""
+            names, first, out = [], "", TAKEN
         else:
-            given = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])}
-            marks = f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".strip()
+            given: dict[str, str] = {}
+            for a in ATTRIBUTE.findall(m[3]):
+                given.setdefault(a[0].lower(), a[1] or a[2] or a[3])
+            names = f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower().split()
             first = given.get("class", "").split(" ", 1)[0]
-            if "hidden" in given or re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
-                dropped = True
+            unseen = "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
+            out = OUT if unseen or re.search(r"display\s*:\s*none", given.get("style", ""), re.I) else TAKEN
+        states = tag in CONTENT or (tag not in INLINE and not STATED.isdisjoint(names))
+        if states and dropped == ASIDE:
+            dropped = TAKEN
         if tag not in ("html", "body"):
-            dropped = dropped or tag in DROPPED or bool(marks and MARKED.search(marks)) or (tag == "header" and not content)
-        content = content or tag in CONTENT or bool(marks and re.search(r"(?:^|[\s_-])(?:main|articlebody|post-content|entry-content)(?:$|[\s_-])", marks, re.I))
+            if tag in DROPPED:
+                out = OUT
+            elif names:
+                out = max(out, mark([n for n in names if not (content and n == "header")]))
+            if tag == "header" and not content:
+                out = max(out, ASIDE)
+        dropped = max(dropped, out)
+        content = content or states
         if tag not in INLINE:
             path = f"{path}/{tag}.{first}" if first else f"{path}/{tag}"
         if not (m[3].endswith("/>") and tag in ("svg", "path")):
@@ -177,7 +220,7 @@ def main_text(page: str | None) -> str:
     found = []
     for b in blocks(page):
         own = WHITE.sub(" ", "".join(b.parts)).strip()
-        if own and not b.dropped:
+        if own:
             found.append((b, own))
     if not found:
         return ""

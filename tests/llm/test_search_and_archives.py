@@ -133,6 +133,20 @@ def test_link_lists_in_an_article_are_judged():
     assert extraction.main_text(page).split("\n\n") == ["The headline", *BODY, "Point"]
 
 
+STORY = f"<p>{BODY[0]}</p><p>{BODY[1]}</p>"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f'<div class="layout has-sidebar"><article>{STORY}</article></div>', BODY[:2]), (f'<div class="no-sidebar">{STORY}</div>', BODY[:2]),
+    (f'<div class="sidebar"><main>{STORY}</main></div>', BODY[:2]), (f'<div class="comments"><article>{STORY}</article></div>', []), (f'<div hidden><article>{STORY}</article></div>', []),
+    (f'<article><div class="entry-header"><h1>Title</h1></div>{STORY}</article>', ["Title", *BODY[:2]]), (f'<article aria-hidden="false" title="Hidden gems">{STORY}</article>', BODY[:2]),
+    (f'<article>{STORY}<div aria-hidden="true">{STORY}</div></article>', BODY[:2]), (f'<article><p><a class="share" href=x>Share</a>{BODY[0]}<span hidden>no</span></p></article>', BODY[:1]),
+    (f'<article>{STORY}</article><div class="site-footer">{STORY}</div><div class="ad ad-1">{STORY}</div><div id="comments">{STORY}</div><div class="promotion_box">{STORY}</div>', BODY[:2]),
+])
+def test_names_mark_as_a_whole(page, text):
+    assert extraction.main_text(page) == "\n\n".join(text)
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (None, ""), ("", ""), ("plain &lt;text&gt;", "plain <text>"), ("<p>open <b>bold", "open bold"), ("a < b and c", "a < b and c"), ("<p>x</p><!-- never closed <p>y</p>", "x"),
     ("</p></div>stray", "stray"), ("<script>alone()", ""), ("<article><p title=\"it's\">t</article>", "t"), ("<article></article>", ""),
