@@ -1,10 +1,12 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of the characters that keys and tokens are made of. A random forest (Spark ML) judges
-them by length, character transitions, dictionary coverage, path and neighbouring words. It learns from labelled
-findings: a frame given by the caller, or else findings of the corpus itself whose label is beyond doubt
-(issuer formats and assigned values against words and numbers), and a few fixed ones. Every labelled finding
-is learned twice, with and without its neighbours, so that bare secrets are found too.
+Candidates are long runs of the characters that keys and tokens are made of and, whatever their characters, the
+values of hinted assignments (password = ...) and the passwords of URLs, from LEAST characters on; of candidates that
+overlap, the union is one. A random forest (Spark ML) judges them by length, character transitions, dictionary
+coverage, path and neighbouring words. It learns from labelled findings: a frame given by the caller, or else findings
+of the corpus itself whose label is beyond doubt (issuer formats and assigned values against words and numbers), and a
+few fixed ones. Every labelled finding is learned twice, with and without its neighbours, so that bare secrets are
+found too.
 
 The forest is fitted on at most LABELLED findings per label, taken in hash order; candidates are looked for in all
 texts, whole. Texts are never shuffled: the fitted trees (a bounded table) go to the texts.
@@ -34,12 +36,23 @@ TREES, DEPTH, SEED = 30, 6, 11
 SURE = 0.5
 MARK = "[SECRET]"
 
-CANDIDATE = re.compile(r"(?<![\w+/\-])[A-Za-z0-9+/_\-]{16,}={0,2}(?![\w])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9+/_\-]{16,}={0,2}(?![A-Za-z0-9_])")
+HINTS = r"passw(?:or)?d|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credentials?|private[_-]?key"
+#: Values at hinted places: in quotes, in the query of a URL, or up to white space or the next name=; the password of a URL.
+VALUE = re.compile(
+    rf"""(?P<query>[?&][\w\-]{{0,40}})?(?:{HINTS})["']?[ \t]*(?:=>|:=|==?|:)[ \t]*"""
+    r"""(?:(?P<quote>["'])(?P<quoted>(?:(?!(?P=quote))\S){6,})(?P=quote)|["']?(?P<plain>(?:(?!["']?[,;&]["']?[\w.\-]{1,40}["']?[=:])\S){6,}))""",
+    re.I,
+)
+LOGIN = re.compile(r"(?<=://)[^\s/:@?#]{0,200}:(?P<login>[^\s/]{6,})(?=@)")
 ISSUED = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_\w{36,}|xox[abprs]-[\w-]{20,}|AIza[\w-]{35}|[sr]k_live_\w{20,}|eyJ[\w-]{20,}")
-HINT = re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|bearer|credentials?|private[_-]?key)\W*$", re.I)
+HINT = re.compile(rf"(?:{HINTS})\W*$", re.I)
+USER = re.compile(r"://[^\s/:@?#]*:$")
 OTHER = re.compile(r"(?:sha\d*|md5|commit|checksum|digest|uuid|hash|id|version|isbn|https?|www)\W*$", re.I)
 ASSIGNED = re.compile(r"[=:]\s*[\"']?$")
 NEIGHBOURS = 24
+#: Characters of a value at a hinted place, at least.
+LEAST = 6
 
 FEATURES = ["length", "transitions", "digits", "capitals", "entropy", "distinct", "coverage", "separators", "path", "hint", "other", "assigned", "quoted"]
 ABOUT_NEIGHBOURS = 8  # from here on features look beyond the candidate
@@ -56,6 +69,26 @@ EXAMPLES = [
     ("4111111111111111", "number ", ".", False),
     ("misunderstanding", "a ", " between", False),
 ]
+#: The same for values at hinted places, which may be short; learned SHORT_TIMES, as the corpus may label none like them.
+SHORT = [
+    ("gr4vity!Moon7", "password = \"", "\"", True),
+    ("vT5%nW3@hZ8&cB1?rD", "pwd=", " ", True),
+    ("M1ssion5K", "postgres://u:", "@db", True),
+    ("Tr0ub4dor&3", "password: ", "\n", True),
+    ("x7!Pq2", "passwd=", " ", True),
+    ("Zx9-Lm4-Qw", "token='", "'", True),
+    ("optional", "password: ", " ", False),
+    ("changed", "password: ", " by", False),
+    ("invalid", "token=", " ", False),
+    ("string", "secret: \"", "\"", False),
+    ("another", "token: ", " one", False),
+    ("enabled", "password=", " ", False),
+    ("os.environ", "password = ", "[", False),
+    ("getpass()", "password = ", " ", False),
+    ("${PASSWORD}", "password=", " ", False),
+    ("self.token", "token=", ")", False),
+]
+SHORT_TIMES = 20
 
 
 def dictionary(tokenizer_path: str) -> frozenset[str]:
@@ -98,7 +131,7 @@ def features(candidate: str, before: str, after: str, known: frozenset[str]) ->
         coverage(candidate, known),
         kinds.count(3) / n,
         float("/" in candidate or before.endswith(("/", "\\", "."))),
-        float(bool(HINT.search(before.rstrip("\"' =:")))),
+        float(bool(HINT.search(before.rstrip("\"' =:"))) or (after[:1] == "@" and bool(USER.search(before)))),
         float(bool(OTHER.search(before.rstrip("\"' =:")))),
         float(bool(ASSIGNED.search(before))),
         float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
@@ -115,11 +148,49 @@ def obvious(candidate: str, x: list[float]) -> bool | None:
     return None
 
 
+def trimmed(value: str) -> str:
+    """A value up to white space without what ends a sentence, a list or a bracket behind it."""
+    while value and (value[-1] in ".,;:\"'`>" or (value[-1] in ")]}" and value.count(value[-1]) > value.count("([{"[")]}".index(value[-1])]))):
+        value = value[:-1]
+    return value
+
+
+def values(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, start of what names it) of the values at hinted places."""
+    for m in VALUE.finditer(text):
+        low, high = m.span("quoted") if m["quoted"] else m.span("plain")
+        if not m["quoted"]:
+            high = low + len(trimmed(re.split("[&#]", m["plain"], maxsplit=1)[0] if m["query"] else m["plain"]))
+        if high - low >= LEAST:
+            yield low, high, m.start()
+    for m in LOGIN.finditer(text):
+        yield *m.span("login"), m.start() - 3
+
+
+def spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, start of what names it) of the candidates in order; of those that overlap, the one that begins first
+    and goes farthest, carried on to the end of the others."""
+    named = list(values(text))
+    if not named:
+        return [(m.start(), m.end(), m.start()) for m in CANDIDATE.finditer(text)]
+    out: list[tuple[int, int, int]] = []
+    for low, high, least in sorted([*named, *((m.start(), m.end(), m.start()) for m in CANDIDATE.finditer(text))], key=lambda s: (s[0], -s[1], s[2])):
+        if out and low < out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]), out[-1][2])
+        else:
+            out.append((low, high, least))
+    return out
+
+
 def found(text: object, known: frozenset[str]) -> list[tuple[int, str, list[float]]]:
     if not isinstance(text, str):
         return []
-    hits = ((m.start(), m[0]) for m in CANDIDATE.finditer(text))
-    return [(at, c, features(c, text[max(0, at - NEIGHBOURS) : at], text[at + len(c) : at + len(c) + NEIGHBOURS], known)) for at, c in hits]
+    out = []
+    for at, end, least in spans(text):
+        c = text[at:end]
+        before = text[min(least, max(0, at - NEIGHBOURS)) : at]
+        out.append((at, c, features(c, before, text[end : end + NEIGHBOURS], known)))
+    return out
 
 
 def candidates(docs: DataFrame, known: frozenset[str]) -> DataFrame:
@@ -139,7 +210,7 @@ def labelled_rows(spark: SparkSession, labelled: DataFrame, known: frozenset[str
     """features, label of at most `most` labelled findings of either label, the fixed ones, and all of them without neighbours."""
     order = F.xxhash64("candidate", "features")
     taken = [labelled.filter(label).orderBy(order, "candidate").limit(most) for label in (F.col("label"), ~F.col("label"))]
-    fixed = spark.createDataFrame([(features(c, b, a, known), s) for c, b, a, s in EXAMPLES], "features array<double>, label boolean")
+    fixed = spark.createDataFrame([(features(c, b, a, known), s) for c, b, a, s in EXAMPLES + SHORT * SHORT_TIMES], "features array<double>, label boolean")
     rows = taken[0].select("features", "label").union(taken[1].select("features", "label")).union(fixed)
     bare = F.transform("features", lambda x, i: F.when(i < ABOUT_NEIGHBOURS, x).otherwise(0.0))
     return rows.union(rows.select(bare.alias("features"), "label"))
