@@ -1,7 +1,7 @@
 """Packing token sequences: a configuration linear program, rounded.
 
 Documents become token ids; only a document longer than a sequence is cut, into full pieces and a rest.
-A configuration says how many pieces of each length class one sequence takes. The linear program over the
+A configuration says how many pieces of each length one sequence takes. The linear program over the
 histogram of lengths (fewest sequences that hold all pieces) is solved by multiplicative weights: lengths
 that lag behind weigh more, and a knapsack dynamic program finds the configuration with the greatest weight.
 Configurations are taken in whole numbers as the rounds go; what is left is packed by best fit on the histogram.
@@ -10,9 +10,10 @@ The driver sees the histogram alone: `capacity` counts at most, whatever the inp
 within their class from counts per (class, bucket), so that a class with a third of all pieces is not ranked
 by one task, and class and rank give the sequence.
 
-While the plan is made, lengths from FINE on count in steps of `grid` tokens, so a sequence may stay up to
-grid - 1 tokens per large piece below what fits; the small pieces that best fit adds count exactly. Ids, pieces
-and offsets are exact.
+Lengths are exact throughout. The knapsack alone sees lengths from FINE on in steps of `grid` tokens: it proposes
+configurations, which are filled with pieces of exact lengths, and best fit adds to the room that these leave. Best
+fit of all pieces, without any proposal, is one of the solutions that are compared, so combinations that the steps
+hide (3 x 1365, 2047 + 2049) are not lost. Ids, pieces and offsets are exact.
 
 Defined cases: a null text counts as empty and is one piece with the end id only. Repeated rows are packed
 each for itself; null ids are allowed. An empty table gives no rows. Extra columns are not looked at.
@@ -32,7 +33,7 @@ from pyspark.sql.window import Window
 from spendloom.llm.common import checkpointed
 
 CAPACITY = 4096
-#: Lengths from FINE on count in steps of GRID tokens while the plan is made.
+#: Lengths from FINE on count in steps of GRID tokens while configurations are proposed.
 GRID = 4
 FINE = 256
 ROUNDS = 600
@@ -172,8 +173,9 @@ def fullest(weights: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
 def plan(histogram: np.ndarray, capacity: int, grid: int = GRID, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """(sizes in one sequence, number of such sequences) for a histogram by class."""
     whole = histogram.astype(np.int64)
-    n = whole[::grid].copy()  # the linear program is over the large classes, in steps of grid tokens
-    n[: FINE // grid] = 0
+    # the linear program is over the large lengths, rounded up to steps of grid tokens
+    n = np.zeros(-(-capacity // grid) + 1, np.int64)
+    np.add.at(n, -(-np.arange(FINE, capacity + 1) // grid), whole[FINE:])
     left = n.copy()
     units = capacity // grid
     made: list[tuple[np.ndarray, int]] = []
@@ -193,20 +195,49 @@ def plan(histogram: np.ndarray, capacity: int, grid: int = GRID, rounds: int = R
         step = np.maximum(1, np.floor(STEP * n[sizes]).astype(np.int64))
         count = int(max(1, min((left[sizes] // times).min(), (step // times).min())))
         left[sizes] -= times * count
-        made.append((grid * np.repeat(sizes, times), count))
+        made.append((np.repeat(sizes, times), count))
         kept_at.append((len(made), left.copy()))
     # rounding: the solution up to some round, and best fit for the rest; the later round wins a tie
     points = [kept_at[len(kept_at) * part // 8 - 1] for part in range(8, 0, -1)]
 
-    def completed(taken: int, rest: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    def completed(taken: int) -> list[tuple[np.ndarray, int]]:
         todo = whole.copy()
-        todo[::grid] -= n - rest
-        return best_fit(todo, made[:taken], capacity)
+        return best_fit(todo, exact(made[:taken], todo, grid), capacity)
 
-    done = (completed(*point) for point in points)
+    done = (completed(taken) for taken in dict.fromkeys([*(taken for taken, _ in points), 0]))
     return min(done, key=lambda kinds: sum(count for _, count in kinds))
 
 
+def exact(made: list[tuple[np.ndarray, int]], left: np.ndarray, grid: int) -> list[tuple[np.ndarray, int]]:
+    """The configurations of steps filled with exact lengths, which are taken from left, the longest of a step first."""
+    filled: list[tuple[np.ndarray, int]] = []
+    at: dict[int, int] = {}  # by step: the longest length that is left
+    for steps, count in made:
+        while count:
+            sizes, now = [], count
+            for step, times in zip(*np.unique(steps, return_counts=True), strict=True):
+                step, times = int(step), int(times)
+                length = at.get(step, min(step * grid, len(left) - 1))
+                while not left[length]:
+                    length -= 1
+                at[step] = length
+                if left[length] >= times:
+                    now = min(now, int(left[length]) // times)
+                    sizes += [length] * times
+                    continue
+                now = 1  # one sequence of several lengths
+                while times:
+                    own = min(times, int(left[length]))
+                    sizes += [length] * own
+                    times -= own
+                    length -= 1
+            sizes = np.array(sizes, np.int64)
+            np.subtract.at(left, sizes, now)
+            filled.append((sizes, now))
+            count -= now
+    return filled
+
+
 def best_fit(left: np.ndarray, made: list[tuple[np.ndarray, int]], capacity: int) -> list[tuple[np.ndarray, int]]:
     """Packs what is left, largest first, each into the fullest kind of sequence with room; takes over kinds of `made`."""
     by_room: dict[int, list[list]] = {}
@@ -254,8 +285,7 @@ def slots(made: list[tuple[np.ndarray, int]], classes: int) -> dict[int, tuple[n
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, grid: int = GRID, rounds: int = ROUNDS) -> DataFrame:
     """The rows of cut with sequence_id and offset. cut is read twice; it should be checkpointed."""
-    rounded_up = (F.ceil(F.col("length") / grid) * grid).cast("int")
-    classed = cut.withColumn("class", F.when(F.col("length") < FINE, F.col("length").cast("int")).otherwise(rounded_up))
+    classed = cut.withColumn("class", F.col("length").cast("int"))
     histogram = np.zeros(capacity + 1, np.int64)
     counted = classed.groupBy("class").agg(F.count("*").alias("n")).toPandas()  # `capacity` rows at most
     histogram[counted["class"].to_numpy(np.int64)] = counted["n"]

@@ -83,6 +83,25 @@ def test_sequences_are_gapless_and_few(spark, kind):
     assert n <= max(best_fit(lengths) * 1.01, math.ceil(sum(lengths) / 4096) + 1)
 
 
+@pytest.mark.parametrize(("kinds", "sequences"), [
+    ({1365: 900}, 300), ({819: 1000}, 200), ({585: 700}, 100), ({2047: 200, 2049: 200}, 200), ({1365: 300, 2047: 100, 2049: 100, 819: 100}, 220),
+])
+def test_lengths_that_fit_exactly_are_packed(spark, kinds, sequences):
+    lengths = [n for n, count in kinds.items() for _ in range(count)]
+    cut = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert check(packing.pack(cut).collect(), lengths) == sequences
+
+
+def test_a_hot_length_among_others():
+    """A third of all pieces have one length that the steps of the plan round up."""
+    rng = np.random.default_rng(5)
+    lengths = [*[1365] * 3000, *rng.integers(256, 4097, 6000)]
+    made = packing.plan(np.bincount(lengths, minlength=4097), 4096)
+    assert np.array_equal(sum(np.bincount(sizes, minlength=4097) * count for sizes, count in made), np.bincount(lengths, minlength=4097))
+    assert all(sizes.sum() <= 4096 for sizes, _ in made)
+    assert sum(count for _, count in made) <= best_fit(lengths)
+
+
 def test_no_documents_and_repeated_rows(documents):
     path = registry.tokenizer_path()
     assert packing.pack_documents(documents([]), path).count() == 0
