@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import checks, extraction, lm_scores, mixing, neardup, packing, quality_rules, secrets, substrings, topk, warc
+from spendloom.llm import checks, extraction, lm_scores, mixing, neardup, packing, quality_rules, secrets, sharding, substrings, topk, warc
 from spendloom.llm.common import checkpointed, shared_folder, table
 
 #: Where the public tokenizer files are; a parameter of the operators that need one.
@@ -66,6 +66,21 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the documents as they lie in eight shards; the law is that counts are at most one apart."""
+    found = sharding.placed(table(spark, sf_dir, "documents"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return found.select(
+        "row.doc_id",
+        (F.octet_length(text).cast("long") + 1).alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_poisson_mix": op2_poisson_mix,
@@ -77,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extract_html": op8_extract_html,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack_sequences": op10_pack_sequences,
+    "op13_shards": op13_shards,
 }
 
 CHECKS: dict[str, str] = {
