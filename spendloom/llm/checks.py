@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spendloom.llm import mixing, substrings, topk
+from spendloom.llm import lexical, mixing, substrings, topk
 from spendloom.llm import quality_rules as q
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -131,3 +131,25 @@ kept AS (
   FROM flagged GROUP BY r)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
 FROM docs LEFT JOIN kept USING (r)"""
+
+
+def lexical_sql(documents: str = "documents", items: str = "benchmark") -> str:
+    """Terms of documents and items side by side; weights and scores in whole numbers."""
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({low}, '{term}') AS terms FROM {documents}),
+items AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all({low}, '{term}') AS terms FROM (SELECT DISTINCT item_id, text FROM {items})),
+total AS (SELECT count(*) AS n, sum(len(terms)) AS l FROM docs WHERE len(terms) > 0),
+asked AS (SELECT i, unnest(terms) AS term FROM items),
+times AS (SELECT i, term, count(*) AS times FROM asked GROUP BY ALL),
+found AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM times) GROUP BY ALL),
+weighted AS (SELECT term, floor(1000 * ln((2 * (SELECT n FROM total) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM found GROUP BY term),
+sized AS (SELECT r, doc_id, (100 - {lexical.B100} + (({lexical.B100} * len(terms) * t.n) // t.l))::BIGINT AS m FROM docs, total t WHERE len(terms) > 0),
+scores AS (
+  SELECT i, r, doc_id, sum(times * w * (({lexical.ONE} * tf) // (1000 * tf + {lexical.K8} * m)))::BIGINT AS score
+  FROM times JOIN found USING (term) JOIN weighted USING (term) JOIN sized USING (r) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+FROM scores JOIN items USING (i) WHERE score > 0 QUALIFY rank <= {lexical.TOP}"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import checks, extraction, lm_scores, mixing, neardup, packing, quality_rules, secrets, sharding, substrings, topk, warc
+from spendloom.llm import checks, extraction, lexical, lm_scores, mixing, neardup, packing, quality_rules, secrets, sharding, substrings, topk, warc
 from spendloom.llm.common import checkpointed, shared_folder, table
 
 #: Where the public tokenizer files are; a parameter of the operators that need one.
@@ -66,6 +66,11 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the documents as they lie in eight shards; the law is that counts are at most one apart."""
     found = sharding.placed(table(spark, sf_dir, "documents"))
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extract_html": op8_extract_html,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack_sequences": op10_pack_sequences,
+    "op12_lexical": op12_lexical,
     "op13_shards": op13_shards,
 }
 
@@ -101,4 +107,5 @@ CHECKS: dict[str, str] = {
     "op5_top_k": checks.top_k_sql(),
     "op6_substring_dedup": checks.substrings_sql(),
     "op7_warc": checks.warc_sql(),
+    "op12_lexical": checks.lexical_sql(),
 }
