@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spendloom.llm import lexical, mixing, substrings, topk
+from spendloom.llm import lexical, mixing, negatives, substrings, topk
 from spendloom.llm import quality_rules as q
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,6 +133,28 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS
 FROM docs LEFT JOIN kept USING (r)"""
 
 
+def hard_negatives_sql(embeddings: str = "embeddings") -> str:
+    """All pairs of an anchor and a row."""
+    n = negatives
+    return f"""
+WITH vectors AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({n.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM {embeddings}
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+rows AS (SELECT *, row_number() OVER () AS r FROM vectors),
+pairs AS (
+  SELECT a.r, a.vec_id AS anchor_id, c.vec_id, c.r AS c, a.label = c.label AS same, list_dot_product(a.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM rows a JOIN rows c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT r, vec_id AS positive_id, c, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= {n.LIMIT})
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY p.r, p.c ORDER BY score DESC, vec_id))::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN pairs q ON p.r = q.r AND NOT same AND {n.LOW} * positive_score <= 100 * score AND 100 * score <= {n.HIGH} * positive_score
+QUALIFY rank <= {n.LIMIT}"""
+
+
 def lexical_sql(documents: str = "documents", items: str = "benchmark") -> str:
     """Terms of documents and items side by side; weights and scores in whole numbers."""
     term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendloom.llm import checks, extraction, lexical, lm_scores, mixing, neardup, packing, quality_rules, secrets, sharding, substrings, topk, warc
+from spendloom.llm import checks, extraction, lexical, lm_scores, mixing, neardup, negatives, packing, quality_rules, secrets, sharding, substrings, topk, warc
 from spendloom.llm.common import checkpointed, shared_folder, table
 
 #: Where the public tokenizer files are; a parameter of the operators that need one.
@@ -66,6 +66,13 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the embeddings, every seventh label of which is first moved on."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(vectors.withColumn("label", moved))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extract_html": op8_extract_html,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pack_sequences": op10_pack_sequences,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_lexical": op12_lexical,
     "op13_shards": op13_shards,
 }
@@ -107,5 +115,6 @@ CHECKS: dict[str, str] = {
     "op5_top_k": checks.top_k_sql(),
     "op6_substring_dedup": checks.substrings_sql(),
     "op7_warc": checks.warc_sql(),
+    "op11_hard_negatives": checks.hard_negatives_sql(),
     "op12_lexical": checks.lexical_sql(),
 }
