@@ -39,11 +39,6 @@ def overwrite_partitions(df: DataFrame, path: str, partitions: tuple[str, ...] =
     )
 
 
-def replace_partition(df: DataFrame, path: str, name: str, value: str) -> None:
-    """Replace one whole partition, also when there are no rows for it any more."""
-    df.hint("rebalance").write.mode("overwrite").parquet(f"{path}/{name}={value}")
-
-
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
 

@@ -153,7 +153,7 @@ def test_reconcile_job_is_idempotent(spark, tmp_path, call_log):
         ingest.ingest_billing(spark, readers.read_billing_csv(spark, str(folder)), costs, str(tmp_path / "map"))
         reconcile.run(spark, costs, calls, target, date(2024, 2, 1))
     assert readers.read_table(spark, costs, schemas.COST_LINES, schemas.PERIOD_PARTITIONS).count() == 2
-    rows = readers.read_table(spark, target, schemas.RECONCILED_COSTS, schemas.PERIOD_PARTITIONS).collect()
+    rows = reconcile.read(spark, target).collect()
     got = sorted((r["resolved_user_name"], r["attributed_cost"], r["reconciliation_status"]) for r in rows)
     assert got == [("UNMATCHED", 7.0, "unmatched"), ("alice", 70.0, "reconciled"), ("bob", 30.0, "reconciled")]
     assert {(r["billing_period"], r["usage_date"]) for r in rows} == {("2024-01", "2024-01-15")}
@@ -178,7 +178,7 @@ def test_corrected_export_replaces_the_whole_period(spark, tmp_path, call_log):
         (folder / f"{n}.csv").write_text("\n".join([HEADER, *lines]) + "\n")
         ingest.ingest_billing(spark, readers.read_billing_csv(spark, str(folder)), costs)
         reconcile.run(spark, costs, calls, target, date(2024, 2, 1))
-        rows = readers.read_table(spark, target, schemas.RECONCILED_COSTS, schemas.PERIOD_PARTITIONS)
+        rows = reconcile.read(spark, target)
         got.append({r["usage_date"]: r["cost"] for r in rows.groupBy("usage_date").agg(F.sum("attributed_cost").alias("cost")).collect()})
     assert got == [{"2024-01-15": 9.0, "2024-01-16": 9.0, "2024-01-17": 9.0}, {"2024-01-15": 5.0}, {}]
     newest = readers.read_table(spark, costs, schemas.COST_LINES, schemas.PERIOD_PARTITIONS).where("billing_period = '2024-01'")
