@@ -124,6 +124,20 @@ def rejected_documents(documents: DataFrame, processor: str, failed_at: str) ->
     return _select(documents.where(F.col("Records").isNull()), columns)
 
 
+def late_events(events: DataFrame, processor: str, failed_at: str, error: str) -> DataFrame:
+    """Dead-letter rows of audit events that came too late, each with its own text."""
+    columns = {
+        "requestId": F.coalesce("event.requestId", "event.eventId", F.lit("unknown")),
+        "timestamp": F.coalesce("event.eventTime", F.lit(failed_at)),
+        "processorName": F.lit(processor),
+        "error": F.lit(error),
+        "failedAt": F.lit(failed_at),
+        "originalContent": F.to_json("event"),
+        "sourceFile": F.col("source_file"),
+    }
+    return _select(events, columns)
+
+
 def audit_rows(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """`cloudtrail_events` rows; the session issuer stands in for a missing principal ARN."""
     event = F.col("event")

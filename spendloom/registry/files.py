@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spendloom import schemas
 from spendloom.operators import attribution, filters, records
+from spendloom.plans import ingest
 from spendloom.registry import tables as t
 from spendloom.registry.columns import directory
 from spendloom.registry.core import query, r4, r4_sql, rounded
@@ -288,12 +289,18 @@ def incremental_files(spark, sf):
 
 @query(
     "st1_stream_ingest",
-    """SELECT modelid, inferencetier, cachetype, count(*) AS n FROM calls WHERE k % 11 != 0 GROUP BY ALL""",
+    """SELECT strftime(happened, '%Y') AS year, strftime(happened, '%m') AS month, strftime(happened, '%H') AS hour,
+      inferencetier, count(DISTINCT requestid || happened) AS n FROM calls WHERE k % 11 != 0 GROUP BY ALL""",
 )
 def stream_ingest(spark, sf):
-    parsed = records.parse_call_lines(jobs.call_line_stream(spark, written_call_log(spark, sf)))
-    rows = _run(spark, records.call_rows(parsed), "stream-ingest")
-    return rows.groupBy("modelid", "inferencetier", "cachetype").agg(F.count("*").alias("n"))
+    """Arriving call logs to hour partitions, each call once though the log arrives twice."""
+    base = shared_dir(spark, "stream-ingest")
+    write = jobs.ingest_batch(f"{base}/calls", f"{base}/letters", _FAILED_AT)
+    source = written_call_log(spark, sf)
+    for state in ("first", "second"):
+        jobs.run_batches(jobs.call_line_stream(spark, source), write, f"{base}/{state}")
+    rows = readers.read_table(spark, f"{base}/calls", schemas.CALLS, schemas.HOUR_PARTITIONS)
+    return rows.groupBy("year", "month", "hour", "inferencetier").agg(F.count("*").alias("n"))
 
 
 def event_stream(spark, sf):
@@ -355,7 +362,7 @@ def stream_correlation(spark, sf):
 
 @query(
     "st6_stream_dead_letters",
-    """SELECT 'calls' AS part, count(*) AS n FROM calls WHERE k % 11 != 0
+    """SELECT 'calls' AS part, count(DISTINCT requestid || happened) AS n FROM calls WHERE k % 11 != 0
       UNION ALL SELECT 'dead letters', count(*) FROM calls WHERE k % 11 = 0""",
 )
 def stream_dead_letters(spark, sf):
@@ -368,3 +375,26 @@ def stream_dead_letters(spark, sf):
     return calls.agg(count).select(F.lit("calls").alias("part"), "n").unionByName(
         letters.agg(count).select(F.lit("dead letters").alias("part"), "n")
     )
+
+
+@query(
+    "st6_stream_late_rows",
+    """WITH usable AS (SELECT requestid, happened, k % 13 = 0 AS second FROM calls WHERE k % 11 != 0),
+        mark AS (SELECT max(happened) - INTERVAL 400 DAY AS at FROM usable WHERE NOT second)
+      SELECT 'calls' AS part, count(DISTINCT requestid || happened) AS n FROM usable, mark WHERE NOT second OR happened > at
+      UNION ALL SELECT 'behind the watermark', count(*) FROM usable, mark WHERE second AND happened <= at
+      UNION ALL SELECT 'unusable', count(*) FROM calls WHERE k % 11 = 0""",
+)
+def stream_late_rows(spark, sf):
+    """Two starts of one stream; every 13th order arrives with the second, much of it behind the watermark by then."""
+    base = shared_dir(spark, "stream-late")
+    lines = t.call_lines(spark, sf)
+    write = jobs.ingest_batch(f"{base}/calls", f"{base}/letters", _FAILED_AT, "400 days", f"{base}/state")
+    for start, arriving in enumerate((lines.where("k % 13 != 0"), lines.where("k % 13 = 0"))):
+        arriving.select("value").write.option("compression", "gzip").text(f"{base}/source/{start}")
+        jobs.run_batches(jobs.call_line_stream(spark, f"{base}/source"), write, f"{base}/checkpoint")
+    calls = spark.read.schema(schemas.CALLS).parquet(f"{base}/calls")
+    letters = spark.read.schema("error string").json(f"{base}/letters")
+    part = F.when(F.col("error") == ingest.LATE, F.col("error")).otherwise("unusable").alias("part")
+    counts = letters.groupBy(part).agg(F.count("*").alias("n"))
+    return calls.agg(F.count("*").alias("n")).select(F.lit("calls").alias("part"), "n").unionByName(counts)
