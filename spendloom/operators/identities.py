@@ -21,6 +21,7 @@ def resolve_principals(
     cache: DataFrame | None = None,
     directory: DataFrame | None = None,
     mode: str = "iam",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Resolve distinct (`principalarn`, `sessionname`) rows; adds one `identity` struct.
 
@@ -30,7 +31,8 @@ def resolve_principals(
     an unresolved placeholder.
 
     `cache` has one row per principal (`identity_mappings` columns), `directory` one per user.
-    Both may be large, so no join is hinted.
+    Both may be large, so no join is hinted.  `keep` names columns that stay beside the identity; rows may also be
+    those of a stream.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -55,7 +57,7 @@ def resolve_principals(
                 iam_user_name=parts["iam_user_name"], iam_role_name=parts["iam_role_name"], source="iam"
             )
         )
-    return rows.select("principalarn", "sessionname", F.coalesce(*choices).alias("identity"))
+    return rows.select("principalarn", "sessionname", *keep, F.coalesce(*choices).alias("identity"))
 
 
 def first_identity_per_key(resolved: DataFrame, key: str = "accesskeyid", order: tuple[str, ...] = ("timestamp",)):
@@ -78,6 +80,14 @@ def resolve_requests(
     access key first resolved to, from that request on; earlier unresolved ones keep their own
     result.  A guardrail request served from the session is marked `cache`.
     """
+    own = own_identities(requests, cache, directory, mode)
+    return in_sessions(own, first_identity_per_key(own, "accesskeyid", order), order)
+
+
+def own_identities(
+    requests: DataFrame, cache: DataFrame | None = None, directory: DataFrame | None = None, mode: str = "iam"
+) -> DataFrame:
+    """Each request with the identity its own principal resolves to."""
     if "sessionname" not in requests.columns:
         requests = requests.withColumn("sessionname", F.lit(None).cast("string"))
     who = ["principalarn", "sessionname"]
@@ -86,8 +96,11 @@ def resolve_requests(
     principals = keyed.select("principalarn", blank_to_null(F.col("sessionname")).alias("sessionname")).distinct()
     identities = resolve_principals(principals, cache, directory, mode)
     identities = identities.withColumn("sessionname", F.coalesce("sessionname", F.lit("")))
-    own = hashed_join(keyed, identities, who, "left")
-    sessions = first_identity_per_key(own, "accesskeyid", order)
+    return hashed_join(keyed, identities, who, "left")
+
+
+def in_sessions(own: DataFrame, sessions: DataFrame, order: tuple[str, ...] = ("timestamp", "requestid")) -> DataFrame:
+    """Requests with the identity of their session; `sessions` has `accesskeyid`, `since`, `session_identity`."""
     joined = hashed_join(own, sessions, ["accesskeyid"], "left")
     in_session = F.col("since").isNotNull() & (F.struct(*order) >= F.col("since"))
     is_first = in_session & (F.struct(*order) == F.col("since"))

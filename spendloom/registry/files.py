@@ -11,13 +11,15 @@ from spendloom.operators import attribution, filters, records
 from spendloom.plans import ingest
 from spendloom.registry import tables as t
 from spendloom.registry.columns import directory
-from spendloom.registry.core import query, r4, r4_sql, rounded
-from spendloom.registry.joins import newest_costs
+from spendloom.registry.core import CHECKS, query, r4, r4_sql, rounded
+from spendloom.registry.joins import newest_costs, session_requests
 from spendloom.session import shared_dir
 from spendloom.sources import readers, writers
-from spendloom.streaming import jobs
+from spendloom.streaming import jobs, sessions
 
 _FAILED_AT = "2024-01-01T00:00:00Z"
+#: The given calls lie days apart, so hour partitions would hold a row each.
+_MONTHS = ("year", "month")
 
 
 # --- sources ----------------------------------------------------------------------------------
@@ -293,14 +295,15 @@ def incremental_files(spark, sf):
       inferencetier, count(DISTINCT requestid || happened) AS n FROM calls WHERE k % 11 != 0 GROUP BY ALL""",
 )
 def stream_ingest(spark, sf):
-    """Arriving call logs to hour partitions, each call once though the log arrives twice."""
+    """Arriving call logs to a partitioned table, each call once though the log arrives twice."""
     base = shared_dir(spark, "stream-ingest")
-    write = jobs.ingest_batch(f"{base}/calls", f"{base}/letters", _FAILED_AT)
+    write = jobs.ingest_batch(f"{base}/calls", f"{base}/letters", _FAILED_AT, partitions=_MONTHS)
     source = written_call_log(spark, sf)
     for state in ("first", "second"):
         jobs.run_batches(jobs.call_line_stream(spark, source), write, f"{base}/{state}")
-    rows = readers.read_table(spark, f"{base}/calls", schemas.CALLS, schemas.HOUR_PARTITIONS)
-    return rows.groupBy("year", "month", "hour", "inferencetier").agg(F.count("*").alias("n"))
+    rows = readers.read_table(spark, f"{base}/calls", schemas.CALLS, _MONTHS)
+    hour = F.substring("timestamp", 12, 2).alias("hour")
+    return rows.groupBy("year", "month", hour, "inferencetier").agg(F.count("*").alias("n"))
 
 
 def event_stream(spark, sf):
@@ -323,22 +326,21 @@ def stream_dedup(spark, sf):
 
 @query(
     "st3_stream_metrics",
-    f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS modelid,
+    f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%dT%H:%M:%S.000Z') AS timestamp, event_type AS modelid,
       count(*) AS invocationcount, {r4_sql('avg(value)')} AS invocationlatencyavg,
-      {r4_sql('quantile_cont(value, 0.99)')} AS invocationlatencyp99,
+      {r4_sql('quantile_disc(value, 0.99)')} AS invocationlatencyp99,
       count(*) FILTER (event_type = 'signup') AS throttledcount, count(*) FILTER (event_type = 'error') AS errorcount
-      FROM events WHERE time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE
-        <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE
-      GROUP BY time_bucket(INTERVAL 5 MINUTE, ts), event_type""",
+      FROM events GROUP BY time_bucket(INTERVAL 5 MINUTE, ts), event_type""",
 )
 def stream_metrics(spark, sf):
-    """Windows the watermark has closed; later ones stay in state until more data comes."""
+    """All windows, those the watermark has not closed yet too."""
     kind = F.col("event_type")
     stream = jobs.window_metrics(
         event_stream(spark, sf), "event_time", "event_type", F.col("value"), kind == "signup", kind == "error"
     )
-    rows = _run(spark, stream, "stream-metrics")
-    rows = rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+    path = shared_dir(spark, "stream-metrics")
+    jobs.run_batches(stream, jobs.metrics_batch(path), f"{path}-checkpoint", mode="update")
+    rows = jobs.read_window_metrics(spark, path).drop(*schemas.DAY_PARTITIONS)
     return rounded(rows, "invocationlatencyavg", "invocationlatencyp99")
 
 
@@ -360,6 +362,22 @@ def stream_correlation(spark, sf):
     return _run(spark, pairs.select("call_id", "audit_id"), "stream-pairs")
 
 
+@query("st5_stream_sessions", CHECKS["st5_session_identity"])
+def stream_sessions(spark, sf):
+    """Session identities found by a stream that gets the requests in four batches, not in the order of time."""
+    base = shared_dir(spark, "stream-sessions")
+    rows = session_requests(spark, sf)
+    rows.repartition(4, "requestid").write.parquet(f"{base}/requests")
+    stored = spark.read.schema(rows.schema).parquet(f"{base}/requests")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/requests")
+    users = directory(spark, sf).drop("c_custkey")
+    found = sessions.first_identities(stream, directory=users, mode="sso", memory="3650 days")
+    jobs.run_batches(found, sessions.sessions_batch(f"{base}/sessions"), f"{base}/checkpoint", mode="update")
+    resolved = sessions.resolve_with_sessions(stored, sessions.read_sessions(spark, f"{base}/sessions"), directory=users, mode="sso")
+    who = F.coalesce("identity.user_id", F.lit("")).alias("user_id")
+    return resolved.groupBy(who, F.col("identity.source").alias("source")).agg(F.count("*").alias("n"))
+
+
 @query(
     "st6_stream_dead_letters",
     """SELECT 'calls' AS part, count(DISTINCT requestid || happened) AS n FROM calls WHERE k % 11 != 0
@@ -367,7 +385,7 @@ def stream_correlation(spark, sf):
 )
 def stream_dead_letters(spark, sf):
     base = shared_dir(spark, "stream-batches")
-    write = jobs.ingest_batch(f"{base}/calls", f"{base}/letters", _FAILED_AT)
+    write = jobs.ingest_batch(f"{base}/calls", f"{base}/letters", _FAILED_AT, partitions=_MONTHS)
     jobs.run_batches(jobs.call_line_stream(spark, written_call_log(spark, sf)), write, f"{base}/checkpoint")
     calls = spark.read.schema(schemas.CALLS).parquet(f"{base}/calls")
     letters = spark.read.schema("error string").json(f"{base}/letters")
@@ -380,16 +398,16 @@ def stream_dead_letters(spark, sf):
 @query(
     "st6_stream_late_rows",
     """WITH usable AS (SELECT requestid, happened, k % 13 = 0 AS second FROM calls WHERE k % 11 != 0),
-        mark AS (SELECT max(happened) - INTERVAL 400 DAY AS at FROM usable WHERE NOT second)
-      SELECT 'calls' AS part, count(DISTINCT requestid || happened) AS n FROM usable, mark WHERE NOT second OR happened > at
-      UNION ALL SELECT 'behind the watermark', count(*) FROM usable, mark WHERE second AND happened <= at
+        mark AS (SELECT max(happened) - INTERVAL 400 DAY AS passed FROM usable WHERE NOT second)
+      SELECT 'calls' AS part, count(DISTINCT requestid || happened) AS n FROM usable, mark WHERE NOT second OR happened > passed
+      UNION ALL SELECT 'behind the watermark', count(*) FROM usable, mark WHERE second AND happened <= passed
       UNION ALL SELECT 'unusable', count(*) FROM calls WHERE k % 11 = 0""",
 )
 def stream_late_rows(spark, sf):
     """Two starts of one stream; every 13th order arrives with the second, much of it behind the watermark by then."""
     base = shared_dir(spark, "stream-late")
     lines = t.call_lines(spark, sf)
-    write = jobs.ingest_batch(f"{base}/calls", f"{base}/letters", _FAILED_AT, "400 days", f"{base}/state")
+    write = jobs.ingest_batch(f"{base}/calls", f"{base}/letters", _FAILED_AT, "400 days", f"{base}/state", _MONTHS)
     for start, arriving in enumerate((lines.where("k % 13 != 0"), lines.where("k % 13 = 0"))):
         arriving.select("value").write.option("compression", "gzip").text(f"{base}/source/{start}")
         jobs.run_batches(jobs.call_line_stream(spark, f"{base}/source"), write, f"{base}/checkpoint")

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # '01' must stay text in year/month/day/hour partition values.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
+    # state of streams on local disks and in checkpoints, not on the heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
