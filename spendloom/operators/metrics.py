@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendloom.fixed_values import METRIC_WINDOW
+from spendloom.operators.percentiles import exact_percentile
+from spendloom.session import checkpointed
 
 
 def call_metrics(
@@ -19,10 +21,9 @@ def call_metrics(
 ) -> DataFrame:
     """`metrics` rows: calls, average and p99 latency, throttles, errors per window and model.
 
-    Calls are first counted per distinct latency, hashed over the cluster, so a window and
-    model with a third of all calls is already folded when its percentile is taken: what one
-    task holds grows with the distinct latencies (whole milliseconds), not with the calls.
-    `exact=False` uses a sketch of fixed size for latencies of any precision.
+    Calls are first counted per distinct latency, hashed over the cluster; the percentile is taken from these
+    counts by `percentiles.exact_percentile`, so no task holds the latencies of a window, however many there are.
+    `exact=False` uses a sketch of fixed size.
     """
     region = F.lit("unknown") if region is None else region
     key = [
@@ -37,15 +38,17 @@ def call_metrics(
     ]
     names = ["window_start", "region", "modelid"]
     if exact:
-        folded = events.groupBy(*key, latency.alias("latency")).agg(*counts)
+        folded = checkpointed(events.groupBy(*key, latency.alias("latency")).agg(*counts))
         timed = F.when(F.col("latency").isNotNull(), F.col("n"))
-        rows = folded.groupBy(*names).agg(
+        sums = folded.groupBy(*names).agg(
             F.sum("n").alias("invocationcount"),
             F.try_divide(F.sum(F.col("latency") * F.col("n")), F.sum(timed)).alias("invocationlatencyavg"),
-            F.percentile("latency", 0.99, F.col("n")).alias("invocationlatencyp99"),
             F.sum("throttled").alias("throttledcount"),
             F.sum("errors").alias("errorcount"),
         )
+        p99 = exact_percentile(folded, names, "latency", 0.99, name="invocationlatencyp99")
+        named = p99.withColumnsRenamed({c: f"_{c}" for c in names})
+        rows = sums.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names], "left")
     else:
         n, throttled, errors = counts
         rows = events.groupBy(*key).agg(

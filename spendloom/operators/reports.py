@@ -5,11 +5,13 @@ small table.  Filter the input with `operators.filters` for date ranges and mode
 in here run over already folded rows: models or days, which a catalog and a calendar bound.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendloom.fixed_values import HIGH_COST_LIMIT
 from spendloom.functions.common import ratio_or_zero
+from spendloom.operators.percentiles import exact_percentile
+from spendloom.session import checkpointed
 
 MODEL = "friendlymodelname"
 USER = "resolvedusername"
@@ -17,6 +19,8 @@ TOTAL = "(total)"
 OTHER = "other"
 
 
+DAYS_OF_MONTH = [f"{day:02d}" for day in range(1, 32)]
+
 def executive_kpis(facts: DataFrame) -> DataFrame:
     """Calls, total cost, distinct users."""
     return facts.agg(
@@ -41,12 +45,9 @@ def error_rate(metrics: DataFrame, *keys: str) -> DataFrame:
 
 
 def true_p99(calls: DataFrame, *keys: str) -> DataFrame:
-    """p99 over calls rather than an average of window p99s.
-
-    Calls fold to one row per distinct latency first, see `metrics.call_metrics`.
-    """
-    folded = calls.groupBy(*keys, "latencyms").agg(F.count("*").alias("n"))
-    return folded.groupBy(*keys).agg(F.percentile("latencyms", 0.99, F.col("n")).alias("p99_latency"))
+    """p99 over calls rather than an average of window p99s, exact for groups of any size."""
+    folded = checkpointed(calls.groupBy(*keys, "latencyms").agg(F.count("*").alias("n")))
+    return exact_percentile(folded, list(keys), "latencyms", 0.99, name="p99_latency")
 
 
 def daily_trend(facts: DataFrame) -> DataFrame:
@@ -58,11 +59,12 @@ def daily_trend(facts: DataFrame) -> DataFrame:
 def model_mix(facts: DataFrame) -> DataFrame:
     """Calls and cost per model, each with its share of the whole."""
     rows = facts.groupBy(MODEL).agg(F.sum("calls").alias("calls"), F.sum("totalcost").alias("total_cost"))
-    whole = Window.partitionBy()
+    # the whole as two numbers, so that no task sees all models
+    whole = rows.agg(F.struct(F.sum("calls").alias("calls"), F.sum("total_cost").alias("cost")).alias("whole")).scalar()
     return rows.withColumns(
         {
-            "calls_share": ratio_or_zero(F.col("calls"), F.sum("calls").over(whole)),
-            "cost_share": ratio_or_zero(F.col("total_cost"), F.sum("total_cost").over(whole)),
+            "calls_share": ratio_or_zero(F.col("calls"), whole["calls"]),
+            "cost_share": ratio_or_zero(F.col("total_cost"), whole["cost"]),
         }
     )
 
@@ -78,9 +80,13 @@ def cost_heat_map(facts: DataFrame) -> DataFrame:
     return facts.groupBy(MODEL, "day").agg(F.sum("totalcost").alias("total_cost"))
 
 
-def cost_heat_map_wide(facts: DataFrame, days: list[str]) -> DataFrame:
-    """The heat map with one column per given day."""
-    return facts.groupBy(MODEL).pivot("day", days).agg(F.sum("totalcost"))
+def cost_heat_map_wide(facts: DataFrame) -> DataFrame:
+    """The heat map with one column per day of the month, `01` to `31`, and one row per model and month.
+
+    The columns are fixed and hold every day of the facts, so a row adds up to the model's cost of its month.
+    """
+    dated = facts.withColumns({"month": F.date_format("day", "yyyy-MM"), "_day": F.date_format("day", "dd")})
+    return dated.groupBy(MODEL, "month").pivot("_day", DAYS_OF_MONTH).agg(F.sum("totalcost"))
 
 
 def daily_tokens(facts: DataFrame) -> DataFrame:

@@ -106,15 +106,18 @@ def cost_heat_map(spark, sf):
     return rounded(reports.cost_heat_map(facts(spark, sf)), "total_cost")
 
 
-_MONTH = [f"1998-03-{day:02d}" for day in range(1, 32)]
-_MONTH_SQL = ", ".join(f"""{r4_sql(f"sum(totalcost) FILTER (usage_date = '{day}')")} AS "{day}\"""" for day in _MONTH)
+_DAYS_SQL = ", ".join(
+    f"""{r4_sql(f"sum(totalcost) FILTER (usage_date[9:] = '{day}')")} AS "{day}\"""" for day in reports.DAYS_OF_MONTH
+)
 
 
-@query("a12_cost_heat_map_wide", f"SELECT friendlymodelname, {_MONTH_SQL} FROM priced GROUP BY 1")
+@query(
+    "a12_cost_heat_map_wide",
+    f"SELECT friendlymodelname, usage_date[:7] AS month, {_DAYS_SQL} FROM priced GROUP BY 1, 2",
+)
 def cost_heat_map_wide(spark, sf):
-    """One month, a column per day."""
-    dated = facts(spark, sf).withColumn("day", F.col("day").cast("string"))
-    return rounded(reports.cost_heat_map_wide(dated, _MONTH), *_MONTH)
+    """All months, a column per day."""
+    return rounded(reports.cost_heat_map_wide(facts(spark, sf)), *reports.DAYS_OF_MONTH)
 
 
 @query(

@@ -44,6 +44,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
     Only a local session may run without that setting; it gets a folder of its own.
     """
+    return f"{_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, read from the shared folder from now on; Spark removes the files with the frame
+    (`spark.cleaner.referenceTracking.cleanCheckpoints`)."""
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         base = context.getConf().get("spark.checkpoint.dir")
@@ -52,7 +63,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             base = tempfile.mkdtemp(prefix="spendloom-")
         context.setCheckpointDir(base)
-    return f"{context.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return context.getCheckpointDir().rstrip("/")
 
 
 @contextmanager
