@@ -8,6 +8,7 @@ from spendloom.functions import billing, common, identity
 from spendloom.functions import calls as call_columns
 from spendloom.operators import filters, records
 from spendloom.operators.attribution import cost_buckets, usage_by_user
+from spendloom.operators.snapshot import latest_snapshot
 from spendloom.registry import tables as t
 from spendloom.registry.core import query, r4, r4_sql, rounded
 from spendloom.registry.views import MODELS
@@ -190,14 +191,14 @@ def audit_record(spark, sf):
       FROM bill0 GROUP BY 1, 2, 3, 4""",
 )
 def usage_type(spark, sf):
-    rows = t.billing_export(spark, sf).where("delivery = '2'")
+    rows = latest_snapshot(t.billing_export(spark, sf))
     parts = billing.usage_type_parts(F.col("usage_type"))
     return rows.withColumns(parts).groupBy(*parts).agg(F.count("*").alias("n"))
 
 
 @query("p14_region_of_code", "SELECT region_code, region, count(*) AS n FROM lines GROUP BY ALL")
 def region_of_code(spark, sf):
-    costs = t.cost_lines(spark, sf).where(F.col("cur_file_key").contains("run-2"))
+    costs = latest_snapshot(t.cost_lines(spark, sf))
     return costs.groupBy("region_code", "region").agg(F.count("*").alias("n"))
 
 
@@ -207,7 +208,7 @@ def region_of_code(spark, sf):
       count(*) AS n FROM lines GROUP BY ALL""",
 )
 def model_of_name(spark, sf):
-    costs = t.cost_lines(spark, sf).where(F.col("cur_file_key").contains("run-2"))
+    costs = latest_snapshot(t.cost_lines(spark, sf))
     return costs.groupBy("model_billing_name", "resolved_model_id").agg(F.count("*").alias("n"))
 
 
@@ -216,7 +217,7 @@ def model_of_name(spark, sf):
     "SELECT unit_price, count(*) AS n FROM bill0 GROUP BY 1",
 )
 def unit_price(spark, sf):
-    rows = t.billing_export(spark, sf).where("delivery = '2'")
+    rows = latest_snapshot(t.billing_export(spark, sf))
     price = billing.unit_price(F.col("item_description")).alias("unit_price")
     return rows.groupBy(price).agg(F.count("*").alias("n"))
 
@@ -244,7 +245,7 @@ def cost_record(spark, sf):
 )
 def table_columns(spark, sf):
     """Table names of the billing columns: usage_quantity is usage_amount, the file is cur_file_key."""
-    costs = t.cost_lines(spark, sf).where(F.col("cur_file_key").contains("run-2"))
+    costs = latest_snapshot(t.cost_lines(spark, sf))
     sums = costs.groupBy("usage_date").agg(
         F.sum("usage_amount").alias("usage_amount"), F.sum("unblended_cost").alias("unblended_cost")
     )
@@ -406,7 +407,7 @@ def round_ten(spark, sf):
 
 @query("p30_measure_of_line", "SELECT pricing_unit, token_type, measure, count(*) AS n FROM buckets GROUP BY ALL")
 def measure_of_line(spark, sf):
-    costs = t.cost_lines(spark, sf).where(F.col("cur_file_key").contains("run-2"))
+    costs = latest_snapshot(t.cost_lines(spark, sf))
     measure = billing.measure_for(F.col("pricing_unit"), F.col("token_type")).alias("measure")
     return cost_buckets(costs).groupBy("pricing_unit", "token_type", measure).agg(F.count("*").alias("n"))
 
@@ -433,7 +434,7 @@ def decode_key(spark, sf):
 
 @query("f1_product_lines", "SELECT billing_period, count(*) AS n FROM bill0 WHERE k % 20 != 0 GROUP BY 1")
 def product_lines(spark, sf):
-    rows = filters.of_product(t.billing_export(spark, sf).where("delivery = '2'"))
+    rows = filters.of_product(latest_snapshot(t.billing_export(spark, sf)))
     return rows.groupBy("billing_period").agg(F.count("*").alias("n"))
 
 
@@ -449,7 +450,7 @@ def model_call_events(spark, sf):
 
 @query("f3_readable_usage_types", "SELECT usage_date, count(*) AS n FROM lines GROUP BY 1")
 def readable_usage_types(spark, sf):
-    costs = t.cost_lines(spark, sf).where(F.col("cur_file_key").contains("run-2"))
+    costs = latest_snapshot(t.cost_lines(spark, sf))
     return costs.groupBy("usage_date").agg(F.count("*").alias("n"))
 
 
@@ -479,7 +480,7 @@ def days_with_cost(spark, sf):
       WHERE billing_period IN ('1999-12', '2000-01') GROUP BY 1""",
 )
 def open_months(spark, sf):
-    costs = t.cost_lines(spark, sf).where(F.col("cur_file_key").contains("run-2"))
+    costs = latest_snapshot(t.cost_lines(spark, sf))
     rows = filters.in_billing_months(costs, date(2000, 1, 20))
     return rows.groupBy("billing_period").agg(r4(F.sum("unblended_cost")).alias("cost"))
 
@@ -489,7 +490,7 @@ def open_months(spark, sf):
     f"""SELECT cost < 0 AS is_credit, count(*) AS n, {r4_sql('sum(cost)')} AS cost FROM buckets GROUP BY 1""",
 )
 def nonzero_buckets(spark, sf):
-    costs = t.cost_lines(spark, sf).where(F.col("cur_file_key").contains("run-2"))
+    costs = latest_snapshot(t.cost_lines(spark, sf))
     credit = (F.col("bucket_unblended_cost") < 0).alias("is_credit")
     return cost_buckets(costs).groupBy(credit).agg(
         F.count("*").alias("n"), r4(F.sum("bucket_unblended_cost")).alias("cost")

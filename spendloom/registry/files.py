@@ -7,14 +7,16 @@ grow with the given tables.
 from pyspark.sql import functions as F
 
 from spendloom import schemas
+from spendloom.fixed_values import BILLING_HEADERS
 from spendloom.operators import attribution, filters, records
+from spendloom.operators.snapshot import delivery_of, latest_snapshot
 from spendloom.plans import ingest
 from spendloom.registry import tables as t
 from spendloom.registry.columns import directory
 from spendloom.registry.core import CHECKS, query, r4, r4_sql, rounded
 from spendloom.registry.joins import newest_costs, session_requests
 from spendloom.session import shared_dir
-from spendloom.sources import readers, writers
+from spendloom.sources import files, ledger, readers, versions, writers
 from spendloom.streaming import jobs, sessions
 
 _FAILED_AT = "2024-01-01T00:00:00Z"
@@ -50,6 +52,15 @@ def json_lines(spark, sf):
 )
 def audit_documents(spark, sf):
     """Documents of up to a hundred orders, each event twice, as files; every 13th order stands for one without records."""
+    found = records.explode_audit(readers.read_audit_files(spark, written_audit(spark, sf)))
+    rows = records.audit_rows(filters.model_call_events(found, "event.eventName"))
+    key = F.regexp_extract("eventid", r"(\d+)", 1).cast("bigint")
+    return rows.groupBy((key % 6).alias("kind")).agg(
+        F.count("*").alias("n"), F.countDistinct("eventid").alias("documents")
+    )
+
+
+def written_audit(spark, sf):
     event = F.col("event")
     part = F.floor(F.col("k") / 100).cast("string")
     events = t.audit_events(spark, sf)
@@ -58,27 +69,32 @@ def audit_documents(spark, sf):
     empty = events.where("k % 13 = 0").select(F.lit('{"Digest": []}').alias("value"), F.concat(F.lit("empty"), part).alias("part"))
     path = shared_dir(spark, "audit")
     texts.unionByName(empty.distinct()).repartition("part").write.partitionBy("part").text(path)
-    found = records.explode_audit(readers.read_audit_files(spark, path))
-    rows = records.audit_rows(filters.model_call_events(found, "event.eventName"))
-    key = F.regexp_extract("eventid", r"(\d+)", 1).cast("bigint")
-    return rows.groupBy((key % 6).alias("kind")).agg(
-        F.count("*").alias("n"), F.countDistinct("eventid").alias("documents")
-    )
+    return path
 
 
 def written_export(spark, sf, kind):
-    """The newest delivery of the billing export as files."""
+    """Both deliveries of the billing export as files; as text, the second one has other headers in another order."""
     path = shared_dir(spark, f"export-{kind}")
-    rows = t.billing_export(spark, sf).where("delivery = '2'").drop("delivery", "_month", "cur_file_key")
     quoted = F.concat("item_description", F.lit(', "list price"'))
-    writer = rows.withColumn("item_description", quoted).write
-    if kind == "csv":
-        writer.option("header", True).option("escape", '"').option("compression", "gzip").csv(path)
-    else:
-        writer.parquet(path)
+    rows = t.billing_export(spark, sf).withColumn("item_description", quoted).drop("_month", "cur_file_key")
+    for delivery in ("1", "2"):
+        part = rows.where(F.col("delivery") == delivery).drop("delivery")
+        if kind == "parquet":
+            part.write.parquet(f"{path}/run-{delivery}")
+            continue
+        if delivery == "2":
+            other = {names[0]: names[-1] for names in BILLING_HEADERS.values()} | {"usage_start_date": "lineItem/UsageStartDate"}
+            other["usage_account_id"] = other.pop("linked_account_id", "lineItem/UsageAccountId")
+            part = part.select(*[F.col(c).alias(other.get(c, c)) for c in reversed(part.columns)])
+        part.write.option("header", True).option("escape", '"').option("compression", "gzip").csv(f"{path}/run-{delivery}")
     return path
 
 
+def newest_delivery(costs):
+    """Part files of one delivery lie in one folder."""
+    return latest_snapshot(costs, snapshot=delivery_of(F.col("cur_file_key")))
+
+
 _EXPORT_CHECK = f"""SELECT usage_date, count(*) AS n, {r4_sql('sum(unblended_cost)')} AS cost,
   count(unit_price) AS priced FROM lines GROUP BY 1"""
 
@@ -91,18 +107,18 @@ def _by_day(costs):
 
 @query("s3_csv_export", _EXPORT_CHECK)
 def csv_export(spark, sf):
-    """Gzip CSV with quoted commas and doubled quotes."""
-    return _by_day(records.cost_rows(readers.read_billing_csv(spark, written_export(spark, sf, "csv"))))
+    """Gzip CSV with quoted commas and doubled quotes, two deliveries of different layouts in one load."""
+    return _by_day(newest_delivery(records.cost_rows(readers.read_billing_csv(spark, written_export(spark, sf, "csv")))))
 
 
 @query(
     "s4_export_files",
-    """SELECT true AS only_exports, count(*) AS n FROM bill0""",
+    """SELECT true AS only_exports, count(*) + count(*) FILTER (day(ordered) <= 15) AS n FROM bill0""",
 )
 def export_files(spark, sf):
     """Only `.csv` and `.csv.gz` files of a folder are read; a manifest beside them is not."""
     path = written_export(spark, sf, "csv")
-    t.billing_export(spark, sf).select("usage_type").write.mode("append").text(path)
+    t.billing_export(spark, sf).select("usage_type").write.mode("append").text(f"{path}/run-1")
     rows = readers.read_billing_csv(spark, path)
     return rows.groupBy(F.col("cur_file_key").endswith(".csv.gz").alias("only_exports")).agg(F.count("*").alias("n"))
 
@@ -120,7 +136,7 @@ def partitioned_scan(spark, sf):
 
 @query("s8_parquet_export", _EXPORT_CHECK)
 def parquet_export(spark, sf):
-    return _by_day(records.cost_rows(readers.read_billing_parquet(spark, written_export(spark, sf, "parquet"))))
+    return _by_day(newest_delivery(records.cost_rows(readers.read_billing_parquet(spark, written_export(spark, sf, "parquet")))))
 
 
 @query(
@@ -226,6 +242,53 @@ def replace_days(spark, sf):
     return stored.groupBy("usage_date").agg(F.count("*").alias("n"), r4(F.sum("attributed_cost")).alias("cost"))
 
 
+@query(
+    "k6_replace_periods",
+    f"""SELECT billing_period, count(*) AS n, {r4_sql('sum(unblended_cost)')} AS cost FROM lines
+      WHERE unit_price IS NOT NULL AND billing_period < '1998' GROUP BY 1""",
+)
+def replace_periods(spark, sf):
+    """Cost lines by billing period; a corrected load without unpriced lines, and without the last months, replaces all at once."""
+    path = shared_dir(spark, "periods")
+    costs = newest_costs(spark, sf)
+    versions.replace(costs, path, schemas.PERIOD_PARTITIONS)
+    corrected = costs.where("unit_price IS NOT NULL AND billing_period < '1998'")
+    versions.replace(corrected, path, schemas.PERIOD_PARTITIONS, costs.select("billing_period").distinct())
+    versions.vacuum(spark, path, schemas.PERIOD_PARTITIONS)
+    stored = versions.read(spark, path, schemas.COST_LINES, schemas.PERIOD_PARTITIONS)
+    return stored.groupBy("billing_period").agg(F.count("*").alias("n"), r4(F.sum("unblended_cost")).alias("cost"))
+
+
+@query(
+    "j9_seen_keys",
+    """SELECT user_id % 7 AS part, count(DISTINCT user_id || event_type) AS n FROM events GROUP BY 1""",
+)
+def seen_keys(spark, sf):
+    """Events stored once per user and kind: in two loads that overlap, and once more as a whole."""
+    base = shared_dir(spark, "seen")
+    rows = t.timed_events(spark, sf).select("event_id", "user_id", "event_type")
+    for load in (rows.where("event_id % 3 < 2"), rows.where("event_id % 3 > 0"), rows):
+        ledger.store_once(load, f"{base}/ledger", ["user_id", "event_type"], _FAILED_AT, lambda new: writers.write_parquet(new, f"{base}/rows", "append"))
+    stored = spark.read.schema(rows.schema).parquet(f"{base}/rows")
+    return stored.groupBy((F.col("user_id") % 7).alias("part")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "q8_drop_days",
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events
+      WHERE ts::DATE >= (SELECT max(ts)::DATE FROM events) - 12 GROUP BY 1""",
+)
+def drop_days(spark, sf):
+    """Days more than twelve before the last one are dropped as folders."""
+    path = shared_dir(spark, "retention")
+    rows = t.timed_events(spark, sf).select("event_id", F.date_format("event_time", "yyyy-MM-dd").alias("usage_date"))
+    writers.append_partitioned(writers.with_day_partitions(rows), path, schemas.DAY_PARTITIONS)
+    cutoff = rows.agg(F.date_sub(F.max(F.to_date("usage_date")), 12).cast("string")).first()[0]
+    files.drop_days_before(spark, path, cutoff, schemas.DAY_PARTITIONS)
+    stored = readers.read_table(spark, path, "event_id bigint, usage_date string", schemas.DAY_PARTITIONS)
+    return stored.groupBy(F.col("usage_date").alias("day")).agg(F.count("*").alias("n"))
+
+
 def event_buckets_and_usage(spark, sf):
     """Purchases as billed cost, all other events as calls; a day and a model slot make a bucket."""
     events = t.timed_events(spark, sf).withColumn("model_id", t.event_model(F.col("user_id")))
@@ -289,6 +352,31 @@ def incremental_files(spark, sf):
     )
 
 
+@query(
+    "s7_audit_arrival",
+    """SELECT o_orderkey % 6 AS kind, count(*) AS n FROM orders WHERE o_orderkey % 13 != 0 AND o_orderkey % 6 < 4 GROUP BY 1""",
+)
+def audit_arrival(spark, sf):
+    """Audit files that arrive as a stream, each event twice in its file; a second stream over them adds nothing."""
+    base, source = shared_dir(spark, "stream-audit"), written_audit(spark, sf)
+    write = jobs.ingest_audit_batch(f"{base}/events", f"{base}/letters", _FAILED_AT, partitions=_MONTHS)
+    for state in ("first", "second"):
+        jobs.run_batches(jobs.audit_document_stream(spark, source), write, f"{base}/{state}")
+    rows = readers.read_table(spark, f"{base}/events", schemas.AUDIT_EVENTS, _MONTHS)
+    key = F.regexp_extract("eventid", r"(\d+)", 1).cast("bigint")
+    return rows.groupBy((key % 6).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("s7_billing_arrival", _EXPORT_CHECK)
+def billing_arrival(spark, sf):
+    """Exports of two layouts that arrive as a stream, loaded once though they arrive twice."""
+    base, source = shared_dir(spark, "stream-billing"), written_export(spark, sf, "csv")
+    write = jobs.ingest_billing_batch(f"{base}/costs", f"{base}/names")
+    for state in ("first", "second"):
+        jobs.run_batches(jobs.billing_file_stream(spark, source), write, f"{base}/{state}")
+    return _by_day(newest_delivery(readers.read_table(spark, f"{base}/costs", schemas.COST_LINES, schemas.PERIOD_PARTITIONS)))
+
+
 @query(
     "st1_stream_ingest",
     """SELECT strftime(happened, '%Y') AS year, strftime(happened, '%m') AS month, strftime(happened, '%H') AS hour,

@@ -280,6 +280,26 @@ def calls_with_audit_match(spark, sf):
     return rows.select("call_id", "is_correlated")
 
 
+@query(
+    "j6_nearest_audit",
+    """WITH c AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'click'),
+        a AS (SELECT user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'purchase'),
+        b AS (SELECT c.event_id, c.ms, a.ms AS back FROM c ASOF LEFT JOIN a ON c.user_id = a.user_id AND c.ms >= a.ms),
+        f AS (SELECT c.event_id, a.ms AS ahead FROM c ASOF LEFT JOIN a ON c.user_id = a.user_id AND c.ms <= a.ms),
+        g AS (SELECT event_id, CASE WHEN ms - back <= 86400000 THEN ms - back END AS before_ms,
+          CASE WHEN ahead - ms <= 86400000 THEN ahead - ms END AS after_ms FROM b JOIN f USING (event_id))
+      SELECT event_id AS call_id, before_ms, after_ms, least(before_ms, after_ms) AS nearest_ms FROM g""",
+)
+def nearest_audit(spark, sf):
+    """Each call with its nearest audit events before and after, within a day."""
+    clicks, purchases = clicks_and_purchases(spark, sf)
+    rows = correlate.with_nearest_audit(clicks, purchases, window_ms=86_400_000)
+    gap = lambda c: F.abs(F.unix_millis(F.col(c)) - F.unix_millis("call_time"))
+    return rows.select(
+        "call_id", gap("audit_before").alias("before_ms"), gap("audit_after").alias("after_ms"), gap("audit_nearest").alias("nearest_ms")
+    )
+
+
 @query(
     "j6_calls_and_audit_log",
     """SELECT count(*) AS calls, count(*) FILTER (EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = c.k AND c.n = 1

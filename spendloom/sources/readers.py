@@ -1,12 +1,18 @@
 """Inputs: call logs, audit files, billing exports, processed tables, directories."""
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendloom import schemas
+from spendloom.fixed_values import BILLING_HEADERS
 from spendloom.functions.common import decode_key
+from spendloom.sources import files
 
 CORRUPT = "_corrupt"
+BILLING_FILES = "*.{csv,csv.gz}"
 
 
 def read_call_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -44,22 +50,51 @@ def parse_audit_documents(documents: DataFrame, value: str = "value") -> DataFra
 def read_billing_csv(spark: SparkSession, paths: str | list[str], multiline: bool = True) -> DataFrame:
     """Billing exports (`.csv`, `.csv.gz` only), all values text, short rows padded with ''.
 
-    The files of one call share one header; a differing header fails the read instead of
-    shifting columns.  `multiline=False` makes plain files splittable where no quoted value
-    holds a line break.
+    Every file is read by its own header: files are grouped by their first line, each group is read by it, and
+    the groups are united by column name; a column that a file lacks is '' there, as one that a row lacks.
+    `multiline=False` makes plain files splittable where no quoted value holds a line break.
     """
+    parts = [
+        _billing_files(spark, group, multiline, columns) for columns, group in _by_header(spark, billing_files(spark, paths)).items()
+    ]
+    if not parts:
+        return spark.createDataFrame([], "cur_file_key string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).fillna("")
+
+
+def billing_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The export files of folders or single files; folders are listed by Spark, nothing is opened."""
+    return sorted(r["path"] for path in _as_list(paths) for r in files.listing(spark, path, BILLING_FILES).collect())
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their columns.  One line of each file is read; a file without any is left out."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        line = files.first_line(spark, path).lstrip("\ufeff").strip()
+        if line:
+            groups.setdefault(tuple(next(csv.reader([line]))), []).append(path)
+    return groups
+
+
+def _billing_files(spark: SparkSession, paths: list[str], multiline: bool, columns: tuple[str, ...]) -> DataFrame:
+    # of repeated column names the first one keeps its name
+    names = [c if c not in columns[:i] else f"{c}.{i}" for i, c in enumerate(columns)]
     rows = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("enforceSchema", False)
+        spark.read.schema(", ".join(f"`{c.replace('`', '``')}` string" for c in names))
+        .option("header", True)
+        .option("enforceSchema", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
-        .option("pathGlobFilter", "*.{csv,csv.gz}")
-        .option("recursiveFileLookup", True)
         .csv(paths)
     )
-    return with_file_key(rows).fillna("")
+    # what a file says under another name is said under the first name too, so files of all layouts unite
+    for first, *others in BILLING_HEADERS.values():
+        present = [h for h in others if h in names]
+        if first not in names and present:
+            rows = rows.withColumn(first, F.col(f"`{present[0]}`"))
+    return with_file_key(rows)
 
 
 def read_billing_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:

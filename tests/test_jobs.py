@@ -133,6 +133,32 @@ def test_billing_csv(spark, tmp_path):
     assert (rows["NovaPro"]["pricing_unit"], rows["NovaPro"]["billing_period"]) == ("", "unknown")
 
 
+def test_exports_of_several_headers_are_read_in_one_load(spark, tmp_path):
+    """Each file by its own header: another order, other names, fewer columns, compressed, empty, or nothing but a header."""
+    folder = tmp_path / "exports" / "2024"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("\n".join([HEADER, export_line()]) + "\n")
+    turned = ",".join(reversed(HEADER.split(",")))
+    (folder / "b.csv").write_text(f'\ufeff{turned}\n2.5,10,1K tokens,222222222222,111111111111,2024-01-16T00:00:00Z,2024-01,"x, ""y""\nz",EUW1-NovaPro-output-tokens,AmazonBedrockService\n')
+    other = '"lineItem/ProductCode","lineItem/UsageType",bill/BillingPeriod,lineItem/UsageStartDate,lineItem/UnblendedCost,extra,extra'
+    with gzip.open(folder / "c.csv.gz", "wt") as f:
+        f.write(f"{other}\nAmazonBedrockService,ZZZ1-NovaPro-output-tokens,2025-01-01,2025-01-15T05:00:00Z,1.5,u,v\n")
+    (folder / "d.csv").write_text("")
+    (folder / "e.csv").write_text(HEADER + "\n")
+    (folder / "note.txt").write_text("no export")
+    rows = records.cost_rows(readers.read_billing_csv(spark, str(tmp_path / "exports"))).collect()
+    got = sorted((r["usage_date"], r["model_billing_name"], r["region"], r["unblended_cost"], r["item_description"], r["cur_file_key"][-5:]) for r in rows)
+    assert got == [
+        ("2024-01-15", "Claude3Haiku", "us-east-1", 100.0, '$0.003 per 1K "input" tokens, list', "a.csv"),
+        ("2024-01-16", "NovaPro", "eu-west-1", 2.5, 'x, "y"\nz', "b.csv"),
+        ("2025-01-15", "NovaPro", "ZZZ1", 1.5, "", "sv.gz"),
+    ]
+    at = lambda name: str(tmp_path / name)
+    for state in ("1", "1", "2"):
+        jobs.run_batches(jobs.billing_file_stream(spark, at("exports")), jobs.ingest_billing_batch(at("c"), at("m")), at(state))
+    assert readers.read_table(spark, at("c"), schemas.COST_LINES, schemas.PERIOD_PARTITIONS).count() == 3
+
+
 def test_alternative_headers(spark):
     names = ["lineItem/ProductCode", "lineItem/UsageType", "bill/BillingPeriod", "lineItem/UsageStartDate", "lineItem/UnblendedCost"]
     rows = spark.createDataFrame(
@@ -233,7 +259,7 @@ def test_audit_and_billing_arrive_as_streams(spark, tmp_path):
     at = lambda name: str(tmp_path / name)
     for state in ("1", "2"):
         jobs.run_batches(jobs.audit_document_stream(spark, str(audit)), jobs.ingest_audit_batch(at("t"), at("l"), FAILED_AT), at(f"a{state}"))
-        jobs.run_batches(jobs.billing_stream(spark, str(exports), HEADER.split(",")), jobs.ingest_billing_batch(at("c"), at("m")), at(f"b{state}"))
+        jobs.run_batches(jobs.billing_file_stream(spark, str(exports)), jobs.ingest_billing_batch(at("c"), at("m")), at(f"b{state}"))
     assert readers.read_table(spark, at("t"), schemas.AUDIT_EVENTS, schemas.HOUR_PARTITIONS).count() == 1
     assert spark.read.json(at("l")).count() == 1
     assert readers.read_table(spark, at("c"), schemas.COST_LINES, schemas.PERIOD_PARTITIONS).count() == 2
