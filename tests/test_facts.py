@@ -12,7 +12,7 @@ from spendloom.operators import dataset
 from spendloom.plans import facts, ingest, reconcile
 from spendloom.sources import readers
 
-from .test_jobs import FAILED_AT, HEADER, call, export_line
+from test_jobs import FAILED_AT, HEADER, call, export_line
 
 
 def rows_of(df):
