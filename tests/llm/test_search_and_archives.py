@@ -29,10 +29,13 @@ def test_top_k_equals_sql_with_ties_and_odd_vectors(spark):
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)], 0) for i in range(300)]
     rows += [(i, [0.5] * 8, 0) for i in range(300, 420)]  # one vector over and over
     rows += [(500, None, 0), (550, [], 0), (600, [float("nan")] * 8, 0), (650, [None] * 8, 0), (700, [float("inf")] * 8, 0), (750, [0.1] * 3, 0), (None, [0.5] * 8, 0)]
-    rows += [(50, [0.25] * 8, 1), (7, [0.5] * 8, 1)]
+    rows += [(50, [0.25] * 8, 1), (7, [0.5] * 8, 1), rows[100], rows[100], rows[22], rows[22]]  # an id with two vectors, and rows again
     vectors = spark.createDataFrame(rows, VECTORS)
-    distinct = vectors.dropDuplicates(["vec_id"])
-    compare(topk.search(distinct), checks.top_k_sql("vectors"), vectors=distinct)
+    found = topk.search(vectors)
+    compare(found, checks.top_k_sql("vectors"), vectors=vectors)
+    assert found.filter("query_id = 100").count() == 5 and found.filter("query_id = 50").count() == 10
+    odd = vectors.selectExpr("*", "'x' AS id", "1 AS key", "2 AS block", "3 AS low")
+    assert sorted(map(tuple, topk.search(odd).collect())) == sorted(map(tuple, found.collect()))
 
 
 def test_top_k_in_small_blocks(spark, monkeypatch):
