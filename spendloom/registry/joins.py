@@ -24,7 +24,7 @@ from spendloom.session import shared_dir
 
 
 def newest_costs(spark, sf):
-    return snapshot.latest_snapshot(t.cost_lines(spark, sf))
+    return snapshot.latest_snapshot(stores.cost_lines(spark, sf))
 
 
 def buckets(spark, sf):
@@ -32,7 +32,7 @@ def buckets(spark, sf):
 
 
 def usage(spark, sf):
-    return attribution.usage_by_user(t.calls(spark, sf))
+    return attribution.usage_by_user(stores.calls(spark, sf))
 
 
 def matches(spark, sf):
@@ -41,7 +41,7 @@ def matches(spark, sf):
 
 
 def reconciled(spark, sf):
-    return reconciled_costs(t.cost_lines(spark, sf), t.calls(spark, sf))
+    return reconciled_costs(stores.cost_lines(spark, sf), stores.calls(spark, sf))
 
 
 # --- snapshot and buckets -----------------------------------------------------------------
@@ -107,7 +107,7 @@ def cost_per_key(spark, sf):
       {r4_sql('any_value(totalcost)')} AS totalcost FROM priced GROUP BY ALL""",
 )
 def cost_per_call(spark, sf):
-    calls = dataset.with_cost_key(t.calls(spark, sf))
+    calls = dataset.with_cost_key(stores.calls(spark, sf))
     counts = calls.groupBy(*dataset.COST_KEY).agg(F.count("*").alias("calls"))
     priced = dataset.cost_per_call(counts, dataset.cost_per_key(stores.reconciled(spark, sf)))
     return rounded(priced, "totalcost").select(*dataset.COST_KEY, "calls", "totalcost")
@@ -174,8 +174,10 @@ def proportional_split(spark, sf):
 @query(
     "w2_remainder_to_last",
     f"""SELECT usage_date, account_id, region, model_billing_name, token_type, cross_region_type,
-      count(DISTINCT bucket_id) AS buckets, {r4_sql('sum(attributed_cost)')} AS attributed, true AS whole
-      FROM reconciled WHERE reconciliation_status = 'reconciled'
+      count(*) AS buckets, {r4_sql('sum(split)')} AS attributed, max(abs(split - cost)) < 1e-8 AS whole
+      FROM (SELECT usage_date, account_id, region, model_billing_name, token_type, cross_region_type, bucket_id,
+          sum(attributed_cost) AS split, any_value(bucket_unblended_cost) AS cost
+        FROM reconciled WHERE reconciliation_status = 'reconciled' GROUP BY ALL)
       GROUP BY usage_date, account_id, region, model_billing_name, token_type, cross_region_type""",
 )
 def remainder_to_last(spark, sf):
@@ -234,7 +236,7 @@ def unmatched_buckets(spark, sf):
       FROM priced""",
 )
 def call_dataset(spark, sf):
-    rows = dataset.call_dataset(t.calls(spark, sf), stores.reconciled(spark, sf))
+    rows = dataset.call_dataset(stores.calls(spark, sf), stores.reconciled(spark, sf))
     rows = rows.withColumn("called_at", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
     return rounded(rows, "inputcost", "outputcost", "totalcost").select(
         "requestid", "called_at", "accountid", "modelid", "inputtokens", "outputtokens", "latencyms", "inputcost",

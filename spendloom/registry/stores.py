@@ -1,4 +1,4 @@
-"""Tables that reports read: reconciled costs and usage facts, stored once per data folder and session."""
+"""Tables that reports read: calls, cost lines, reconciled costs and usage facts, stored once per data folder and session."""
 
 from collections.abc import Callable
 
@@ -22,9 +22,18 @@ def stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFram
     return spark.read.parquet(_PATHS[key])
 
 
+def calls(spark: SparkSession, sf: str) -> DataFrame:
+    """The call table as an ingest leaves it: in several files, so it is read by many tasks."""
+    return stored(spark, sf, "calls", lambda: t.calls(spark, sf).hint("rebalance"))
+
+
+def cost_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "cost-lines", lambda: t.cost_lines(spark, sf).hint("rebalance"))
+
+
 def reconciled(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, sf, "reconciled-costs", lambda: reconciled_costs(t.cost_lines(spark, sf), t.calls(spark, sf)))
+    return stored(spark, sf, "reconciled-costs", lambda: reconciled_costs(cost_lines(spark, sf), calls(spark, sf)))
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, sf, "usage-facts", lambda: dataset.usage_facts(t.calls(spark, sf), reconciled(spark, sf)))
+    return stored(spark, sf, "usage-facts", lambda: dataset.usage_facts(calls(spark, sf), reconciled(spark, sf)))
