@@ -46,8 +46,8 @@ DROPPED = frozenset(
     "head title script style noscript template svg math canvas iframe object audio video map nav footer aside form button select textarea option dialog menu".split()
 )
 CONTENT = frozenset("article main".split())
-#: Paths of headlines, which may be links to the page itself; not those of lists.
-HEADLINE = re.compile(r"^(?!.*/li(?:[./]|$)).*/h[1-6](?:\.[^/]*)?$")
+#: Elements of headlines, which may be links to the page itself; not those in lists.
+HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that mark what is not main text, wherever it is.
 NEVER = frozenset(
     "ad ads adv banner cookie cookies consent gdpr comment comments commentlist replies reply disqus related newsletter subscribe subscription".split()
@@ -94,10 +94,10 @@ def mark(names: list[str]) -> int:
 
 
 class Block:
-    __slots__ = ("path", "parts", "links", "content")
+    __slots__ = ("path", "parts", "links", "content", "headline")
 
-    def __init__(self, path: str, content: bool) -> None:
-        self.path, self.content = path, content
+    def __init__(self, path: int, content: bool, headline: bool) -> None:
+        self.path, self.content, self.headline = path, content, headline
         self.parts: list[str] = []
         self.links = 0
 
@@ -106,7 +106,10 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, without what is left out."""
     found: list[Block] = []
     # open elements: tag, path of blocks, in content, how left out, in a link
-    stack: list[tuple[str, str, bool, int, bool]] = [("", "", False, TAKEN, False)]
+    stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, TAKEN, False)]
+    # paths are numbered by (path above, element and class), so a deep one costs no more than a short one
+    paths: dict[tuple[int, str], int] = {}
+    headline, in_list = [False], [False]
     fresh = True  # the next text begins a block
     at = 0
 
@@ -120,7 +123,7 @@ def blocks(page: str) -> list[Block]:
         if fresh:
             if raw.isspace():
                 return
-            found.append(Block(path, content))
+            found.append(Block(path, content, headline[path]))
             fresh = False
         block = found[-1]
         raw = entities.unescape(raw) if "&" in raw else raw
@@ -138,9 +141,12 @@ def blocks(page: str) -> list[Block]:
                 fresh = True
                 return
 
-    while m := TOKEN.search(page, at):
+    last = page.rfind(">") + 1  # a tag that begins behind it never ends
+    while m := TOKEN.search(page, at, last):
         text(page[at : m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            at = len(page)  # a comment that never ends
         tag = m[2]
         if tag is None:
             continue
@@ -195,14 +201,17 @@ def blocks(page: str) -> list[Block]:
         dropped = max(dropped, out)
         content = content or states
         if tag not in INLINE:
-            path = f"{path}/{tag}.{first}" if first else f"{path}/{tag}"
+            above, path = path, paths.setdefault((path, f"{tag}.{first}" if first else tag), len(paths) + 1)
+            if path == len(headline):
+                in_list.append(in_list[above] or tag == "li")
+                headline.append(tag in HEADLINES and not in_list[path])
         if not (m[3].endswith("/>") and tag in ("svg", "path")):
             stack.append((tag, path, content, dropped, link or tag == "a"))
-    text(page[at:])
+    text(page[at:].split("<!--", 1)[0])
     return found
 
 
-def selected(values: np.ndarray, paths: list[str], stated: np.ndarray) -> np.ndarray:
+def selected(values: np.ndarray, paths: list[int], stated: np.ndarray) -> np.ndarray:
     """Which blocks pass: the values, smoothed along the page and fused with what the path has by itself and with what
     the markup states (0 to 1), reach the threshold in the mean of the path, or by the stated weight of the block."""
     padded = np.pad(values, 1, mode="edge")
@@ -225,11 +234,11 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     # an id may make content of one of two equal paths
-    paths = [f"+{b.path}" if b.content else b.path for b, _ in found]
-    sums: dict[str, list[float]] = {}
+    paths = [2 * b.path + b.content for b, _ in found]
+    sums: dict[int, list[float]] = {}
     stated = []
     for path, (b, own) in zip(paths, found, strict=True):
-        links = 0 if b.content and HEADLINE.search(b.path) else min(b.links, len(own))
+        links = 0 if b.content and b.headline else min(b.links, len(own))
         s = sums.setdefault(path, [0, 0, 0, 0])
         s[0] += len(own)
         s[1] += links

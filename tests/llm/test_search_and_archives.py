@@ -3,6 +3,7 @@
 import gzip
 import random
 import tempfile
+import time
 
 import pytest
 
@@ -177,3 +178,17 @@ def test_extraction_of_odd_rows(spark):
     rows = extraction.extract(spark.createDataFrame([(None, None, None), (1, "u", PAGE), (1, "u", PAGE)], PAGES)).collect()
     assert sorted(r["n_chars"] for r in rows)[0] == 0 and len(rows) == 3
     assert extraction.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize(("page", "length"), [
+    ("<a " * 333_000, 998_999),
+    ("<div>" * 50_000 + "deep text, yes.", 15),
+    ("".join(f"<div class=c{i}>" for i in range(50_000)) + "deep text, yes.", 15),
+    ("<p>text</p>" + '<a "' * 200_000, 6 + 799_999 - 1),
+    ("x<!--" * 200_000, 1),
+])
+def test_long_broken_pages_take_no_longer_than_their_length(page, length):
+    began = time.perf_counter()
+    found = extraction.main_text(page)
+    assert time.perf_counter() - began < 10
+    assert abs(len(found) - length) <= 10
