@@ -47,6 +47,21 @@ def test_classes_equal_all_pairs(documents, corpus):
     assert [r["doc_id"] for r in rows if r["kept"]] and sum(r["kept"] for r in rows) == len(set(classes_of(rows).values()))
 
 
+@pytest.mark.parametrize("share", [0.7, 0.8, 0.85, 0.87])
+def test_no_pair_is_lost_in_a_family_over_one_template(documents, share):
+    """Texts of 200 words that have most of them in common; each has one partner that is nearer."""
+    rng = random.Random(5)
+    common = words(rng, int(200 * share))
+    texts = []
+    for _ in range(80):
+        own = words(rng, 200 - len(common))
+        texts += [" ".join(own + common), " ".join(words(rng, 13) + own[13:] + common)]
+    rng.shuffle(texts)
+    expected = brute.classes(texts)
+    assert len(set(expected)) == 80
+    assert classes_of(neardup.near_duplicates(documents(texts)).collect()) == dict(enumerate(expected))
+
+
 def test_recall_on_given_documents(spark, documents):
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(400).collect()]
     got, expected = classes_of(neardup.near_duplicates(documents(texts)).collect()), brute.classes(texts)
