@@ -145,39 +145,52 @@ def unsettled(members: DataFrame) -> DataFrame:
 
 
 def shingles_of(texts: DataFrame) -> DataFrame:
-    """(digest, shingle) for every labelled shingle."""
+    """(digest, shingles) of every text."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, words in zip(batch["digest"], batch["words"], strict=True):
-                found = as_long(shingled(words))
-                yield pd.DataFrame({"digest": [key] * len(found), "shingle": found})
+            yield pd.DataFrame({"digest": batch["digest"], "shingles": [as_long(shingled(words)) for words in batch["words"]]})
 
-    return texts.select("digest", "words").mapInPandas(work, "digest binary, shingle long")
+    return texts.select("digest", "words").mapInPandas(work, "digest binary, shingles array<long>")
 
 
 def by_rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of nodes of different labels that can be similar by their rarest shingles."""
-    rows = checkpointed(shingles_of(texts.join(nodes, "digest", "left_semi")))
-    counts = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = rows.join(counts, "shingle").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    named = nodes.select("digest", F.xxhash64("label").alias("label"))
+    found = shingles_of(texts).join(named, "digest").withColumn("node", F.monotonically_increasing_id())
+    found = checkpointed(found)  # the numbers hold from here on
+    rows = found.select("node", F.explode("shingles").alias("shingle"))
+    counts = rows.groupBy("shingle").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
+    shared = rows.join(counts, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
     # shingles of a single text come first and meet nobody
-    placed = shared.join(nodes, "digest").withColumn("alone", F.col("n") - F.size("shared"))
+    lengths = found.select("node", "label", F.size("shingles").alias("n"))
+    placed = shared.join(lengths, "node").withColumn("alone", F.col("n") - F.size("shared"))
     leading = F.slice("shared", 1, F.greatest(F.lit(0), F.floor(F.col("n") / FIVE).cast("int") + 1 - F.col("alone")))
-    keys = placed.select("digest", "n", F.xxhash64("label").alias("label"), "alone", F.posexplode(leading).alias("nth", "key"))
-    keys = keys.select(F.col("key.shingle").alias("shingle"), "digest", "n", "label", (F.col("alone") + F.col("nth")).alias("at"))
-    keys = checkpointed(keys.withColumn("short", F.col("at") <= F.floor(F.col("n") / (FOUR + FIVE))))
-    several = keys.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("short").alias("short"))
-    keys = checkpointed(keys.join(several.filter("least != most and short"), "shingle", "left_semi"))
+    keys = placed.select("node", "n", "label", "alone", F.posexplode(leading).alias("nth", "key"))
+    keys = keys.select(F.col("key.shingle").alias("shingle"), "node", "n", "label", (F.col("n") - F.col("alone") - F.col("nth")).alias("rest"))
+    keys = checkpointed(keys.withColumn("short", F.col("n") - F.col("rest") <= F.floor(F.col("n") / (FOUR + FIVE))))
     # labels meet before their members do, so the members of one class are never paired
-    one = keys.filter("short").select("shingle", F.col("label").alias("label_x")).distinct()
-    meeting = one.join(keys.select("shingle", F.col("label").alias("label_y")).distinct(), "shingle").filter("label_x != label_y")
-    x, y = (keys.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("digest", "n", "label", "at", "short")]) for end in "xy")
+    spans = [F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.max(F.when(F.col("short"), F.col("n"))).alias("most_short")]
+    held = checkpointed(keys.groupBy("shingle", "label").agg(*spans))
+    one, two = (held.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("label", "least", "most", "rest", "most_short")]) for end in "xy")
+    several = held.groupBy("shingle").agg(F.count("*").alias("labels")).filter("labels > 1").select("shingle")
+    possible = (F.col("label_x") != F.col("label_y")) & (F.col("least_x") <= F.col("most_y")) & (FOUR * F.col("least_y") <= FIVE * F.col("most_short_x"))
+    meeting = one.filter("most_short_x is not null").join(several, "shingle", "left_semi").join(two, "shingle")
+    meeting = meeting.filter(possible & reaches(F.col("rest_x"), F.col("rest_y"), F.col("least_x") + F.col("least_y"))).select("shingle", "label_x", "label_y")
+    x, y = (keys.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "label", "rest", "short")]) for end in "xy")
     met = meeting.join(x.filter("short_x"), ["shingle", "label_x"]).join(y, ["shingle", "label_y"])
-    fits = (F.col("n_x") <= F.col("n_y")) & (FOUR * F.col("n_y") <= FIVE * F.col("n_x"))
-    most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))  # of shingles in common, if this is the first
-    met = met.filter(fits & ((FOUR + FIVE) * most >= FOUR * (F.col("n_x") + F.col("n_y"))))
-    return met.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")).distinct()
+    ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    fits = ordered & (FOUR * F.col("n_y") <= FIVE * F.col("n_x"))
+    met = met.filter(fits & reaches(F.col("rest_x"), F.col("rest_y"), F.col("n_x") + F.col("n_y")))
+    pairs = checkpointed(met.select("node_x", "node_y").distinct())
+    for end in "xy":
+        pairs = pairs.join(found.select(F.col("node").alias(f"node_{end}"), F.col("digest").alias(f"digest_{end}")), f"node_{end}")
+    return pairs.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")).distinct()
+
+
+def reaches(rest_x: Column, rest_y: Column, total: Column) -> Column:
+    """Whether texts whose first common shingle leaves so many (itself counted) can have enough in common."""
+    return (FOUR + FIVE) * F.least(rest_x, rest_y) >= FOUR * total
 
 
 def shingled(words: bytes) -> np.ndarray:
@@ -223,6 +236,14 @@ def classed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumn("label", F.coalesce("label", "digest"))
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    for end in ("a", "b"):
+        known = labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        pairs = pairs.join(known, end, "left")
+    return pairs.filter(~F.coalesce(F.col("a_label") == F.col("b_label"), F.lit(False))).select("a", "b")
+
+
 def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label) of all nodes that are similar to another one."""
     members = checkpointed(in_buckets(nodes.withColumn("label", F.col("digest"))))
@@ -231,19 +252,21 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = checkpointed(texts.join(checkpointed(unsettled(members)), "digest", "left_semi"))
     first = checkpointed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     edges = checkpointed(verified(first, texts))
-    labels = components(edges)
-    left = pairs.join(first, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        known = labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-        left = left.join(known, end, "left")
-    left = checkpointed(left.filter(~F.coalesce(F.col("a_label") == F.col("b_label"), F.lit(False))).select("a", "b"))
+    left = checkpointed(apart(pairs.join(first, ["a", "b"], "left_anti"), components(edges)))
     edges = checkpointed(edges.union(verified(left, texts)))
     now = checkpointed(classed(nodes, components(edges)))
     open_nodes = now.join(checkpointed(unsettled(in_buckets(now))), "digest", "left_semi")
-    open_nodes = checkpointed(open_nodes.select("digest", F.col("n_shingles").alias("n"), "label"))
-    more = checkpointed(by_rare_shingles(open_nodes, texts))
-    more = checkpointed(verified(more.join(left, ["a", "b"], "left_anti"), texts))
-    return components(edges.union(more))
+    open_nodes = checkpointed(open_nodes.select("digest", "label"))
+    pairs = checkpointed(by_rare_shingles(open_nodes, texts).join(left, ["a", "b"], "left_anti"))
+    for chosen in (F.min, F.max):  # one pair per text at first: what they connect need not be compared
+        if pairs.isEmpty():
+            break
+        both = pairs.select("a", "b").union(pairs.select("b", "a"))
+        some = both.groupBy("a").agg(chosen("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        some = checkpointed(some.distinct())
+        edges = checkpointed(edges.union(verified(some, texts)))
+        pairs = checkpointed(apart(pairs.join(some, ["a", "b"], "left_anti"), components(edges)))
+    return components(edges.union(checkpointed(verified(pairs, texts))))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
