@@ -258,14 +258,6 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     open_nodes = now.join(checkpointed(unsettled(in_buckets(now))), "digest", "left_semi")
     open_nodes = checkpointed(open_nodes.select("digest", "label"))
     pairs = checkpointed(by_rare_shingles(open_nodes, texts).join(left, ["a", "b"], "left_anti"))
-    for chosen in (F.min, F.max):  # one pair per text at first: what they connect need not be compared
-        if pairs.isEmpty():
-            break
-        both = pairs.select("a", "b").union(pairs.select("b", "a"))
-        some = both.groupBy("a").agg(chosen("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        some = checkpointed(some.distinct())
-        edges = checkpointed(edges.union(verified(some, texts)))
-        pairs = checkpointed(apart(pairs.join(some, ["a", "b"], "left_anti"), components(edges)))
     return components(edges.union(checkpointed(verified(pairs, texts))))
 
 
