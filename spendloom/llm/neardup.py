@@ -15,7 +15,10 @@ Most buckets hold one class by then. The members of the others (texts over one l
 round that splits them by their rarest shingles: two texts of n1 <= n2 shingles can only reach the threshold if, in
 one common order of all shingles, the first n1 / 9 + 1 of the one and the first n2 / 5 + 1 of the other share one. The
 order is by frequency among these members, so that what a family has in common comes last and brings nobody
-together. Only texts of different classes meet there. So no link is lost between texts that agree on a sketch.
+together. Only texts of different classes meet there, and only if the parities of their shingles (64 * PARITIES bits,
+of which two texts cannot differ in more than in shingles) leave the threshold within reach: first those that all or
+any members of two classes have, then those of a text and a class, then those of two texts. So no link is lost between
+texts that agree on a sketch.
 
 Two texts of similarity 0.8 agree on a sketch with a chance of about one half, so all 16 miss with 1 in 60,000;
 the tests compare with brute force over all pairs, also of families over one template.
@@ -36,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendloom.llm.common import checkpointed, words_of
+from spendloom.llm.common import checkpointed, release, words_of
 from spendloom.llm.components import components
 from spendloom.llm.hashing import WordHashes, as_long, labelled, mixed, runs
 
@@ -47,6 +50,8 @@ TAKEN = 3
 FOUR, FIVE = 4, 5
 #: Shingles that are looked at together when a sketch is taken.
 SLICE = 20_000
+#: Longs with the parities of a text's shingles, which stand for it while pairs are formed.
+PARITIES = 8
 #: Lengths of similar texts lie in the same or in neighbouring bands (a little wider than FIVE / FOUR).
 BAND = 1.26
 
@@ -144,14 +149,23 @@ def unsettled(members: DataFrame) -> DataFrame:
     return banded.join(several, ["bucket", "band"], "left_semi").select("digest").distinct()
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """64 * PARITIES bits, each telling whether an odd number of the shingles falls on it: two texts differ in at least
+    as many shingles as bits."""
+    places = 64 * PARITIES
+    odd = np.bincount((mixed(shingles) % np.uint64(places)).astype(np.int64), minlength=places) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingles_of(texts: DataFrame) -> DataFrame:
-    """(digest, shingles) of every text."""
+    """(digest, shingles, odd: their parities) of every text."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"digest": batch["digest"], "shingles": [as_long(shingled(words)) for words in batch["words"]]})
+            own = [shingled(words) for words in batch["words"]]
+            yield pd.DataFrame({"digest": batch["digest"], "shingles": [as_long(x) for x in own], "odd": [parities(x) for x in own]})
 
-    return texts.select("digest", "words").mapInPandas(work, "digest binary, shingles array<long>")
+    return texts.select("digest", "words").mapInPandas(work, "digest binary, shingles array<long>, odd array<long>")
 
 
 def by_rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -169,23 +183,42 @@ def by_rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     keys = placed.select("node", "n", "label", "alone", F.posexplode(leading).alias("nth", "key"))
     keys = keys.select(F.col("key.shingle").alias("shingle"), "node", "n", "label", (F.col("n") - F.col("alone") - F.col("nth")).alias("rest"))
     keys = checkpointed(keys.withColumn("short", F.col("n") - F.col("rest") <= F.floor(F.col("n") / (FOUR + FIVE))))
+    several = keys.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most")
+    keys = checkpointed(keys.join(several, "shingle", "left_semi").join(found.select("node", "digest", "odd"), "node").drop("node"))
     # labels meet before their members do, so the members of one class are never paired
     spans = [F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.max(F.when(F.col("short"), F.col("n"))).alias("most_short")]
+    for name, bits in (("all", F.bit_and), ("any", F.bit_or)):
+        spans.append(F.array(*[bits(F.col("odd")[k]) for k in range(PARITIES)]).alias(name))
     held = checkpointed(keys.groupBy("shingle", "label").agg(*spans))
-    one, two = (held.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("label", "least", "most", "rest", "most_short")]) for end in "xy")
-    several = held.groupBy("shingle").agg(F.count("*").alias("labels")).filter("labels > 1").select("shingle")
-    possible = (F.col("label_x") != F.col("label_y")) & (F.col("least_x") <= F.col("most_y")) & (FOUR * F.col("least_y") <= FIVE * F.col("most_short_x"))
-    meeting = one.filter("most_short_x is not null").join(several, "shingle", "left_semi").join(two, "shingle")
-    meeting = meeting.filter(possible & reaches(F.col("rest_x"), F.col("rest_y"), F.col("least_x") + F.col("least_y"))).select("shingle", "label_x", "label_y")
-    x, y = (keys.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "n", "label", "rest", "short")]) for end in "xy")
-    met = meeting.join(x.filter("short_x"), ["shingle", "label_x"]).join(y, ["shingle", "label_y"])
-    ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
-    fits = ordered & (FOUR * F.col("n_y") <= FIVE * F.col("n_x"))
-    met = met.filter(fits & reaches(F.col("rest_x"), F.col("rest_y"), F.col("n_x") + F.col("n_y")))
-    pairs = checkpointed(met.select("node_x", "node_y").distinct())
-    for end in "xy":
-        pairs = pairs.join(found.select(F.col("node").alias(f"node_{end}"), F.col("digest").alias(f"digest_{end}")), f"node_{end}")
-    return pairs.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")).distinct()
+    del found, rows, counts, shared, lengths, placed, several
+    release(nodes.sparkSession)
+    one, two = (held.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in held.columns[1:]]) for end in "xy")
+    n, total = F.col("most_short_x"), F.col("least_x") + F.col("least_y")
+    possible = (F.col("label_x") != F.col("label_y")) & (F.col("least_x") <= F.col("most_y")) & (FOUR * F.col("least_y") <= FIVE * n)
+    possible &= reaches(F.col("rest_x"), F.col("rest_y"), total) & differ_little("all_x", "any_x", "all_y", "any_y", n + F.col("most_y"))
+    meeting = one.filter("most_short_x is not null").join(two, "shingle").filter(possible).select("shingle", "label_x", *two.columns[1:])
+    # then a member and a label, and last two members
+    x, y = (keys.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("digest", "n", "label", "odd")], F.col("rest").alias(f"own_rest_{end}"), "short") for end in "xy")
+    n = F.col("n_x")
+    possible = (n <= F.col("most_y")) & (FOUR * F.col("least_y") <= FIVE * n) & reaches(F.col("own_rest_x"), F.col("rest_y"), n + F.greatest(n, "least_y"))
+    possible &= differ_little("odd_x", "odd_x", "all_y", "any_y", n + F.col("most_y"))
+    met = meeting.join(x.filter("short"), ["shingle", "label_x"]).filter(possible).select("shingle", "label_y", "digest_x", "n_x", "odd_x", "own_rest_x")
+    total = F.col("n_x") + F.col("n_y")
+    ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("digest_x") < F.col("digest_y")))
+    fits = ordered & (FOUR * F.col("n_y") <= FIVE * F.col("n_x")) & reaches(F.col("own_rest_x"), F.col("own_rest_y"), total)
+    met = met.join(y, ["shingle", "label_y"]).filter(fits & differ_little("odd_x", "odd_x", "odd_y", "odd_y", total))
+    return met.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")).distinct()
+
+
+def differ_little(all_x: str, any_x: str, all_y: str, any_y: str, total: Column) -> Column:
+    """Whether texts of at most so many shingles together can be similar by their parities; named are the columns with
+    the bits that all and that any of one side's texts have. total - 2 * common shingles differ."""
+
+    def only(one: str, other: str) -> Column:
+        return F.zip_with(one, other, lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
+
+    bits = F.zip_with(only(all_x, any_y), only(all_y, any_x), lambda x, y: F.bit_count(x.bitwiseOR(y)))
+    return (FOUR + FIVE) * F.aggregate(bits, F.lit(0), lambda s, x: s + x) <= (FIVE - FOUR) * total
 
 
 def reaches(rest_x: Column, rest_y: Column, total: Column) -> Column:
@@ -252,11 +285,15 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = checkpointed(texts.join(checkpointed(unsettled(members)), "digest", "left_semi"))
     first = checkpointed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     edges = checkpointed(verified(first, texts))
+    del members
+    release(docs.sparkSession)
     left = checkpointed(apart(pairs.join(first, ["a", "b"], "left_anti"), components(edges)))
     edges = checkpointed(edges.union(verified(left, texts)))
     now = checkpointed(classed(nodes, components(edges)))
     open_nodes = now.join(checkpointed(unsettled(in_buckets(now))), "digest", "left_semi")
     open_nodes = checkpointed(open_nodes.select("digest", "label"))
+    del pairs, first, now
+    release(docs.sparkSession)
     pairs = checkpointed(by_rare_shingles(open_nodes, texts).join(left, ["a", "b"], "left_anti"))
     return components(edges.union(checkpointed(verified(pairs, texts))))
 

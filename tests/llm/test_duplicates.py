@@ -62,6 +62,29 @@ def test_no_pair_is_lost_in_a_family_over_one_template(documents, share):
     assert classes_of(neardup.near_duplicates(documents(texts)).collect()) == dict(enumerate(expected))
 
 
+def test_texts_below_the_threshold_form_few_pairs(documents):
+    """Texts of a common part and two passages: those with one passage in common are below the threshold."""
+    rng = random.Random(6)
+    common, first, second = words(rng, 150), [words(rng, 25) for _ in range(10)], [words(rng, 25) for _ in range(10)]
+    texts = [" ".join(x + common + y) for x in first for y in second]
+    texts += [" ".join(text.split()[:-1]) for text in texts[:5]]
+    packed = neardup.sequences(documents(texts))
+    pairs = neardup.by_rare_shingles(packed.select("digest", F.col("digest").alias("label")), packed).collect()
+    digests = [neardup.digest_of(text.encode().split()) for text in texts]
+    found = {frozenset(map(bytes, r)) for r in pairs}
+    assert found >= {frozenset((digests[k], digests[100 + k])) for k in range(5)}
+    assert len(found) < 300  # 836 if texts meet by rare shingles alone
+
+
+def test_parities_never_differ_in_more_bits_than_shingles():
+    rng = random.Random(8)
+    for _ in range(50):
+        base = words(rng, rng.randint(5, 900))
+        one, two = (neardup.shingled(neardup.WordHashes().of([w.encode() for w in x]).astype("<u4").tobytes()) for x in (base, edited(rng, base, 20)))
+        bits = neardup.parities(one) ^ neardup.parities(two)
+        assert sum(int(x).bit_count() for x in bits.view("u8")) <= len(set(one.tolist()) ^ set(two.tolist()))
+
+
 def test_recall_on_given_documents(spark, documents):
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(400).collect()]
     got, expected = classes_of(neardup.near_duplicates(documents(texts)).collect()), brute.classes(texts)
