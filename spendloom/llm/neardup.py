@@ -124,29 +124,29 @@ def sequences(docs: DataFrame) -> DataFrame:
 
 
 def in_buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, digest, n, label) for every node and sketch."""
-    exploded = nodes.select("digest", F.col("n_shingles").alias("n"), "label", F.posexplode("sketches").alias("k", "sketch"))
-    return exploded.select(F.xxhash64("k", "sketch").alias("bucket"), "digest", "n", "label")
+    """(bucket, node, n, label) for every node and sketch."""
+    exploded = nodes.select("node", F.col("n_shingles").alias("n"), "label", F.posexplode("sketches").alias("k", "sketch"))
+    return exploded.select(F.xxhash64("k", "sketch").alias("bucket"), "node", "n", "label")
 
 
 def candidates(members: DataFrame) -> DataFrame:
     """Distinct (hub, member): every node of a bucket with the bucket's least and greatest node, lengths permitting."""
-    members = members.select("bucket", F.struct("digest", "n").alias("member"))
-    hubs = members.groupBy("bucket").agg(F.min("member").alias("least"), F.max("member").alias("most"))
-    hubs = checkpointed(hubs.filter("least.digest != most.digest"))
-    met = members.join(hubs, "bucket").select("member", F.explode(F.array("least", "most")).alias("hub"))
-    close = (FOUR * F.greatest("hub.n", "member.n") <= FIVE * F.least("hub.n", "member.n")) & (F.col("hub.digest") != F.col("member.digest"))
-    ends = [F.least("hub.digest", "member.digest").alias("a"), F.greatest("hub.digest", "member.digest").alias("b")]
-    return met.filter(close).select(*ends).distinct()
+    members = members.select("bucket", "node", "n")
+    ends = [F.min("node").alias("least"), F.min_by("n", "node").alias("least_n"), F.max("node").alias("most"), F.max_by("n", "node").alias("most_n")]
+    hubs = checkpointed(members.groupBy("bucket").agg(*ends).filter("least != most"))
+    both = F.array(*[F.struct(F.col(end).alias("node"), F.col(f"{end}_n").alias("n")) for end in ("least", "most")])
+    met = members.join(hubs, "bucket").select("node", "n", F.explode(both).alias("hub"))
+    close = (FOUR * F.greatest("hub.n", "n") <= FIVE * F.least("hub.n", "n")) & (F.col("hub.node") != F.col("node"))
+    return met.filter(close).select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
 
 
 def unsettled(members: DataFrame) -> DataFrame:
-    """Distinct digests of the members that share a bucket with a member of another label and of similar length."""
+    """Distinct nodes of the members that share a bucket with a member of another label and of similar length."""
     banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(BAND)).cast("int"))
     spans = banded.groupBy("bucket", "band").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     around = spans.select("bucket", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "least", "most")
     several = around.groupBy("bucket", "band").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least != most")
-    return banded.join(several, ["bucket", "band"], "left_semi").select("digest").distinct()
+    return banded.join(several, ["bucket", "band"], "left_semi").select("node").distinct()
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
@@ -158,20 +158,22 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingles_of(texts: DataFrame) -> DataFrame:
-    """(digest, shingles, odd: their parities) of every text."""
+    """(id, shingles, odd: their parities) of every text (id, words)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [shingled(words) for words in batch["words"]]
-            yield pd.DataFrame({"digest": batch["digest"], "shingles": [as_long(x) for x in own], "odd": [parities(x) for x in own]})
+            yield pd.DataFrame({"id": batch["id"], "shingles": [as_long(x) for x in own], "odd": [parities(x) for x in own]})
 
-    return texts.select("digest", "words").mapInPandas(work, "digest binary, shingles array<long>, odd array<long>")
+    texts = texts.select("id", "words")
+    return texts.mapInPandas(work, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>, odd array<long>")
 
 
-def by_rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different labels that can be similar by their rarest shingles."""
-    named = nodes.select("digest", F.xxhash64("label").alias("label"))
-    found = shingles_of(texts).join(named, "digest").withColumn("node", F.monotonically_increasing_id())
+def by_rare_shingles(nodes: DataFrame, texts: DataFrame, key: str = "digest") -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different labels that can be similar by their rarest shingles; key names the
+    column that tells the nodes apart."""
+    named = nodes.select(F.col(key).alias("id"), F.xxhash64("label").alias("label"))
+    found = shingles_of(texts.withColumnRenamed(key, "id")).join(named, "id").withColumn("node", F.monotonically_increasing_id())
     found = checkpointed(found)  # the numbers hold from here on
     rows = found.select("node", F.explode("shingles").alias("shingle"))
     counts = rows.groupBy("shingle").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
@@ -184,7 +186,7 @@ def by_rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     keys = keys.select(F.col("key.shingle").alias("shingle"), "node", "n", "label", (F.col("n") - F.col("alone") - F.col("nth")).alias("rest"))
     keys = checkpointed(keys.withColumn("short", F.col("n") - F.col("rest") <= F.floor(F.col("n") / (FOUR + FIVE))))
     several = keys.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least != most")
-    keys = checkpointed(keys.join(several, "shingle", "left_semi").join(found.select("node", "digest", "odd"), "node").drop("node"))
+    keys = checkpointed(keys.join(several, "shingle", "left_semi").join(found.select("node", "id", "odd"), "node").drop("node"))
     # labels meet before their members do, so the members of one class are never paired
     spans = [F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.max(F.when(F.col("short"), F.col("n"))).alias("most_short")]
     for name, bits in (("all", F.bit_and), ("any", F.bit_or)):
@@ -198,16 +200,16 @@ def by_rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     possible &= reaches(F.col("rest_x"), F.col("rest_y"), total) & differ_little("all_x", "any_x", "all_y", "any_y", n + F.col("most_y"))
     meeting = one.filter("most_short_x is not null").join(two, "shingle").filter(possible).select("shingle", "label_x", *two.columns[1:])
     # then a member and a label, and last two members
-    x, y = (keys.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("digest", "n", "label", "odd")], F.col("rest").alias(f"own_rest_{end}"), "short") for end in "xy")
+    x, y = (keys.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "n", "label", "odd")], F.col("rest").alias(f"own_rest_{end}"), "short") for end in "xy")
     n = F.col("n_x")
     possible = (n <= F.col("most_y")) & (FOUR * F.col("least_y") <= FIVE * n) & reaches(F.col("own_rest_x"), F.col("rest_y"), n + F.greatest(n, "least_y"))
     possible &= differ_little("odd_x", "odd_x", "all_y", "any_y", n + F.col("most_y"))
-    met = meeting.join(x.filter("short"), ["shingle", "label_x"]).filter(possible).select("shingle", "label_y", "digest_x", "n_x", "odd_x", "own_rest_x")
+    met = meeting.join(x.filter("short"), ["shingle", "label_x"]).filter(possible).select("shingle", "label_y", "id_x", "n_x", "odd_x", "own_rest_x")
     total = F.col("n_x") + F.col("n_y")
-    ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("digest_x") < F.col("digest_y")))
+    ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y")))
     fits = ordered & (FOUR * F.col("n_y") <= FIVE * F.col("n_x")) & reaches(F.col("own_rest_x"), F.col("own_rest_y"), total)
     met = met.join(y, ["shingle", "label_y"]).filter(fits & differ_little("odd_x", "odd_x", "odd_y", "odd_y", total))
-    return met.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")).distinct()
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def differ_little(all_x: str, any_x: str, all_y: str, any_y: str, total: Column) -> Column:
@@ -258,15 +260,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.loc[[similar(x, y) for x, y in zip(batch["one"], batch["two"], strict=True)], ["a", "b"]]
 
-    one = texts.select(F.col("digest").alias("a"), F.col("words").alias("one"))
-    two = texts.select(F.col("digest").alias("b"), F.col("words").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInPandas(work, "a binary, b binary")
+    one = texts.select(F.col("node").alias("a"), F.col("words").alias("one"))
+    two = texts.select(F.col("node").alias("b"), F.col("words").alias("two"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInPandas(work, "a long, b long")
 
 
 def classed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """The nodes with the labels of their components, their own digests for single nodes."""
-    found = nodes.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left")
-    return found.withColumn("label", F.coalesce("label", "digest"))
+    """The nodes with the labels of their components, their own numbers for single nodes."""
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -278,23 +279,26 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label) of all nodes that are similar to another one."""
-    members = checkpointed(in_buckets(nodes.withColumn("label", F.col("digest"))))
+    """(node, label) of all nodes (digest, node, n_shingles, sketches) that are similar to another one."""
+    members = checkpointed(in_buckets(nodes.withColumn("label", F.col("node"))))
     pairs = checkpointed(candidates(members))
+    needed = checkpointed(nodes.select("node", "digest").join(unsettled(members), "node", "left_semi"))
+    del members
+    release(docs.sparkSession)
     texts = sequences(docs).groupBy("digest").agg(F.first("words").alias("words"))
-    texts = checkpointed(texts.join(checkpointed(unsettled(members)), "digest", "left_semi"))
+    texts = checkpointed(texts.join(needed, "digest").select("node", "words"))
     first = checkpointed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     edges = checkpointed(verified(first, texts))
-    del members
+    del needed
     release(docs.sparkSession)
     left = checkpointed(apart(pairs.join(first, ["a", "b"], "left_anti"), components(edges)))
     edges = checkpointed(edges.union(verified(left, texts)))
     now = checkpointed(classed(nodes, components(edges)))
-    open_nodes = now.join(checkpointed(unsettled(in_buckets(now))), "digest", "left_semi")
-    open_nodes = checkpointed(open_nodes.select("digest", "label"))
+    open_nodes = now.join(checkpointed(unsettled(in_buckets(now))), "node", "left_semi")
+    open_nodes = checkpointed(open_nodes.select("node", "label"))
     del pairs, first, now
     release(docs.sparkSession)
-    pairs = checkpointed(by_rare_shingles(open_nodes, texts).join(left, ["a", "b"], "left_anti"))
+    pairs = checkpointed(by_rare_shingles(open_nodes, texts, "node").join(left, ["a", "b"], "left_anti"))
     return components(edges.union(checkpointed(verified(pairs, texts))))
 
 
@@ -302,10 +306,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, digest, class_id, kept for every row. kept: the document with the least id of its class (null ids last);
     rows that repeat it with the same id and words are kept too."""
     rows = checkpointed(sketched(docs))
-    nodes = rows.filter("n_shingles > 0").groupBy("digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketches").alias("sketches"))
-    labels = linked(docs, checkpointed(nodes))
-    ids = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("least"))
-    found = checkpointed(classed(ids, labels))
+    first = [F.first(c).alias(c) for c in ("n_shingles", "sketches")]
+    nodes = rows.groupBy("digest").agg(*first, F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("least"))
+    # numbers stand for the nodes from here on: half the bytes of digests, and folded by hash instead of by sort
+    nodes = checkpointed(nodes.sortWithinPartitions("digest").withColumn("node", F.monotonically_increasing_id()))
+    labels = linked(docs, nodes.select("digest", "node", "n_shingles", "sketches"))
+    found = checkpointed(classed(nodes.select("node", "digest", "least"), labels))
     chosen = found.groupBy("label").agg(F.min(F.struct("least", "digest")).alias("chosen"))
     named = checkpointed(found.join(checkpointed(chosen), "label").select("digest", F.col("chosen.least.doc_id").alias("class_id"), (F.col("digest") == F.col("chosen.digest")).alias("holds")))
     return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class_id", (F.col("holds") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from llm import brute
 from spendloom.llm import checks, components, neardup, registry, substrings
+from spendloom.llm.common import checkpointed
 
 
 def words(rng, n):
@@ -76,6 +77,21 @@ def test_texts_below_the_threshold_form_few_pairs(documents):
     assert len(found) < 300  # 836 if texts meet by rare shingles alone
 
 
+def test_buckets_are_folded_by_numbers(documents, corpus, monkeypatch):
+    """Nodes and pairs travel as longs, which Spark folds by hash; digests were sorted before each fold."""
+    seen = []
+    monkeypatch.setattr(neardup, "checkpointed", lambda df: seen.append(df) or checkpointed(df))
+    docs = documents(corpus)
+    found = classes_of(neardup.near_duplicates(docs).collect())
+    assert found == dict(enumerate(brute.classes(corpus)))
+    pairs = [df for df in seen if df.columns == ["a", "b"]]
+    assert pairs and {kind for df in pairs for _, kind in df.dtypes} == {"bigint"}
+    buckets = [df for df in seen if "bucket" in df.columns]
+    assert buckets and all("binary" not in dict(df.dtypes).values() for df in buckets)
+    folded = [df for df in buckets if "least" in df.columns]
+    assert folded and "SortAggregate" not in folded[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_parities_never_differ_in_more_bits_than_shingles():
     rng = random.Random(8)
     for _ in range(50):
