@@ -33,13 +33,15 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendloom.llm.common import checkpointed, release, words_of
+from spendloom.llm.common import checkpointed, hash_joins, lean, release, words_of
 from spendloom.llm.components import components
 from spendloom.llm.hashing import WordHashes, as_long, labelled, mixed, runs
 
@@ -105,7 +107,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             rows.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield rows
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, "doc_id long, digest binary, n_shingles int, sketches array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lean(work), "doc_id long, digest binary, n_shingles int, sketches array<long>")
 
 
 def sequences(docs: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def sequences(docs: DataFrame) -> DataFrame:
                 out.append((digest_of(words), hashes.of(words).astype("<u4").tobytes()))
             yield pd.DataFrame(out, columns=["digest", "words"])
 
-    return docs.select("text").mapInPandas(work, "digest binary, words binary")
+    return docs.select("text").mapInPandas(lean(work), "digest binary, words binary")
 
 
 def in_buckets(nodes: DataFrame) -> DataFrame:
@@ -166,7 +168,7 @@ def shingles_of(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": batch["id"], "shingles": [as_long(x) for x in own], "odd": [parities(x) for x in own]})
 
     texts = texts.select("id", "words")
-    return texts.mapInPandas(work, f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>, odd array<long>")
+    return texts.mapInPandas(lean(work), f"id {texts.schema['id'].dataType.simpleString()}, shingles array<long>, odd array<long>")
 
 
 def by_rare_shingles(nodes: DataFrame, texts: DataFrame, key: str = "digest") -> DataFrame:
@@ -216,11 +218,12 @@ def differ_little(all_x: str, any_x: str, all_y: str, any_y: str, total: Column)
     """Whether texts of at most so many shingles together can be similar by their parities; named are the columns with
     the bits that all and that any of one side's texts have. total - 2 * common shingles differ."""
 
-    def only(one: str, other: str) -> Column:
-        return F.zip_with(one, other, lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
+    def bits(k: int) -> Column:
+        only_x, only_y = (F.col(one)[k].bitwiseAND(F.bitwise_not(F.col(other)[k])) for one, other in ((all_x, any_y), (all_y, any_x)))
+        return F.bit_count(only_x.bitwiseOR(only_y))
 
-    bits = F.zip_with(only(all_x, any_y), only(all_y, any_x), lambda x, y: F.bit_count(x.bitwiseOR(y)))
-    return (FOUR + FIVE) * F.aggregate(bits, F.lit(0), lambda s, x: s + x) <= (FIVE - FOUR) * total
+    # a plain sum, which Spark compiles: a function over arrays leaves arrays behind for every pair
+    return (FOUR + FIVE) * reduce(add, map(bits, range(PARITIES))) <= (FIVE - FOUR) * total
 
 
 def reaches(rest_x: Column, rest_y: Column, total: Column) -> Column:
@@ -262,7 +265,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     one = texts.select(F.col("node").alias("a"), F.col("words").alias("one"))
     two = texts.select(F.col("node").alias("b"), F.col("words").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInPandas(work, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInPandas(lean(work), "a long, b long")
 
 
 def classed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -305,15 +308,16 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, digest, class_id, kept for every row. kept: the document with the least id of its class (null ids last);
     rows that repeat it with the same id and words are kept too."""
-    rows = checkpointed(sketched(docs))
-    first = [F.first(c).alias(c) for c in ("n_shingles", "sketches")]
-    nodes = rows.groupBy("digest").agg(*first, F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("least"))
-    # numbers stand for the nodes from here on: half the bytes of digests, and folded by hash instead of by sort
-    nodes = checkpointed(nodes.sortWithinPartitions("digest").withColumn("node", F.monotonically_increasing_id()))
-    labels = linked(docs, nodes.select("digest", "node", "n_shingles", "sketches"))
-    found = checkpointed(classed(nodes.select("node", "digest", "least"), labels))
-    chosen = found.groupBy("label").agg(F.min(F.struct("least", "digest")).alias("chosen"))
-    named = checkpointed(found.join(checkpointed(chosen), "label").select("digest", F.col("chosen.least.doc_id").alias("class_id"), (F.col("digest") == F.col("chosen.digest")).alias("holds")))
+    with hash_joins(docs.sparkSession):
+        rows = checkpointed(sketched(docs))
+        first = [F.first(c).alias(c) for c in ("n_shingles", "sketches")]
+        nodes = rows.groupBy("digest").agg(*first, F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("least"))
+        # numbers stand for the nodes from here on: half the bytes of digests, and folded by hash instead of by sort
+        nodes = checkpointed(nodes.sortWithinPartitions("digest").withColumn("node", F.monotonically_increasing_id()))
+        labels = linked(docs, nodes.select("digest", "node", "n_shingles", "sketches"))
+        found = checkpointed(classed(nodes.select("node", "digest", "least"), labels))
+        chosen = found.groupBy("label").agg(F.min(F.struct("least", "digest")).alias("chosen"))
+        named = checkpointed(found.join(checkpointed(chosen), "label").select("digest", F.col("chosen.least.doc_id").alias("class_id"), (F.col("digest") == F.col("chosen.digest")).alias("holds")))
     return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class_id", (F.col("holds") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 

@@ -1,6 +1,9 @@
 """Near-duplicates, connected components and substring dedup."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +95,55 @@ def test_buckets_are_folded_by_numbers(documents, corpus, monkeypatch):
     assert folded and "SortAggregate" not in folded[0]._jdf.queryExecution().executedPlan().toString()
 
 
+def test_joins_of_small_partitions_are_not_sorted(spark, documents, corpus, monkeypatch):
+    """Each sort took a page of the heap on either side; the session's own setting comes back."""
+    seen, name = [], "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    monkeypatch.setattr(neardup, "checkpointed", lambda df: (df, seen.append(df), checkpointed(df))[-1])
+    held = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m", "spark.sql.autoBroadcastJoinThreshold": "-1", name: "1k"}
+    before = {key: spark.conf.get(key) for key in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        found = classes_of(neardup.near_duplicates(documents(corpus)).collect())
+        assert spark.conf.get(name) == "1k"
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert found == dict(enumerate(brute.classes(corpus)))
+    final = [df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0] for df in seen]
+    hashed, merged = (sum(plan.count(join) for plan in final) for join in ("ShuffledHashJoin", "SortMergeJoin"))
+    assert hashed > 3 * merged
+
+
+def test_bounds_by_parities_are_compiled(documents, corpus):
+    packed = neardup.sequences(documents(corpus)).distinct()
+    pairs = neardup.by_rare_shingles(packed.select("digest", F.col("digest").alias("label")), packed)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan and "lambda" not in plan
+
+
+def test_workers_return_what_they_freed():
+    """A worker that lives on would keep the most that it ever took."""
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from spendloom.llm import common
+size = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmRSS"))
+kept, sizes = [], []
+def work(batches):
+    for _ in batches:
+        rows = [bytearray(3000) for _ in range(50_000)]
+        kept.append(rows[-1])
+        sizes.append(size())
+        del rows
+        yield None
+list(common.lean(work)(iter([0])))
+print((sizes[0] - size()) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code, str(Path(__file__).parents[2])], capture_output=True, check=True, text=True).stdout
+    assert int(out) > 100
+
+
 def test_parities_never_differ_in_more_bits_than_shingles():
     rng = random.Random(8)
     for _ in range(50):
