@@ -21,16 +21,25 @@ each for itself; null ids are allowed. An empty table gives no rows. Extra colum
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spendloom.llm.common import checkpointed
+from spendloom.llm.common import checkpointed, lean
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
 
 CAPACITY = 4096
 #: Lengths from FINE on count in steps of GRID tokens while configurations are proposed.
@@ -44,82 +53,101 @@ ETA = 0.2
 END_ID = 1
 #: Words whose ids a Python worker remembers; those known before are kept until as many are new.
 KEPT_WORDS = 600_000
+#: Characters of text whose words are looked up together, about.
+READ_TOGETHER = 8_000_000
+#: Words that the tokenizer takes as one unit and normalizing leaves as they are; marks are units behind them.
+PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
+MARKS = string.punctuation
 #: Pieces that one task ranks in a class, about.
 RANKED_TOGETHER = 1_000
 
 
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes. White space separates what the tokenizer sees, so
-    ids are looked up by word, and a word is encoded once while it is remembered. A full stop or comma after
-    a letter is a token of its own, so it is put behind the ids of the word."""
+    ids are looked up by word, and a word is encoded once while it is remembered. Words are split, counted as
+    distinct and replaced by their ids in Arrow. Marks behind letters are tokens of their own, so their ids are put
+    behind those of the letters; letters that normalizing leaves as they are go to the model directly."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}  # what was known before; words in use move back
+        self.letters = Tokenizer(self.tokenizer.model)  # for PLAIN words with a space between them
+        bytes_as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), bytes_as_letters])
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before; words in use move back
         self.apart = int.from_bytes(self.encode("\x01"), "little")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.marks = {m: self.encode(m.decode()) for m in (b".", b",")}
 
-    def encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+    def encode(self, text: str, tokenizer: Tokenizer | None = None) -> bytes:
+        return np.asarray((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[str]) -> None:
         known, older = self.known, self.older
-        new: set[bytes] = set()
+        plain: set[str] = set()
+        others: set[str] = set()
         marked = []
         for w in words:
             if (ids := older.get(w)) is not None:
                 known[w] = ids
-            elif w[-1] in b".," and w[-2:-1].isalpha():
-                marked.append(w)
-                stem = w[:-1]
-                if stem not in known:
-                    new.add(stem)
+                continue
+            stem = w.rstrip(MARKS)
+            if not PLAIN(stem):
+                others.add(w)
+            elif len(stem) == len(w):
+                plain.add(w)
             else:
-                new.add(w)
-        for w in [w for w in new if w in older]:
-            known[w] = older[w]
-            new.discard(w)
-        words_only = [w for w in new if w.decode().isalpha()]
-        for at in range(0, len(words_only), 4000):
-            some = words_only[at : at + 4000]
+                marks = w[len(stem) :]
+                marked.append((w, stem, marks))
+                plain.add(stem)
+                others.add(marks)
+        for new in (plain, others):
+            for w in [w for w in new if w in known or w in older]:
+                known[w] = known[w] if w in known else older[w]
+                new.discard(w)
+        new_words = list(plain)
+        for at in range(0, len(new_words), 4000):
+            some = new_words[at : at + 4000]
             # one call for many words: a word of letters is one unit, and its last token says that it ends there
-            raw = self.encode(b" ".join(some).decode())
+            raw = self.encode(" ".join(some), self.letters)
             last = 0
             for w, cut in zip(some, (4 * np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 4).tolist(), strict=True):
                 known[w] = raw[last:cut]
                 last = cut
-        others = [w for w in new.difference(words_only) if b"\x01" not in w]
-        for at in range(0, len(others), 2000):
-            some = others[at : at + 2000]
+        new_words = [w for w in others if "\x01" not in w]
+        for at in range(0, len(new_words), 2000):
+            some = new_words[at : at + 2000]
             # the same with a mark between them that none of them holds
-            raw = self.encode(b" \x01 ".join([*some, b""]).decode())
+            raw = self.encode(" \x01 ".join([*some, ""]))
             last = 0
             for w, cut in zip(some, (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.apart)).tolist(), strict=True):
                 known[w] = raw[last:cut]
                 last = cut + 4
-        for w in new.difference(words_only, others):
-            known[w] = self.encode(w.decode())
-        for w in marked:
-            known[w] = known[w[:-1]] + self.marks[w[-1:]]
+        for w in others.difference(new_words):
+            known[w] = self.encode(w)
+        for w, stem, marks in marked:
+            known[w] = known[stem] + known[marks]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        raw = [text.encode("utf-8", "replace") for text in texts]
+        raw = pa.array([text.encode("utf-8", "replace") for text in texts], pa.large_string())
         # the tokenizer lower-cases; only in its special tokens capitals count
-        split = [(x if b"<|" in x else x.lower()).split() for x in raw]
-        distinct = set().union(*split)
-        if missing := {w for w in distinct if w not in self.known}:
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(raw, "<|"), raw, pc.ascii_lower(raw)))
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if missing := [w for w in distinct if w not in self.known]:
             if len(self.known) > KEPT_WORDS:
                 self.older, self.known = self.known, {}
                 missing = distinct
             self.learn(missing)
-        look_up = self.known.__getitem__
-        return [b"".join(map(look_up, words)) for words in split]
+        ids = pa.array(map(self.known.__getitem__, distinct), pa.large_binary()).take(coded.indices)
+        # the ids of a text lie side by side
+        _, starts, data = ids.buffers()
+        bounds = np.frombuffer(starts, np.int64)[split.offsets.to_numpy()].tolist()
+        joined = memoryview(data or b"")
+        return [joined[low:high].tobytes() for low, high in pairwise(bounds)]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -129,10 +157,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = Tokens(tokenizer_path)
         for batch in batches:
-            for low in range(0, len(batch), 1000):
-                part = batch.iloc[low : low + 1000]
+            texts = batch["text"].where(batch["text"].notna(), "")
+            for _, part in texts.groupby((texts.str.len().cumsum() // READ_TOGETHER).to_numpy()):
                 out = []
-                for doc_id, ids in zip(part["doc_id"], tokens.of([t if isinstance(t, str) else "" for t in part["text"]]), strict=True):
+                for doc_id, ids in zip(batch["doc_id"][part.index], tokens.of(part.tolist()), strict=True):
                     ids += end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
@@ -141,7 +169,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                 yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lean(cut), schema)
 
 
 def fullest(weights: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:

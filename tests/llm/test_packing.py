@@ -42,6 +42,34 @@ def test_words_are_forgotten_and_learned_again(tokenizer, monkeypatch):
         assert tokens.of([text]) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
 
 
+def test_words_of_letters_need_no_normalizing(tokenizer):
+    """Most new words are letters with marks behind; the full tokenizer sees the marks alone, once each."""
+    tokens = packing.Tokens(registry.tokenizer_path())
+    full, seen = tokens.tokenizer, []
+
+    class Seen:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return full.encode_batch_fast(texts, **options)
+
+    tokens.tokenizer = Seen()
+    texts = ["Plain words, été! straße&&& til?", "plain! Words... straße, ÿ"]
+    assert tokens.of(texts) == [np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert not any(c.isalpha() for c in "".join(seen))
+    assert "".join(seen).count("!") == "".join(seen).count("&&&") == 1
+
+
+def test_made_up_words_are_the_tokenizers(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 3000)
+    rng = np.random.default_rng(11)
+    units = [*"abkz", "ing", "the", *"éßÿñµªº×÷ÀĀſǅяא한", "\u0301", "\u1100\u1161", *"019٣²", *"'.,!&-_<|>$", "'s", "'ll", "<|endoftext|>", "\x01", "\x1f", "\u00a0", *"  \n\t\v"]
+    texts = ["".join(rng.choice(units, rng.integers(0, 60))) for _ in range(1500)]
+    tokens = packing.Tokens(registry.tokenizer_path())
+    for at in range(0, len(texts), 300):
+        expected = [np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts[at : at + 300]]
+        assert tokens.of(texts[at : at + 300]) == expected
+
+
 def best_fit(lengths):
     rooms, n = [], 0
     for length in sorted(lengths, reverse=True):
