@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendloom import schemas
-from spendloom.operators.attribution import attribute, cost_buckets, usage_by_user
+from spendloom.operators.attribution import attribute, cost_buckets, newest_buckets, usage_by_user
 from spendloom.operators.filters import billing_months, restrict_to
 from spendloom.operators.snapshot import latest_snapshot
 from spendloom.session import prepare
@@ -19,8 +19,8 @@ def reconciled_costs(costs: DataFrame, calls: DataFrame, as_of: date | None = No
     With `as_of` only the current and the previous month are taken.
     """
     periods = billing_months(as_of) if as_of is not None else None
-    buckets = cost_buckets(latest_snapshot(costs, periods=periods))
-    return attribute(buckets, usage_by_user(calls))
+    buckets = newest_buckets(costs, periods)
+    return attribute(buckets, usage_by_user(calls, buckets))
 
 
 def run(spark: SparkSession, costs_path: str, calls_path: str, target: str, as_of: date) -> None:
@@ -41,7 +41,8 @@ def run(spark: SparkSession, costs_path: str, calls_path: str, target: str, as_o
     for period in periods:
         # a day billed in two periods is split within each of them
         of_period = newest.where(F.col("billing_period") == period)
-        rows = attribute(cost_buckets(of_period), usage_by_user(used))
+        buckets = cost_buckets(of_period)
+        rows = attribute(buckets, usage_by_user(used, buckets))
         parts.append(rows.withColumn("billing_period", F.lit(period)))
     first, *rest = parts
     for part in rest:

@@ -7,7 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from spendloom.operators.attribution import BUCKET, attribute, cost_buckets, usage_by_user
+from spendloom.operators.attribution import BUCKET, attribute, cost_buckets, newest_buckets, usage_by_user
 from spendloom.operators.snapshot import delivery_of, latest_snapshot
 from spendloom.plans.reconcile import reconciled_costs
 
@@ -152,3 +152,54 @@ def test_reconcile_takes_open_months_only(spark):
     )
     rows = reconciled_costs(costs, calls, as_of=date(2025, 2, 10)).collect()
     assert sorted((r["resolved_user_id"], r["attributed_cost"]) for r in rows) == [("a", 70.0), ("b", 30.0)]
+
+
+def test_usage_that_no_bucket_asks_for_is_left_out(spark):
+    day = lambda d, user, model="m": (d, "1", "us-east-1", "us-east-1", model, model, user, user)
+    calls = spark.createDataFrame(
+        [
+            (*day("2025-01-15", "a"), 700, 5, 0, 0, 0, 0.0), (*day("2025-01-15", "b"), 300, 5, 0, 0, 0, 0.0),
+            (*day("2025-01-16", "a"), 9, 5, 0, 0, 0, 0.0), (*day("2025-01-15", "c", "n"), 9, 5, 0, 0, 0, 0.0),
+        ],
+        CALLS,
+    )
+    buckets = spark.createDataFrame([bucket(10)], BUCKETS)
+    usage = usage_by_user(calls, buckets)
+    assert sorted((r["usage_date"], r["resolved_user_id"], r["measure"]) for r in usage.collect()) == [
+        ("2025-01-15", "a", "inputtokens"), ("2025-01-15", "b", "inputtokens")
+    ]
+    few, all_ = (sorted(map(str, attribute(buckets, u).collect())) for u in (usage, usage_by_user(calls)))
+    assert few == all_
+
+
+def test_matched_usage_is_shuffled_once(spark, tmp_path):
+    """The users' shares and the buckets' rests come from one join; its usage side is written once."""
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in plain}
+    for name, value in plain.items():
+        spark.conf.set(name, value)
+    try:
+        calls = spark.createDataFrame([("2025-01-15", "1", "r", "r", "m", "m", "a", "a", 1, 1, 1, 1, 1, 1.0)], CALLS)
+        buckets = spark.createDataFrame([("2025-01-15", "1", "r", "m", "input-tokens", "none", "1K tokens", 1.0)], BUCKETS)
+        for name, rows in (("calls", calls), ("buckets", buckets)):
+            rows.write.parquet(f"{tmp_path}/{name}")
+        calls, buckets = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("calls", "buckets"))
+        plan = attribute(buckets, usage_by_user(calls))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    shared = [line.split("]")[0] for line in plan.splitlines() if "ReusedExchange [" in line]
+    assert any("user_tokens" in columns and "_key" in columns for columns in shared)
+
+
+def test_newest_buckets_equal_buckets_of_the_newest_lines(spark):
+    rows = spark.createDataFrame(
+        [
+            ("2025-01", "x/run-1", *bucket(1)), ("2025-01", "x/run-2", *bucket(2)), ("2025-01", "x/run-2", *bucket(4)),
+            ("2025-02", "x/run-1", *bucket(8)), ("2025-02", "x/run-1", *bucket(3, "b")), ("2025-02", "x/run-1", *bucket(-3, "b")),
+        ],
+        SNAPSHOTS,
+    )
+    for periods in (None, ["2025-02"]):
+        expected = cost_buckets(latest_snapshot(rows, periods=periods)).collect()
+        assert sorted(newest_buckets(rows, periods).collect()) == sorted(expected)
