@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spendloom import schemas
 from spendloom.operators import dataset
 from spendloom.plans import reconcile
-from spendloom.session import checkpointed, prepare
+from spendloom.session import checkpointed, intermediate, prepare, release
 from spendloom.sources import files, readers, versions
 
 FACTS = """
@@ -52,8 +52,11 @@ def update(
     touched = old_days.where(of_changed).unionByName(new_days).select(F.col("mark").alias("part"))
     days = sorted(r[0] for r in _changed(seen, "calls", calls_now).unionByName(touched).distinct().collect())  # calendar days
     if days:
-        rows = _facts(spark, calls_path, reconciled, cost_days, days, grain, partitions, length)
-        versions.replace(rows, target, _folders(grain), _grains(spark, days, grain))
+        # computed first and dealt to partitions afterwards, so that the shuffles of both are not on the disks at once
+        with intermediate(_facts(spark, calls_path, reconciled, cost_days, days, grain, partitions, length), "new-facts") as rows:
+            release(spark)
+            versions.replace(rows, target, _folders(grain), _grains(spark, days, grain))
+        release(spark)
     if days or periods:
         marks = [("calls", calls_now), ("costs", costs_now), ("cost-days", cost_days)]
         first, *rest = [rows.withColumn("kind", F.lit(kind)) for kind, rows in marks]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spendloom import schemas
 from spendloom.fixed_values import BILLING_HEADERS
 from spendloom.operators import attribution, filters, records
+from spendloom.operators.dataset import CALL_COLUMNS
 from spendloom.operators.snapshot import delivery_of, latest_snapshot
 from spendloom.plans import facts as facts_job
 from spendloom.plans import ingest
@@ -17,7 +18,7 @@ from spendloom.registry.columns import directory
 from spendloom.registry.core import CHECKS, query, r4, r4_sql, rounded
 from spendloom.registry.joins import newest_costs, session_requests
 from spendloom.registry.stores import reconciled
-from spendloom.session import shared_dir
+from spendloom.session import release, shared_dir
 from spendloom.sources import files, ledger, readers, versions, writers
 from spendloom.streaming import jobs, sessions
 
@@ -299,11 +300,13 @@ def drop_days(spark, sf):
 def facts_kept_current(spark, sf):
     """Facts built from the first half of the months, then brought up to date when the rest of the calls has come."""
     base = shared_dir(spark, "facts-job")
-    rows = writers.with_hour_partitions(t.calls(spark, sf).drop("usage_date")).drop("day", "hour")
+    rows = writers.with_hour_partitions(t.calls(spark, sf).select("timestamp", *CALL_COLUMNS)).drop("day", "hour")
     costs = reconciled(spark, sf).withColumn("billing_period", F.substring("usage_date", 1, 7))
     versions.replace(costs, f"{base}/costs", schemas.PERIOD_PARTITIONS)
+    release(spark)
     for part in (rows.where("year < '1995'"), rows.where("year >= '1995'")):
         writers.append_partitioned(part, f"{base}/calls", _MONTHS)
+        release(spark)
         facts_job.update(spark, f"{base}/calls", f"{base}/costs", f"{base}/facts", _MONTHS, _MONTHS)
     found = facts_job.read(spark, f"{base}/facts", _MONTHS).groupBy(F.date_format("day", "yyyy-MM").alias("month"), "friendlymodelname")
     sums = found.agg(*[F.sum(c).alias(c) for c in ("calls", "inputtokens", "totalcost")])
