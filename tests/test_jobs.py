@@ -309,3 +309,35 @@ def test_region_leads_the_partitions_of_several_regions(spark, tmp_path):
     assert (tmp_path / "t/region=eu-west-1/year=2024/month=01/day=15/hour=14").is_dir()
     stored = readers.read_table(spark, path, "timestamp string, v int", keys)
     assert sorted((r["region"], r["v"]) for r in stored.collect()) == [("eu-west-1", 2), ("us-east-1", 1)]
+
+
+def test_many_small_documents_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"Records": [{"eventId": str(i)}]}))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        documents = readers.read_audit_files(spark, str(tmp_path))
+        assert documents.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert documents.select("Records.eventId").distinct().count() == 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_audit_documents_are_read_once(spark, tmp_path):
+    """What the job looks at several times are the parsed documents, not the files."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+
+    texts = [(json.dumps({"Records": [{"eventId": str(i), "eventName": "Converse", "eventTime": "2024-01-15T14:30:00Z"}]}), f"f{i}") for i in range(5)]
+    texts.append(("{}", "f5"))
+    rows = spark.sparkContext.parallelize(texts, 2).mapPartitions(counted)
+    documents = readers.parse_audit_documents(spark.createDataFrame(rows, "value string, source_file string"))
+    ingest.store_audit_documents(documents, str(tmp_path / "events"), str(tmp_path / "letters"), FAILED_AT)
+    assert seen.value == 6
+    assert readers.read_table(spark, str(tmp_path / "events"), schemas.AUDIT_EVENTS, schemas.HOUR_PARTITIONS).count() == 5
+    assert spark.read.json(str(tmp_path / "letters")).count() == 1
