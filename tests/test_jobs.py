@@ -341,3 +341,29 @@ def test_audit_documents_are_read_once(spark, tmp_path):
     assert seen.value == 6
     assert readers.read_table(spark, str(tmp_path / "events"), schemas.AUDIT_EVENTS, schemas.HOUR_PARTITIONS).count() == 5
     assert spark.read.json(str(tmp_path / "letters")).count() == 1
+
+
+def test_calls_are_stored_without_a_shuffle_of_whole_lines(spark, tmp_path):
+    """Which lines are new is found on keys; a batch that repeats itself and the table is stored once all the same."""
+    (tmp_path / "logs").mkdir()
+    lines = [json.dumps(call(i, timestamp=f"2024-01-15T14:{i % 60:02d}:00.000Z")) for i in range(300)]
+    (tmp_path / "logs" / "a.json").write_text("\n".join(lines + lines[:50]))
+    paths = [str(tmp_path / name) for name in ("calls", "letters")]
+    ingest.ingest_calls(spark, str(tmp_path / "logs"), *paths, FAILED_AT)
+    (tmp_path / "logs" / "b.json").write_text("\n".join(lines[100:] + [json.dumps(call(i)) for i in range(300, 305)] + ["{"]))
+    shuffled = []
+    append = writers.append_partitioned
+
+    def seen(rows, *args):
+        shuffled.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        append(rows, *args)
+
+    writers.append_partitioned = seen
+    try:
+        ingest.ingest_calls(spark, str(tmp_path / "logs"), *paths, FAILED_AT)
+    finally:
+        writers.append_partitioned = append
+    stored = readers.read_table(spark, paths[0], schemas.CALLS, schemas.HOUR_PARTITIONS)
+    assert stored.count() == 305 and stored.select("requestid", "timestamp").distinct().count() == 305
+    assert spark.read.json(paths[1]).count() == 1
+    assert len(shuffled) == 1 and "Window" not in shuffled[0]
